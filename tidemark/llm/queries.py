@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import scratch, table
+from . import language_id, quality_crf
+from .base import held_out, scratch, table
 from .exact_dedup import exact_dedup
 from .mixing import mix
+from .packing import pack
 from .sharding import ShardStore
+from .simhash import near_duplicates
 from .url_filter import domains_of, filter_urls, host_of
 
 
@@ -114,12 +117,38 @@ FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source JOIN c ON c.source IS NO
 """
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language_id.fit(docs)
+    return language_id.predict(docs.select("doc_id", "text"), model).select("doc_id", held_out("doc_id", language_id.FOLDS).alias("held_out"), "lang_pred", "score")
+
+
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With the contract's three words to a shingle; the operator's own default is five."""
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), words=3)
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_crf.fit(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"))
+    scored = quality_crf.score(docs, model)
+    return scored.select("doc_id", held_out("doc_id", quality_crf.FOLDS).alias("held_out"), "score", (F.col("score") >= quality_crf.THRESHOLD).cast("int").alias("predicted"))
+
+
 def queries() -> dict:
     return {
         "op1_exact_dedup": op1_exact_dedup,
         "op2_sharding": op2_sharding,
+        "op4_packing": op4_packing,
         "op5_url_filter": op5_url_filter,
+        "op7_language_id": op7_language_id,
         "op8_mixing": op8_mixing,
+        "op9_simhash": op9_simhash,
+        "op10_quality": op10_quality,
     }
 
 

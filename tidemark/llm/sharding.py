@@ -67,7 +67,12 @@ class ShardStore:
             .withColumn("tier", F.floor(F.log(TIER, F.greatest("bytes", F.lit(1)))).cast("int"))
         )
 
-    def append(self, arrivals: DataFrame, max_rows: int = 4096) -> int:
+    def _rows(self, folders: list[str], schema) -> DataFrame:
+        """The rows below folders of data, with the file of each as __file."""
+        parts = [self.spark.read.schema(schema).parquet(f).select(*[f"`{c}`" for c in schema.names], F.col("_metadata.file_path").alias("__file")) for f in sorted(folders)]
+        return reduce(DataFrame.unionByName, parts)
+
+    def append(self, arrivals: DataFrame, max_rows: int = 512) -> int:
         """Writes arrivals as small shards and commits them beside the files there are."""
         v = self.version()
         folder = f"{self.root}/data/a{v + 1}"
@@ -97,7 +102,7 @@ class ShardStore:
                 return v
             folder = f"{self.root}/data/c{v + 1}"
             inputs = [r.folder for r in self.manifest().select(F.regexp_extract("file", r"^(.*/data/\w+)/", 1).alias("folder")).distinct().collect()]
-            rows = reduce(DataFrame.unionByName, [self.spark.read.schema(schema).parquet(f).withColumn("__file", F.col("_metadata.file_path")) for f in sorted(inputs)])
+            rows = self._rows(inputs, schema)
             small = plan.select(F.col("file").alias("__file"), F.concat_ws("-", F.col("tier"), F.col("merged")).alias("__merged"))
             rows = rows.join(F.broadcast(small) if count <= PLAN_ROWS else small, "__file")
             (
@@ -122,6 +127,6 @@ class ShardStore:
         folders = [r.folder for r in files.select(F.regexp_extract("__file", r"^(.*/data/\w+)/", 1).alias("folder")).distinct().collect()]
         if not folders:
             return self.spark.createDataFrame([], schema).withColumn("__file", F.lit(None).cast("string"))
-        rows = reduce(DataFrame.unionByName, [self.spark.read.schema(schema).parquet(f).withColumn("__file", F.col("_metadata.file_path")) for f in sorted(folders)])
+        rows = self._rows(folders, schema)
         few = files.count() <= PLAN_ROWS
         return rows.join(F.broadcast(files) if few else files, "__file", "left_semi")
