@@ -119,9 +119,11 @@ def _groups(lengths: list[int], cells: int = 200_000) -> Iterator[list[int]]:
         yield group
 
 
-def fit_field(feats: list[np.ndarray], labels: list[int], steps: int = 150, rate: float = 0.1, decay: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
+def fit_field(feats: list[np.ndarray], labels: list[int], steps: int = 300, rate: float = 0.1, decay: float = 1e-5) -> tuple[np.ndarray, np.ndarray]:
     """(weights, 2 x 2 steps) of largest penalised likelihood, every line labelled as its document is."""
     width = feats[0].shape[1]
+    scale = np.sqrt(sum((f.astype(np.float64) ** 2).sum(0) for f in feats) / sum(len(f) for f in feats)) + 1e-9
+    feats = [f / scale for f in feats]
     batches = [(*_padded([feats[i] for i in g]), np.array([labels[i] for i in g])) for g in _groups([len(f) for f in feats])]
     total = sum(len(f) for f in feats)
     theta, m, v = np.zeros(width + 4), np.zeros(width + 4), np.zeros(width + 4)
@@ -138,7 +140,7 @@ def fit_field(feats: list[np.ndarray], labels: list[int], steps: int = 150, rate
         grad = grad / total - decay * theta
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         theta += rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
-    return theta[:width], theta[width:].reshape(2, 2)
+    return theta[:width] / scale, theta[width:].reshape(2, 2)
 
 
 def document_scores(texts: list[str | None], weights: np.ndarray, step: np.ndarray) -> np.ndarray:

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from . import language_id, quality_crf
 from .base import held_out, scratch, table
+from .embedding_dedup import near_vectors
 from .exact_dedup import exact_dedup
+from .hpy_lm import hpy_scores
 from .mixing import mix
 from .packing import pack
 from .sharding import ShardStore
@@ -117,10 +119,18 @@ FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source JOIN c ON c.source IS NO
 """
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hpy_scores(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = language_id.fit(docs)
@@ -143,8 +153,10 @@ def queries() -> dict:
     return {
         "op1_exact_dedup": op1_exact_dedup,
         "op2_sharding": op2_sharding,
+        "op3_lm_scoring": op3_lm_scoring,
         "op4_packing": op4_packing,
         "op5_url_filter": op5_url_filter,
+        "op6_embedding_dedup": op6_embedding_dedup,
         "op7_language_id": op7_language_id,
         "op8_mixing": op8_mixing,
         "op9_simhash": op9_simhash,
