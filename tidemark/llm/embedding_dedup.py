@@ -12,6 +12,11 @@ are united.
 A leaf of more than ``2 * leaf`` vectors is compared in blocks: each pair of blocks
 is a group of its own, so no task holds the whole, and no vector is left out.
 
+Pairs never leave the task that finds them. A vector carries the names of all its
+leaves, and a pair belongs to the first leaf that both have; there it is counted
+for both ends, and joined into a tree of at most one edge per vector. So what a
+group of near copies gives is linear in its size.
+
 Defined cases: vectors that are null, empty, zero or hold null or non-finite
 components link with nothing; vectors of different length never link; rows equal
 in id or vector are each a vector; a null id takes part but is no component's id
@@ -93,6 +98,37 @@ def _unit(vectors: list) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def _earlier(leaves: list, leaf: int) -> np.ndarray:
+    """Rows x names of leaves before this one: 1 where the row's vector is in that leaf."""
+    before = [[n for n in own if n < leaf] for own in leaves]
+    names = {n: k for k, n in enumerate(sorted({n for own in before for n in own}))}
+    out = np.zeros((len(leaves), max(len(names), 1)), np.float32)
+    for row, own in enumerate(before):
+        out[row, [names[n] for n in own]] = 1.0
+    return out
+
+
+def _links(x: np.ndarray, first: np.ndarray, second: np.ndarray, weight: np.ndarray, earlier: np.ndarray, threshold: float, rows: int = 512) -> tuple[np.ndarray, np.ndarray]:
+    """(weight of each vector's links, smallest row that it is joined with) over pairs of first x second with no earlier leaf in common."""
+    others, root = np.zeros(len(x), np.int64), np.arange(len(x))
+    for k in range(0, len(first), rows):
+        some = first[k : k + rows]
+        p, q = np.nonzero(x[some] @ x[second].T >= threshold)
+        if not len(p):
+            continue
+        kept = ~(earlier[some] @ earlier[second].T > 0)[p, q]
+        p, q = some[p[kept]], second[q[kept]]
+        if first is second:
+            p, q = p[p < q], q[p < q]
+        others += np.bincount(p, weight[q], len(x)).astype(np.int64) + np.bincount(q, weight[p], len(x)).astype(np.int64)
+        while (root[p] != root[q]).any():
+            low, high = np.minimum(root[p], root[q]), np.maximum(root[p], root[q])
+            np.minimum.at(root, high, low)
+            while (root[root] != root).any():
+                root = root[root]
+    return others, root
+
+
 def near_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.95, trees: int = TREES, sample: int = SAMPLE, leaf: int = LEAF, seed: int = 11) -> DataFrame:
     """One row per row: vec_id, n_links, component_id, kept."""
     spark = rows.sparkSession
@@ -115,37 +151,38 @@ def near_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
             size = frame["v"].map(len)
             for d, part in frame.groupby(size):
                 x = _unit(part["v"].tolist())
-                c, v = part["c"].to_numpy(), part["v"].to_numpy()
+                c, v, weight = part["c"].to_numpy(), part["v"].to_numpy(), part["weight"].to_numpy()
+                rows, names = [], []
                 for t, tree in enumerate(sent.value[d]):
                     for got, node, bits in tree.leaves(x):
-                        yield pd.DataFrame({"dim": d, "tree": t, "node": node, "bits": bits, "c": c[got], "v": v[got]})
+                        rows.append(got)
+                        names.append((t << 56) + (node << 32) + bits)
+                row, name = np.concatenate(rows), np.concatenate(names)
+                order = np.lexsort((name, row))
+                of = np.split(name[order], np.flatnonzero(np.diff(row[order])) + 1)
+                for got, name in zip(rows, names):
+                    yield pd.DataFrame({"dim": d, "leaf": name, "c": c[got], "weight": weight[got], "leaves": [of[i] for i in got], "v": v[got]})
 
     kind = dict(entries.dtypes)["v"]
-    routed = cut(entries.select("c", "v").mapInPandas(route, f"dim int, tree int, node int, bits long, c long, v {kind}"))
-    at = ["dim", "tree", "node", "bits"]
+    routed = cut(entries.select("c", "weight", "v").mapInPandas(route, f"dim int, leaf long, c long, weight long, leaves array<long>, v {kind}"))
+    at = ["dim", "leaf"]
     sizes = routed.groupBy(*at).agg(F.count("*").alias("n")).where("n > 1")
     routed = routed.join(sizes, at)
     blocks = F.when(F.col("n") <= 2 * leaf, F.lit(1)).otherwise(F.ceil(F.col("n") / leaf)).cast("int")
     mine = routed.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
     mine = mine.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    mine = mine.select(*at, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "c", "v")
+    mine = mine.select(*at, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "c", "weight", "leaves", "v")
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
-        x, c, own = _unit(frame["v"].tolist()), frame["c"].to_numpy(), frame["own"].to_numpy()
-        first, second = (np.arange(len(c)),) * 2 if frame["i"].iloc[0] == frame["j"].iloc[0] else (np.flatnonzero(own == frame["i"].iloc[0]), np.flatnonzero(own == frame["j"].iloc[0]))
-        a, b = [], []
-        for k in range(0, len(first), 512):
-            p, q = np.nonzero(x[first[k : k + 512]] @ x[second].T >= threshold)
-            p, q = first[k + p], second[q]
-            keep = (p < q) if first is second else np.ones(len(p), bool)
-            a.append(c[p[keep]])
-            b.append(c[q[keep]])
-        a, b = np.concatenate([[], *a]).astype(np.int64), np.concatenate([[], *b]).astype(np.int64)
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-
-    links = cut(mine.groupBy(*at, "i", "j").applyInPandas(compare, "a long, b long").distinct())
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    near = both.join(entries.select(F.col("c").alias("b"), "weight"), "b").groupBy("a").agg(F.sum("weight").alias("others"))
+        i, j, own = frame["i"].iloc[0], frame["j"].iloc[0], frame["own"].to_numpy()
+        first, second = (np.arange(len(frame)),) * 2 if i == j else (np.flatnonzero(own == i), np.flatnonzero(own == j))
+        others, root = _links(_unit(frame["v"].tolist()), first, second, frame["weight"].to_numpy(), _earlier(frame["leaves"].tolist(), frame["leaf"].iloc[0]), threshold)
+        c, found = frame["c"].to_numpy(), others > 0
+        return pd.DataFrame({"c": c[found], "others": others[found], "root": c[root[found]]})
+
+    found = cut(mine.groupBy(*at, "i", "j").applyInPandas(compare, "c long, others long, root long"))
+    near = found.groupBy(F.col("c").alias("a")).agg(F.sum("others").alias("others"))
+    links = found.where("c <> root").select(F.col("c").alias("a"), F.col("root").alias("b"))
     joined = components(links)
     of = (
         entries.join(near.withColumnRenamed("a", "c"), "c", "left").join(joined.withColumnRenamed("node", "c"), "c", "left")
