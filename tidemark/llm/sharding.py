@@ -4,9 +4,10 @@
 shuffle. ``compact`` puts runs of similar size (a factor of four) into a tier,
 packs each tier's runs in order into files of ``target_bytes`` and rewrites only
 those. Every change commits a manifest: a Parquet folder with a row per live
-file, written aside and renamed to its version number. The rename fails if
-another writer has taken that number, so a commit happens whole or not at all;
-readers open the highest version. Nothing that a manifest lists is changed or
+file, written aside under a name of its own and renamed to its version number.
+That rename never replaces or enters a folder there is, so of writers that want
+the same number one wins and the others get ``VersionTaken``; a commit happens
+whole or not at all, and readers open the highest version. Nothing that a manifest lists is changed or
 removed before a newer manifest has been committed.
 
 Defined cases: null and empty texts have 0 bytes and are kept as they are; a row
@@ -17,8 +18,10 @@ through, whatever their names.
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +31,10 @@ PLAN_ROWS = 100_000
 TIER = 4.0
 
 
+class VersionTaken(RuntimeError):
+    """Another writer has committed this version; the change can be made again on top of it."""
+
+
 class ShardStore:
     """A folder of immutable shards and the versions of its manifest."""
 
@@ -51,10 +58,17 @@ class ShardStore:
         return self.spark.read.parquet(f"{self.root}/manifest/v{v}")
 
     def _commit(self, files: DataFrame, version: int) -> int:
-        aside = f"{self.root}/manifest/_writing-{version}"
-        files.coalesce(1).write.mode("overwrite").parquet(aside)
-        if not self._fs.rename(self._path(aside), self._path(f"{self.root}/manifest/v{version}")):
-            raise RuntimeError(f"version {version} has been committed by another writer")
+        aside = f"{self.root}/manifest/_writing-{uuid.uuid4().hex}"
+        files.coalesce(1).write.parquet(aside)
+        sc = self.spark.sparkContext
+        fs = sc._jvm.org.apache.hadoop.fs
+        context = fs.FileContext.getFileContext(self._fs.getUri(), sc._jsc.hadoopConfiguration())
+        never_replace = sc._gateway.new_array(fs.Options.Rename, 0)
+        try:
+            context.rename(self._path(aside), self._path(f"{self.root}/manifest/v{version}"), never_replace)
+        except Py4JJavaError as e:
+            self._fs.delete(self._path(aside), True)
+            raise VersionTaken(f"version {version} has been committed by another writer") from e
         return version
 
     def _listed(self, folder: str, schema) -> DataFrame:
@@ -75,7 +89,7 @@ class ShardStore:
     def append(self, arrivals: DataFrame, max_rows: int = 512) -> int:
         """Writes arrivals as small shards and commits them beside the files there are."""
         v = self.version()
-        folder = f"{self.root}/data/a{v + 1}"
+        folder = f"{self.root}/data/a{v + 1}_{uuid.uuid4().hex}"
         arrivals.write.option("maxRecordsPerFile", max_rows).option("compression", "zstd").parquet(folder)
         new = self._listed(folder, arrivals.schema)
         return self._commit(self.manifest(v).unionByName(new) if v else new, v + 1)
@@ -97,18 +111,20 @@ class ShardStore:
         v = self.version()
         plan = self.plan(target_bytes).persist()
         try:
-            count, files = plan.agg(F.count("*"), F.countDistinct("tier", "merged")).first()
-            if count == 0:
+            tiers = plan.groupBy("tier").agg(F.count("*").alias("n"), (F.max("merged") + 1).alias("merged")).orderBy("tier").collect()  # a row per tier
+            if not tiers:
                 return v
-            folder = f"{self.root}/data/c{v + 1}"
-            inputs = [r.folder for r in self.manifest().select(F.regexp_extract("file", r"^(.*/data/\w+)/", 1).alias("folder")).distinct().collect()]
+            count, files, first = sum(r.n for r in tiers), 0, []
+            for r in tiers:
+                first += [F.lit(r.tier), F.lit(files)]
+                files += r.merged
+            folder = f"{self.root}/data/c{v + 1}_{uuid.uuid4().hex}"
+            inputs = [r.folder for r in self.manifest(v).select(F.regexp_extract("file", r"^(.*/data/\w+)/", 1).alias("folder")).distinct().collect()]
             rows = self._rows(inputs, schema)
-            small = plan.select(F.col("file").alias("__file"), F.concat_ws("-", F.col("tier"), F.col("merged")).alias("__merged"))
+            small = plan.select(F.col("file").alias("__file"), (F.element_at(F.create_map(*first), F.col("tier")) + F.col("merged")).cast("int").alias("__merged"))
             rows = rows.join(F.broadcast(small) if count <= PLAN_ROWS else small, "__file")
-            (
-                rows.drop("__file").repartition(files, "__merged").write.partitionBy("__merged")
-                .option("compression", "zstd").parquet(folder)
-            )
+            # a task for each merged file
+            rows.drop("__file").repartitionById(files, F.col("__merged")).drop("__merged").write.option("compression", "zstd").parquet(folder)
             left = self.manifest(v).join(plan.select("file"), "file", "left_anti")
             return self._commit(left.unionByName(self._listed(folder, schema)), v + 1)
         finally:
