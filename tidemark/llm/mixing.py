@@ -92,7 +92,7 @@ def decisions(sizes: DataFrame, weights: tuple[float, ...], share: float, max_ep
     return (
         g.join(k, F.col("g.source").eqNullSafe(F.col("k.source")), "left")
         .join(n, F.col("g.source").eqNullSafe(F.col("n.es")), "left")
-        .select("g.source", "source_size", "target", "whole", F.lower(F.coalesce("stop_key", "next_key", F.when(F.col("rest") > 0, F.lit("g")), F.lit(""))).alias("upto"))
+        .select("g.source", "source_size", "target", "whole", F.when(F.col("rest") > 0, F.lower(F.coalesce("stop_key", "next_key", F.lit("g")))).otherwise("").alias("upto"))
     )
 
 
