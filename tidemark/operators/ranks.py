@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def steady(df: DataFrame) -> DataFrame:
-    """The same rows in the same partitions for every reader: a checkpoint where a folder is set, else kept on disk."""
-    if df.sparkSession.sparkContext.getCheckpointDir():
+    """The same rows in the same partitions for every reader: a checkpoint where a folder is named, else kept on disk."""
+    spark = df.sparkSession
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named and not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(named)
+    if spark.sparkContext.getCheckpointDir():
         return df.checkpoint()
     return df.persist(StorageLevel.DISK_ONLY)
 
@@ -26,3 +32,9 @@ def running(df: DataFrame, order: list[str], value, name: str) -> DataFrame:
 def global_rank(df: DataFrame, order: list[str], name: str = "rank") -> DataFrame:
     """Adds 1, 2, 3, ... in a total order."""
     return running(df, order, F.lit(1).cast("long"), name)
+
+
+def shared_dir(spark) -> str:
+    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one only where none is named, as in tests."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return named.rstrip("/") if named else tempfile.mkdtemp(prefix="tidemark-")

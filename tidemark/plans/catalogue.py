@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar
 from ..operators import buckets, corpus, sampling, sequences, series, temporal
+from ..sources import midi, musicxml
+from ..streaming import feeds
 
 HOUR = 3600
 QUERIES: dict = {}
@@ -509,3 +511,101 @@ def lcs_f1(spark, sf_dir):
     e = events(spark, sf_dir).groupBy("user_id", F.pmod(F.floor(F.col("t") / 86400), F.lit(2)).alias("odd")).agg(F.array_sort(F.collect_list(F.struct("t", "event_id", "event_type")))["event_type"].alias("kinds"))
     a, b = e.where("odd = 0").select("user_id", F.col("kinds").alias("a")), e.where("odd = 1").select("user_id", F.col("kinds").alias("b"))
     return sequences.lcs_f1(a.join(b, "user_id"), "a", "b").select("user_id", F.bround("f1", 9).alias("f1"))
+
+
+# ---- streams ------------------------------------------------------------------------------------------------
+
+def _stream(spark, sf_dir):
+    return feeds.read_events(spark, f"{sf_dir}/events*.parquet")
+
+
+def _seconds(c: str) -> Column:
+    return (F.unix_seconds(c) - 1704067200).alias(c)
+
+
+@query("stream_tumbling", _sql("""{EV} SELECT event_type, t // 21600 * 21600 AS start, count(*) AS n, round_even(sum(value), 4) AS total FROM ev GROUP BY ALL"""))
+def stream_tumbling(spark, sf_dir):
+    out = feeds.table_of(feeds.tumbling(_stream(spark, sf_dir), ["event_type"], "6 hours"), "complete")
+    return out.select("event_type", _seconds("start"), "n", F.bround("total", 4).alias("total"))
+
+
+@query("stream_sliding", _sql("""{EV}, w AS (SELECT event_type, value, (t // 10800 - k) * 10800 AS start FROM ev, (SELECT unnest([0, 1]) AS k)) SELECT event_type, start, count(*) AS n, round_even(sum(value), 4) AS total FROM w GROUP BY ALL"""))
+def stream_sliding(spark, sf_dir):
+    out = feeds.table_of(feeds.tumbling(_stream(spark, sf_dir), ["event_type"], "6 hours", slide="3 hours"), "complete")
+    return out.select("event_type", _seconds("start"), "n", F.bround("total", 4).alias("total"))
+
+
+@query("stream_sessions", """WITH g AS (SELECT user_id, epoch_us(ts) AS t, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER w >= 3600000000 THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT user_id, t, sum(new) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS session FROM g)
+SELECT user_id, min(t) // 1000000 - 1704067200 AS start, (max(t) + 3600000000) // 1000000 - 1704067200 AS stop, count(*) AS n FROM s GROUP BY user_id, session""")
+def stream_sessions(spark, sf_dir):
+    out = feeds.table_of(feeds.sessions(_stream(spark, sf_dir), ["user_id"], "1 hour", "40 days"), "complete")
+    return out.select("user_id", _seconds("start"), _seconds("stop"), "n")
+
+
+@query("stream_unique", "SELECT DISTINCT event_id, user_id, event_type FROM events")
+def stream_unique(spark, sf_dir):
+    return feeds.table_of(feeds.unique(_stream(spark, sf_dir), ["event_id"], "40 days").select("event_id", "user_id", "event_type"), "append")
+
+
+@query("stream_latest", "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
+def stream_latest(spark, sf_dir):
+    return feeds.table_of(feeds.latest(_stream(spark, sf_dir), ["user_id"], ["ts", "event_id"], ["event_id", "event_type"]), "complete")
+
+
+@query("stream_progress", "SELECT user_id, max(event_id) AS event_id, count(*) AS n FROM events GROUP BY ALL")
+def stream_progress(spark, sf_dir):
+    return feeds.table_of(feeds.progress(_stream(spark, sf_dir), ["user_id"], "event_id"), "complete")
+
+
+@query("stream_with_state", "SELECT event_id, user_id, c_mktsegment FROM events LEFT JOIN customer ON c_custkey = user_id")
+def stream_with_state(spark, sf_dir):
+    customers = table(spark, sf_dir, "customer").withColumnRenamed("c_custkey", "user_id")
+    return feeds.table_of(feeds.with_state(_stream(spark, sf_dir), customers, ["user_id"], ["c_mktsegment"]).select("event_id", "user_id", "c_mktsegment"), "append")
+
+
+@query("stream_revisions", """WITH f AS (SELECT user_id, min(event_id) AS final FROM events WHERE event_type = 'error' GROUP BY ALL)
+SELECT e.user_id AS id, e.event_id AS seq, e.event_type AS payload, e.event_type = 'error' AS final FROM events e LEFT JOIN f USING (user_id) WHERE e.event_id <= coalesce(f.final, e.event_id)
+QUALIFY row_number() OVER (PARTITION BY e.user_id ORDER BY e.event_id DESC) = 1""")
+def stream_revisions(spark, sf_dir):
+    notes = _stream(spark, sf_dir).select(F.col("user_id").alias("id"), F.col("event_id").alias("seq"), F.col("event_type").alias("payload"), (F.col("event_type") == "error").alias("final"))
+    return feeds.table_of(feeds.revisions(notes), "update")
+
+
+# ---- files --------------------------------------------------------------------------------------------------
+
+def _songs(spark, sf_dir):
+    """A note table: a song for each user, without overlaps on a key."""
+    n = events(spark, sf_dir, "click", "view", "purchase").select(
+        F.col("user_id").cast("string").alias("song_id"), F.col("t").alias("onset"), F.lit(2).alias("kind"), (F.pmod("event_id", F.lit(100)) + 15).cast("int").alias("pitch"),
+        F.greatest(F.lit(1), F.rint(F.col("value") * 10)).cast("long").alias("duration"), (F.pmod("event_id", F.lit(127)) + 1).cast("int").alias("velocity"),
+    )
+    one = n.groupBy("song_id", "onset", "kind", "pitch").agg(F.max(F.struct("duration", "velocity")).alias("n")).select("song_id", "onset", "kind", "pitch", "n.*")
+    return temporal.clip_to_next(one, ["song_id", "pitch"], "onset", "duration")
+
+
+@query("midi_round_trip", _sql("""{EV}, n AS (SELECT user_id::VARCHAR AS song_id, t AS onset, (event_id % 100 + 15)::INT AS pitch, greatest(1, round_even(value * 10, 0))::BIGINT AS duration, (event_id % 127 + 1)::INT AS velocity FROM ev WHERE event_type IN ('click', 'view', 'purchase')),
+o AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY song_id, onset, pitch ORDER BY duration DESC, velocity DESC) = 1),
+c AS (SELECT song_id, onset, pitch, velocity, duration AS d, lead(onset) OVER (PARTITION BY song_id, pitch ORDER BY onset) AS nx FROM o)
+SELECT song_id, onset, 2 AS kind, pitch, CASE WHEN onset + d > nx THEN greatest(1, nx - onset) ELSE d END AS duration, velocity FROM c WHERE pitch BETWEEN 21 AND 108"""))
+def midi_round_trip(spark, sf_dir):
+    """Note tables written as MIDI files and scanned again."""
+    files = midi.contents(_songs(spark, sf_dir)).withColumnRenamed("song_id", "path")
+    return midi.events_of(midi.scan(files), trim=False)
+
+
+_STEPS = ["C", "D", "E", "F", "G", "A", "B"]
+
+
+@query("musicxml_scan", """WITH n AS (SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS i, o_orderkey FROM orders)
+SELECT o_custkey::VARCHAR AS path, (i // 4)::INT AS measure, i::DOUBLE AS onset, 1.0::DOUBLE AS length, ([60, 62, 64, 65, 67, 69, 71][(o_orderkey % 7 + 1)::INT] + CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 0 END)::INT AS pitch FROM n""")
+def musicxml_scan(spark, sf_dir):
+    """A customer's orders as quarters of a score, four to a measure, written by column functions and scanned again."""
+    step = F.element_at(F.array(*map(F.lit, _STEPS)), (F.pmod("o_orderkey", F.lit(7)) + 1).cast("int"))
+    alter = F.when(F.pmod("o_orderkey", F.lit(3)) == 0, "<alter>1</alter>").otherwise("")
+    note = F.concat(F.lit("<note><pitch><step>"), step, F.lit("</step>"), alter, F.lit("<octave>4</octave></pitch><duration>2</duration></note>"))
+    notes = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", note.alias("x"))))["x"].alias("x"))
+    bars = F.transform(F.sequence(F.lit(0), F.floor((F.size("x") - 1) / 4).cast("int")), lambda i: F.concat(F.lit("<measure><attributes><divisions>2</divisions></attributes>"), F.array_join(F.slice("x", i * 4 + 1, F.lit(4)), ""), F.lit("</measure>")))
+    content = F.concat(F.lit("<score-partwise><part id='P1'>"), F.array_join(bars, ""), F.lit("</part></score-partwise>"))
+    files = notes.select(F.col("o_custkey").cast("string").alias("path"), content.cast("binary").alias("content"))
+    return musicxml.scan(files).select("path", "measure", "onset", "length", "pitch")
