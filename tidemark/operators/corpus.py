@@ -47,14 +47,20 @@ def ngrams(rows: DataFrame, keys: list[str], text: str, n: int) -> DataFrame:
     )
 
 
+#: Grams of queries that may be broadcast.
+BROADCAST_GRAMS = 200_000
+
+
 def containment(query: DataFrame, corpus: DataFrame, query_id: str, corpus_id: str, threshold: float) -> DataFrame:
     """(query_id, corpus_id, shared, containment): shares of a query's distinct grams found in a corpus item.
 
-    The corpus meets only grams that a query has: a semi join comes first.
+    The queries' grams are counted first. Up to ``BROADCAST_GRAMS`` of them (some 20 MB) go to the corpus, whose grams
+    then never move; beyond, both sides are dealt by gram.
     """
     size = query.groupBy(query_id).agg(F.countDistinct("gram").alias("__size"))
     asked = query.select(query_id, "gram").distinct()
-    shared = corpus.join(asked.select("gram").distinct(), "gram", "left_semi").join(asked, "gram").groupBy(query_id, corpus_id).agg(F.countDistinct("gram").alias("shared"))
+    few = asked.limit(BROADCAST_GRAMS + 1).count() <= BROADCAST_GRAMS
+    shared = corpus.join(F.broadcast(asked) if few else asked, "gram").groupBy(query_id, corpus_id).agg(F.countDistinct("gram").alias("shared"))
     out = shared.join(size, query_id).withColumn("containment", F.col("shared") / F.col("__size"))
     return out.where(F.col("containment") >= threshold).drop("__size")
 

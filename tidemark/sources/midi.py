@@ -110,18 +110,30 @@ def parse(content: bytes) -> list[tuple]:
     return rows
 
 
+#: Rows of a batch that leaves the scan, and those of the file at hand.
+_ROWS = 20_000
+
+
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    got = pd.DataFrame(rows, columns=["path", "what", "track", "drum", "start", "stop", "a", "b", "text", "error"])
+    return got.astype({"track": "Int32", "a": "Int32", "b": "Int32", "drum": "boolean", "start": "Float64", "stop": "Float64"})
+
+
 def scan(files: DataFrame) -> DataFrame:
     """Typed rows of (path, content); a file that can't be read is one row with its error."""
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
+            rows: list[tuple] = []
             for path, content in zip(frame["path"], frame["content"]):
                 try:
-                    rows = [(path, *r, None) for r in parse(bytes(content))]
+                    rows += [(path, *r, None) for r in parse(bytes(content))]
                 except (ValueError, IndexError, KeyError, struct.error) as e:
-                    rows = [(path, *[None] * 8, f"{type(e).__name__}: {e}")]
-                got = pd.DataFrame(rows, columns=["path", "what", "track", "drum", "start", "stop", "a", "b", "text", "error"])
-                yield got.astype({"track": "Int32", "a": "Int32", "b": "Int32", "drum": "boolean"})
+                    rows.append((path, *[None] * 8, f"{type(e).__name__}: {e}"))
+                if len(rows) >= _ROWS:
+                    yield _frame(rows)
+                    rows = []
+            yield _frame(rows)
 
     return files.select("path", "content").mapInPandas(read, SCAN)
 
