@@ -114,12 +114,14 @@ def _links(x: np.ndarray, first: np.ndarray, second: np.ndarray, weight: np.ndar
     for k in range(0, len(first), rows):
         some = first[k : k + rows]
         p, q = np.nonzero(x[some] @ x[second].T >= threshold)
-        if not len(p):
-            continue
-        kept = ~(earlier[some] @ earlier[second].T > 0)[p, q]
-        p, q = some[p[kept]], second[q[kept]]
+        p, q = some[p], second[q]
         if first is second:
             p, q = p[p < q], q[p < q]
+        if not len(p):
+            continue
+        (own_p, at_p), (own_q, at_q) = np.unique(p, return_inverse=True), np.unique(q, return_inverse=True)
+        kept = (earlier[own_p] @ earlier[own_q].T == 0)[at_p, at_q]
+        p, q = p[kept], q[kept]
         others += np.bincount(p, weight[q], len(x)).astype(np.int64) + np.bincount(q, weight[p], len(x)).astype(np.int64)
         while (root[p] != root[q]).any():
             low, high = np.minimum(root[p], root[q]), np.maximum(root[p], root[q])
