@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalar
-from ..operators import buckets, corpus, sampling, sequences, series, temporal
+from ..operators import buckets, corpus, harmony, sampling, sequences, series, temporal
 from ..sources import midi, musicxml
 from ..streaming import feeds
 
@@ -609,3 +609,38 @@ def musicxml_scan(spark, sf_dir):
     content = F.concat(F.lit("<score-partwise><part id='P1'>"), F.array_join(bars, ""), F.lit("</part></score-partwise>"))
     files = notes.select(F.col("o_custkey").cast("string").alias("path"), content.cast("binary").alias("content"))
     return musicxml.scan(files).select("path", "measure", "onset", "length", "pitch")
+
+
+# ---- harmony and beats --------------------------------------------------------------------------------------
+
+@query("mark_melody", _sql("""{EV}, n AS (SELECT event_id, user_id, t // 60 AS t, (event_id % 48 + 40)::BIGINT AS pitch FROM ev WHERE event_type IN ('click', 'view')),
+m AS (SELECT DISTINCT user_id, t // 60 AS t, event_id % 12 AS c FROM ev WHERE event_type = 'purchase'),
+k AS (SELECT n.event_id FROM m JOIN n ON n.user_id = m.user_id AND abs(n.t - m.t) <= 600 AND n.pitch % 12 = m.c QUALIFY row_number() OVER (PARTITION BY m.user_id, m.t, m.c ORDER BY n.pitch DESC, abs(n.t - m.t), n.event_id) = 1)
+SELECT event_id, user_id, t, pitch, event_id IN (SELECT event_id FROM k) AS melody FROM n"""))
+def mark_melody(spark, sf_dir):
+    minute = F.floor(F.col("t") / 60).cast("long").alias("t")
+    notes = events(spark, sf_dir, "click", "view").select("event_id", "user_id", minute, (F.pmod("event_id", F.lit(48)) + 40).alias("pitch"))
+    melody = events(spark, sf_dir, "purchase").select("user_id", minute, F.pmod("event_id", F.lit(12)).alias("pitch"))
+    return harmony.mark_melody(notes, melody, ["user_id"], "t", 600, "event_id")
+
+
+@query("extend_beats", _sql("""{EV}, b AS (SELECT DISTINCT user_id, t FROM ev WHERE event_type = 'purchase'),
+r AS (SELECT user_id, t, row_number() OVER (PARTITION BY user_id ORDER BY t) AS n, count(*) OVER (PARTITION BY user_id) AS c FROM b),
+e AS (SELECT user_id, min(t) AS a, min(t) FILTER (n = 2) AS a2, max(t) AS z, max(t) FILTER (n = c - 1) AS z2 FROM r WHERE c >= 4 GROUP BY user_id),
+f AS (SELECT *, greatest(0, ceil(a / (a2 - a)::DOUBLE) + 1)::INT AS front, greatest(0, ceil((2592000 - z) / (z - z2)::DOUBLE) + 1)::INT AS back FROM e)
+SELECT user_id, t, true AS given FROM r WHERE c >= 4
+UNION ALL SELECT user_id, a - (a2 - a) * i, false FROM (SELECT *, unnest(generate_series(1, front)) AS i FROM f)
+UNION ALL SELECT user_id, z + (z - z2) * i, false FROM (SELECT *, unnest(generate_series(1, back)) AS i FROM f)"""))
+def extend_beats(spark, sf_dir):
+    beats = events(spark, sf_dir, "purchase").select("user_id", "t")
+    spans = beats.select("user_id").distinct().select("user_id", F.lit(0).alias("first"), F.lit(2592000).alias("last"))
+    return harmony.extend_beats(beats, spans, ["user_id"], "t")
+
+
+@query("chord_symbols")
+def chord_symbols(spark, sf_dir):
+    """Chords named by orders, spelt in the key of their status and priority."""
+    root = F.element_at(F.array(*[F.lit(x) for x in ("C", "C#", "Db", "D", "Eb", "E", "F", "F#", "Gb", "G", "Ab", "A", "Bb", "B", "Cb")]), (F.pmod("o_orderkey", F.lit(15)) + 1).cast("int"))
+    quality = F.element_at(F.array(F.lit(":maj"), F.lit(":m7"), F.lit(":7"), F.lit("")), (F.pmod("o_custkey", F.lit(4)) + 1).cast("int"))
+    key = (F.pmod("o_custkey", F.lit(15)) - 7).cast("int")
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.concat(root, quality).alias("chord"), key.alias("key")).withColumn("symbol", harmony.chord_symbol(F.col("chord"), F.col("key")))
