@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalar
-from ..operators import buckets, corpus, harmony, sampling, sequences, series, temporal
+from ..operators import buckets, corpus, harmony, notes, sampling, sequences, series, temporal
 from ..sources import midi, musicxml
 from ..streaming import feeds
 
@@ -644,3 +644,26 @@ def chord_symbols(spark, sf_dir):
     quality = F.element_at(F.array(F.lit(":maj"), F.lit(":m7"), F.lit(":7"), F.lit("")), (F.pmod("o_custkey", F.lit(4)) + 1).cast("int"))
     key = (F.pmod("o_custkey", F.lit(15)) - 7).cast("int")
     return table(spark, sf_dir, "orders").select("o_orderkey", F.concat(root, quality).alias("chord"), key.alias("key")).withColumn("symbol", harmony.chord_symbol(F.col("chord"), F.col("key")))
+
+
+# ---- note tables --------------------------------------------------------------------------------------------
+
+@query("augment_notes", _sql("""{EV}, n AS (SELECT user_id::VARCHAR AS song_id, t AS onset, (event_id % 100 + 15) AS pitch, (event_id % 127 + 1)::INT AS velocity, greatest(1, round_even(value * 10, 0))::BIGINT AS d FROM ev WHERE event_type IN ('click', 'view', 'purchase')),
+o AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY song_id, onset, pitch ORDER BY d DESC, velocity DESC) = 1),
+c AS (SELECT *, lead(onset) OVER (PARTITION BY song_id, pitch ORDER BY onset) AS nx FROM o),
+s AS (SELECT song_id, round_even(onset * 1.1::DOUBLE, 0)::BIGINT AS onset, (pitch + 5)::INT AS pitch, greatest(1, round_even(CASE WHEN onset + d > nx THEN greatest(1, nx - onset) ELSE d END * 1.1::DOUBLE, 0))::BIGINT AS duration, greatest(1, least(127, velocity - 20))::INT AS velocity FROM c)
+SELECT song_id, 2 AS kind, pitch, duration, velocity,
+  CASE WHEN onset < 100000 THEN greatest(0, round_even(onset + greatest(0.0::DOUBLE, least(1.0::DOUBLE, (100000 - onset) / 5000.0::DOUBLE)) * 30, 0))::BIGINT ELSE onset END AS onset
+FROM s WHERE pitch BETWEEN 21 AND 108"""))
+def augment_notes(spark, sf_dir):
+    """Stretched, transposed, quieter, and drifting before a split."""
+    n = notes.louder(notes.transposed(notes.stretch(_songs(spark, sf_dir), 1.1), 5), -20)
+    return notes.drift(n, 100_000, 30, 5000)
+
+
+@query("change_stats", """WITH c AS (SELECT *, lag(l_returnflag) OVER w AS rf, lag(l_linestatus) OVER w AS ls, row_number() OVER w AS n FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey)),
+u AS (SELECT 'l_returnflag' AS "column", l_returnflag <> rf AS ch, l_quantity AS q FROM c WHERE n > 1 UNION ALL SELECT 'l_linestatus', l_linestatus <> ls, l_quantity FROM c WHERE n > 1)
+SELECT "column", count(*) FILTER (ch) AS n_changed, round_even(avg(q) FILTER (ch), 6) AS changed, count(*) FILTER (NOT ch) AS n_same, round_even(avg(q) FILTER (NOT ch), 6) AS same FROM u GROUP BY ALL""")
+def change_stats(spark, sf_dir):
+    s = notes.change_stats(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus", "l_quantity"), ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey"], ["l_returnflag", "l_linestatus"], "l_quantity")
+    return s.select("column", "n_changed", F.bround("changed", 6).alias("changed"), "n_same", F.bround("same", 6).alias("same"))
