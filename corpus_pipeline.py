@@ -9,8 +9,8 @@ from tidemark.llm import quality_crf
 from tidemark.llm.base import scratch, table
 from tidemark.llm.exact_dedup import exact_dedup
 from tidemark.llm.mixing import mixed_documents
+from tidemark.llm.near_text import near_texts
 from tidemark.llm.packing import pack
-from tidemark.llm.simhash import near_duplicates
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -31,8 +31,8 @@ def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of smallest doc_id of each group of near duplicates; a document without id stays."""
-    found = near_duplicates(docs.select("doc_id", "text"))
+    """Keeps the document of smallest doc_id of each group of near duplicates (0.8 of all five-word shingles or more are common); a document without id stays."""
+    found = near_texts(docs.select("doc_id", "text"))
     kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
     return docs.join(kept, docs["doc_id"] == kept["__id"], "left_semi").unionByName(docs.where("doc_id is null")).select(*COLUMNS)
 

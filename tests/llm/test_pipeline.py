@@ -41,3 +41,44 @@ def test_run(spark, sf_dir):
     out = p.run(spark, sf_dir)
     assert out.agg(F.min("length"), F.max("length")).first()[1] <= 1024
     assert out.join(d, "doc_id", "left_anti").count() == 0
+
+
+def test_near_dedup_is_jaccard(spark, sf_dir):
+    """Links of all degrees about 0.8, one large group of near copies around a text, and texts with a passage in common."""
+    import random
+
+    r = random.Random(4)
+    word = lambda: f"w{r.randrange(5000)}"
+    passage = [word() for _ in range(30)]
+    lines = []
+    for k in range(25):
+        base = [word() for _ in range(r.choice([3, 5, 12, 60, 200]))] + (passage if k % 3 == 0 else [])
+        lines.append(base)
+        for changes in range(1, 6):
+            copy = list(base)
+            for _ in range(changes):
+                copy[r.randrange(len(copy))] = word()
+            lines.append(copy)
+    big = [word() for _ in range(150)]
+    for _ in range(80):
+        copy = list(big)
+        for _ in range(r.randrange(1, 5)):
+            copy[r.randrange(len(copy))] = word()
+        lines.append(copy)
+    r.shuffle(lines)
+    rows = [(i, " ".join(x), None, None) for i, x in enumerate(lines)]
+
+    grams = [{tuple(x[i : i + 5]) for i in range(max(1, len(x) - 4))} for x in lines]
+    low = list(range(len(lines)))
+    def find(i):
+        while low[i] != i:
+            i = low[i]
+        return i
+    for i in range(len(lines)):
+        for j in range(i):
+            if 5 * len(grams[i] & grams[j]) >= 4 * len(grams[i] | grams[j]):
+                a, b = find(i), find(j)
+                low[max(a, b)] = min(a, b)
+    want = {i for i in range(len(lines)) if find(i) == i}
+    assert len(want) < len(lines) - 60
+    assert {x.doc_id for x in p.near_dedup(spark, _plain(spark, rows).repartition(5), sf_dir).collect()} == want

@@ -1,0 +1,172 @@
+"""Near-duplicate texts: exact Jaccard similarity of shingles, found with a prefix filter.
+
+A text is the set of its shingles. Shingles have one order for all texts; two sets
+of similarity t or more have a shingle in common among the first n - ceil(t * n) + 1
+of each (n: size of the set), so texts that share none there are never compared,
+and no pair is lost. The order puts frequent shingles last, as counted in a
+bounded sample (``SAMPLE`` texts, ``COMMON`` shingles); the sample changes what is
+compared, never what is found. Candidates are decided by the whole sets.
+
+Only components are asked for. So each text is first compared with a few texts (``HUBS``)
+that stand for the groups of its shingles, which joins most of a large group
+in a linear number of comparisons; then all candidates that are not joined yet are compared.
+
+Shingles and texts are told apart by hashes of 64 bits.
+
+Defined cases: null text counts as empty; texts without words are alike; fewer words
+than a shingle are one shingle; a null id can link but is never a component's id
+unless all are null; repeated rows each get an answer; an empty table gives an
+empty result; other columns are ignored.
+"""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterator
+from fractions import Fraction
+
+import numpy as np
+import pandas as pd
+import xxhash
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from .base import components, cut
+
+SAMPLE = 20_000
+COMMON = 200_000
+HUBS = 4
+LEAST = Fraction(4, 5)
+SEED = 42
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+
+
+class _Words(dict):
+    """Hashes of words, kept while there are few."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 200_000:
+            self.clear()
+        self[word] = found = xxhash.xxh64_intdigest(word, SEED)
+        return found
+
+
+_words = _Words()
+_ODD = [int(x) | 1 for x in np.random.default_rng(SEED).integers(0, 1 << 64, 256, dtype=np.uint64)]
+
+
+def shingles(text: str | None, words: int = 5) -> np.ndarray:
+    """The sorted hashes of the distinct shingles of a text."""
+    found = _WORD.findall((text or "").encode().lower())  # bytes: only A-Z change
+    if not found:
+        return np.zeros(1, np.int64)
+    w = np.fromiter(map(_words.__getitem__, found), np.uint64, len(found))
+    size = min(words, len(found))
+    h = np.zeros(len(found) - size + 1, np.uint64)
+    for j in range(size):
+        h += w[j : j + len(h)] * np.uint64(_ODD[j])
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(_ODD[-1])
+    h ^= h >> np.uint64(29)
+    return np.unique(h.view(np.int64))
+
+
+def _needed(n: int, least: Fraction) -> int:
+    return -(-least.numerator * n // least.denominator)
+
+
+def _similar(pairs: DataFrame, texts: DataFrame, words: int, least: Fraction) -> DataFrame:
+    """Of pairs (a, b), those of similarity `least` or more. texts: (e, text)."""
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("e")).distinct()
+    some = cut(texts.join(asked, "e", "left_semi").groupBy("e").agg(F.first("text").alias("text")))
+    both = pairs.join(some.select(F.col("e").alias("a"), F.col("text").alias("s")), "a").join(some.select(F.col("e").alias("b"), F.col("text").alias("t")), "b")
+
+    def decide(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept: dict[int, np.ndarray] = {}
+
+        def of(e: int, text: str) -> np.ndarray:
+            if e not in kept:
+                if len(kept) > 500:
+                    kept.clear()
+                kept[e] = shingles(text, words)
+            return kept[e]
+
+        for frame in frames:
+            near = []
+            for a, b, s, t in zip(frame["a"], frame["b"], frame["s"], frame["t"]):
+                x, y = of(a, s), of(b, t)
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                near.append(common * least.denominator >= (len(x) + len(y) - common) * least.numerator)
+            yield frame.loc[np.array(near, bool), ["a", "b"]]
+
+    return cut(both.mapInPandas(decide, "a long, b long"))
+
+
+def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: Fraction = LEAST) -> DataFrame:
+    """One row per row of docs: doc_id, component_id."""
+    spark = docs.sparkSession
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("e"), text.alias("text"))
+    texts = rows.select("e", "text")
+
+    @F.pandas_udf("array<long>")
+    def sets(found: pd.Series) -> pd.Series:
+        return found.map(lambda t: shingles(t, words))
+
+    share = max(1, rows.count() // SAMPLE)
+    count = F.count("*")
+    common = (
+        texts.where(F.pmod(F.xxhash64("e"), F.lit(share)) == 0).select(F.explode(sets("text")).alias("key"))
+        .groupBy("key").agg(count.alias("n")).where("n > 2").orderBy(F.desc("n"), "key").limit(COMMON).toPandas().sort_values("key")
+    )
+    sent = spark.sparkContext.broadcast((common["key"].to_numpy(np.int64), common["n"].to_numpy(np.int64)))
+
+    def prefixes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known, often = sent.value
+        for frame in frames:
+            for at in range(0, len(frame), 200):
+                e, n, pos, keys = [], [], [], []
+                for own, found in zip(frame["e"][at : at + 200], frame["text"][at : at + 200]):
+                    h = shingles(found, words)
+                    if len(known):
+                        place = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                        h = h[np.argsort(np.where(known[place] == h, often[place], 0), kind="stable")]
+                    first = len(h) - _needed(len(h), least) + 1
+                    e.append(np.full(first, own, np.int64))
+                    n.append(np.full(first, len(h), np.int32))
+                    pos.append(np.arange(first, dtype=np.int32))
+                    keys.append(h[:first])
+                yield pd.DataFrame({"key": np.concatenate(keys), "e": np.concatenate(e), "n": np.concatenate(n), "pos": np.concatenate(pos)})
+
+    key = Window.partitionBy("key")
+    shared = texts.mapInPandas(prefixes, "key long, e long, n int, pos int")
+    shared = shared.withColumn("low", F.min("e").over(key)).withColumn("high", F.max("e").over(key)).where("low < high").drop("low", "high")
+    shared = cut(shared.withColumn("hub", F.min(F.struct(F.xxhash64("key", "e").alias("h"), "e", "n", "pos")).over(key)))
+
+    up, down = least.numerator, least.denominator + least.numerator
+
+    def possible(n, pos, m, qos):
+        """Whether what follows a common shingle is enough; true of the first common one of any similar pair."""
+        return F.lit(down) * F.least(n - pos, m - qos).cast("long") >= F.lit(up) * (n.cast("long") + m)
+
+    order = Window.partitionBy("e").orderBy("key")
+    stars = shared.where("e <> hub.e").where(possible(F.col("n"), F.col("pos"), F.col("hub.n"), F.col("hub.pos")))
+    stars = stars.groupBy("e", F.col("hub.e").alias("hub")).agg(F.min("key").alias("key"))
+    stars = stars.withColumn("k", F.row_number().over(order)).where(F.col("k") <= HUBS)
+    stars = cut(stars.select(F.least("e", "hub").alias("a"), F.greatest("e", "hub").alias("b")).distinct())
+    near = _similar(stars, texts, words, least)
+    joined = components(near).select(F.col("node").alias("e"), "component")
+
+    left = shared.drop("hub").join(joined, "e", "left").withColumn("c", F.coalesce("component", "e")).drop("component")
+    left = left.withColumn("low", F.min("c").over(key)).withColumn("high", F.max("c").over(key)).where("low < high").select("key", "e", "n", "pos", "c").distinct()
+    left = cut(left)
+    a = left.select("key", F.col("e").alias("a"), F.col("n").alias("an"), F.col("pos").alias("ap"), F.col("c").alias("ac"))
+    b = left.select("key", F.col("e").alias("b"), F.col("n").alias("bn"), F.col("pos").alias("bp"), F.col("c").alias("bc"))
+    fits = possible(F.col("an"), F.col("ap"), F.col("bn"), F.col("bp"))
+    pairs = a.join(b, (a["key"] == b["key"]) & (F.col("a") < F.col("b")) & (F.col("ac") != F.col("bc")) & fits).select("a", "b").distinct()
+    more = _similar(cut(pairs.join(stars, ["a", "b"], "left_anti")), texts, words, least)
+    joined = components(near.unionByName(more)).select(F.col("node").alias("e"), "component")
+
+    out = cut(rows.select("doc_id", "e")).join(joined, "e", "left").select("doc_id", F.coalesce("component", "e").alias("component"))
+    low = out.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    return out.join(low, "component").select("doc_id", "component_id")
