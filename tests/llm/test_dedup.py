@@ -119,3 +119,17 @@ def test_vectors(spark):
         assert got.columns == ["vec_id", "n_links", "component_id", "kept"]
         assert Counter((r.vec_id, r.n_links, r.component_id) for r in got.collect()) == want
     assert embedding_dedup.near_vectors(frame.limit(0)).collect() == []
+
+
+def test_vectors_where_the_sample_runs_out(spark):
+    """Tight groups far larger than a leaf, in nodes of a few sampled vectors: 99 % of all links are found at least."""
+    rng = np.random.default_rng(7)
+    x = rng.standard_normal((4, 64)).repeat(150, 0) + rng.standard_normal((600, 64)) * 0.12
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = (unit @ unit.T >= 0.95).sum(1) - 1
+    assert want.sum() > 80_000
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    got = embedding_dedup.near_vectors(frame, sample=24, leaf=20).select("vec_id", "n_links").collect()
+    assert sum(r.n_links for r in got) >= 0.99 * want.sum()
+    assert all(r.n_links <= want[r.vec_id] for r in got)

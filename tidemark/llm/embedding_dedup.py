@@ -3,9 +3,8 @@
 Equal vectors are one entry with a weight. Each tree splits space by random
 directions; a split is put where few vectors are near, within the middle half, so
 that clusters stay whole, and vectors near it go to both sides. Trees are fitted
-on a bounded sample (``SAMPLE`` entries); below a node where the sample runs out,
-further splits go through the node's mean by directions that need no fitting, as
-many as the number of vectors asks for. All vectors are then routed to leaves, all
+on a bounded sample (``SAMPLE`` entries) and end where it runs out, so leaves grow
+with the number of vectors beyond it. All vectors are then routed to leaves, all
 pairs within a leaf are compared in double precision, and the links of all trees
 are united.
 
@@ -57,8 +56,7 @@ class Tree:
         me = len(self.nodes)
         self.nodes.append(())
         if len(sample) * scale <= leaf or len(sample) < 8:
-            extra = max(0, math.ceil(math.log2(max(len(sample), 1) * scale / leaf))) if len(sample) else 0
-            self.nodes[me] = (None, sample.mean(0) if len(sample) else np.zeros(self.dim), extra)
+            self.nodes[me] = (None,)
             return me
         d = self._direction(0, me)
         p = np.sort(sample @ d)
@@ -67,15 +65,15 @@ class Tree:
         at = float(places[near.argmin()])
         side = sample @ d > at
         if side.all() or not side.any():  # nothing to split by: all alike
-            self.nodes[me] = (None, sample.mean(0), 0)
+            self.nodes[me] = (None,)
             return me
         left = self._grow(sample[~side], scale, leaf, seed)
         right = self._grow(sample[side], scale, leaf, seed)
         self.nodes[me] = (d, at, left, right)
         return me
 
-    def leaves(self, x: np.ndarray) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
-        """(rows, node, bits of the further splits) for all leaves that vectors reach."""
+    def leaves(self, x: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
+        """(rows, node) for all leaves that vectors reach."""
         todo = [(0, np.arange(len(x)))]
         while todo:
             node, rows = todo.pop()
@@ -83,10 +81,7 @@ class Tree:
                 continue
             n = self.nodes[node]
             if n[0] is None:
-                bits = np.zeros(len(rows), np.int64)
-                for j in range(n[2]):
-                    bits = bits * 2 + ((x[rows] - n[1]) @ self._direction(1, j) > 0)
-                yield rows, node, bits
+                yield rows, node
                 continue
             p = x[rows] @ n[0]
             todo += [(n[2], rows[p <= n[1] + self.margin]), (n[3], rows[p > n[1] - self.margin])]
@@ -156,9 +151,9 @@ def near_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
                 c, v, weight = part["c"].to_numpy(), part["v"].to_numpy(), part["weight"].to_numpy()
                 rows, names = [], []
                 for t, tree in enumerate(sent.value[d]):
-                    for got, node, bits in tree.leaves(x):
+                    for got, node in tree.leaves(x):
                         rows.append(got)
-                        names.append((t << 56) + (node << 32) + bits)
+                        names.append(np.full(len(got), (t << 56) + (node << 32), np.int64))
                 row, name = np.concatenate(rows), np.concatenate(names)
                 order = np.lexsort((name, row))
                 of = np.split(name[order], np.flatnonzero(np.diff(row[order])) + 1)
