@@ -127,6 +127,14 @@ def vector_moments(rows: DataFrame, keys: list[str], vector: str) -> DataFrame:
     return rows.select(*keys, F.posexplode(vector).alias("dim", "x")).groupBy(*keys, "dim").agg(F.count("x").alias("n"), F.avg(F.col("x").cast("double")).alias("mean"), F.var_pop(F.col("x").cast("double")).alias("variance"))
 
 
+def vector_covariance(rows: DataFrame, keys: list[str], vector: str) -> DataFrame:
+    """(keys, i, j, n, covariance) of components i <= j, over vectors that have both; summed in each partition before the shuffle."""
+    one = rows.select(*keys, F.col(vector).alias("__v")).select(*keys, "__v", F.posexplode("__v").alias("i", "__x"))
+    two = one.select(*keys, "i", "__x", F.posexplode("__v").alias("j", "__y")).where("i <= j")
+    x, y = F.col("__x").cast("double"), F.col("__y").cast("double")
+    return two.groupBy(*keys, "i", "j").agg(F.count(F.when(x.isNotNull(), y)).alias("n"), F.covar_pop(x, y).alias("covariance"))
+
+
 def mean_distance(rows: DataFrame, vector: str, order: list[Column], n: int = 512) -> DataFrame:
     """Mean Euclidean distance over all ordered pairs of at most n vectors, each with itself too."""
     some = rows.orderBy(*order).limit(n).agg(F.collect_list(F.transform(vector, lambda x: x.cast("double"))).alias("vs"))
