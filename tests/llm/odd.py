@@ -18,6 +18,7 @@ def texts(n: int = 60, seed: int = 5) -> list[tuple[int | None, str | None, str
     copy = rows[3]
     rows += [(n, copy[1], "en", "web"), (n + 1, copy[1], "en", "web"), copy, (n + 2, copy[1] + " ", "en", "web")]
     rows += [(n + 3, None, None, None), (n + 4, "", "en", "web"), (None, "", "en", None), (None, copy[1], None, "book"), (n + 5, "   \t\n", "de", "x")]
+    rows += [(2**53 + 1, "beyond what a double holds", "en", "web"), (-(2**63) + 1, "far below", "en", "web"), (-(2**63) + 1, "far below", "en", "web"), (2**63 - 1, copy[1] + "!", "de", "book")]
     rows += [(n + 6, "word " * 40_000, "en", "web"), (n + 7, "x" * 120_000, "en", "web"), (n + 8, "\x00 ☃ \U0001F600", "en", "web"), (n + 9, "1234 5678", "en", "web")]
     return rows
 

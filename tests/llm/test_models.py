@@ -19,13 +19,11 @@ from tidemark.llm.packing import pack
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def test_packing_round_trip(spark, tokenizer):
-    rows = texts() + [(900, "<|endoftext|> a <|endoftext|>", "en", "web")]
+    rows = texts() + [(900, "q <|endoftext|> r  <|endoftext|>", "en", "web"), (901, " " * 2_000_000 + "x", "en", "web")]
     got = pack(docs(spark, rows), window=256).collect()
     want = Counter()
     for i, t, *_ in rows:
@@ -45,33 +43,58 @@ def test_packing_round_trip(spark, tokenizer):
     assert pack(docs(spark, [])).collect() == []
 
 
-def test_segmentations_are_summed():
-    """The forward algorithm against an enumeration of all ways to cut a word."""
-    word = language_id.MARK + "tion"
-    table, size = language_id.vocabulary(None)
-    rng = np.random.default_rng(2)
-    prob = rng.random((size + 1, 1)) / size
-    number = {}
-    for a in range(len(word)):
-        for b in range(a + 1, len(word) + 1):
-            keys, numbers = table[b - a - 1]
-            h = language_id._hashes(np.array([[ord(c) for c in word[a:b]]], np.uint64))[0]
-            at = np.searchsorted(keys, h)
-            if at < len(keys) and keys[at] == h:
-                number[word[a:b]] = numbers[at]
-    total = 0.0
+@pytest.mark.parametrize("word", ["tion", "a☃b", "über"])
+def test_segmentations_are_summed(word):
+    """The forward algorithm against an enumeration of all ways to cut a word, and expected counts against their derivatives."""
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    number = {p: k for k, p in enumerate(p for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i)) for p in [sp.id_to_piece(i)])}
+    word = language_id.MARK + word
+    prob = np.random.default_rng(2).random((len(number) + 1, 1)) / len(number)
+    total, uses = 0.0, Counter()
     for cuts in itertools.product([0, 1], repeat=len(word) - 1):
         ends = [0, *(i + 1 for i, c in enumerate(cuts) if c), len(word)]
         pieces = [word[a:b] for a, b in itertools.pairwise(ends)]
-        if all(p in number for p in pieces):
-            total += math.prod(prob[number[p], 0] for p in pieces)
-    assert language_id.Lattice([word], None).forward(prob)[-1][0, 0] == pytest.approx(total)
+        if all(p in number or len(p) == 1 for p in pieces):
+            ks = [number.get(p, len(number)) for p in pieces]
+            p = math.prod(prob[k, 0] for k in ks)
+            total += p
+            for k in ks:
+                uses[k] += p
+    lattice = language_id.Lattice(["▁x", word, "▁yes"], None)
+    assert lattice.forward(prob)[1, 0] == pytest.approx(math.log(total))
+    got = lattice.expected(prob, np.array([0.0, 1.0, 0.0]))
+    assert {k: got[k] for k in uses} == pytest.approx({k: p / total for k, p in uses.items()})
+    assert got.sum() == pytest.approx(sum(uses.values()) / total)
+
+
+def test_long_words_are_not_cut():
+    """A word of thousands of characters against the plain recursion in logarithms."""
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    number = {p: k for k, p in enumerate(p for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i)) for p in [sp.id_to_piece(i)])}
+    rng = np.random.default_rng(5)
+    prob = rng.random((len(number) + 1, 2)) * [1e-4, 1e-6]
+    words = [language_id.MARK + "".join(rng.choice(list("abcdeёש中☃")) for _ in range(n)) for n in (3, 40, 3000)]
+    got = language_id.Lattice(words, None).forward(prob)
+    for w, row in zip(words, got):
+        for lang in range(2):
+            f = [0.0]
+            for j in range(1, len(w) + 1):
+                terms = [f[i] + math.log(prob[number.get(w[i:j], len(number)), lang]) for i in range(max(0, j - 40), j) if w[i:j] in number or i == j - 1]
+                top = max(terms)
+                f.append(top + math.log(sum(math.exp(t - top) for t in terms)))
+            assert row[lang] == pytest.approx(f[-1])
 
 
 def test_language_cases(spark):
     d = docs(spark)
     model = language_id.fit(d)
-    got = {r.doc_id: r for r in language_id.predict(d, model).where("doc_id is not null").collect()}
+    answers = language_id.predict(d, model).collect()
+    assert Counter(r.doc_id for r in answers) == Counter(i for i, *_ in texts())
+    got = {r.doc_id: r for r in answers if r.doc_id is not None}
     assert got[63].lang_pred == got[64].lang_pred == got[65].lang_pred == got[69].lang_pred == "und"  # null, empty, blank, digits
     assert all(0 <= r.score <= 1 and r.lang_pred in ("en", "de", "und") for r in got.values())
     nothing = language_id.fit(d.limit(0))

@@ -46,11 +46,12 @@ def held_out(doc_id: str, folds: int):
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(folds)) == 0
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable, for every node on an edge (a, b).
 
-    Alternating large-star and small-star steps. Each step moves a row per edge
-    at most; the join behind a hub is an ordinary one that adaptive execution
+    Alternating large-star and small-star steps, until an edge set is one star
+    for each component and stays as it is. Each step moves a row per edge at
+    most; the join behind a hub is an ordinary one that adaptive execution
     splits. Every round is checkpointed.
     """
     e = cut(
@@ -59,7 +60,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         .distinct()
     )
     mark = None
-    for _ in range(rounds):
+    while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))

@@ -4,12 +4,13 @@ Each language has probabilities over the pieces of a fixed public vocabulary. A
 word's probability is the sum over all its segmentations into pieces, found by
 the forward algorithm; a text's is the product over its words. Piece
 probabilities are learned by expectation-maximisation, with forward-backward
-counts, on a bounded sample of documents (``SAMPLE``, smallest hash first). The
+counts, on a bounded sample (``SAMPLE`` documents of each language, smallest hash first). The
 prediction is the language of the largest posterior, and the score is that
 posterior.
 
-Words are kept with a mark in front, as the vocabulary has them; a stretch of
-more than ``STRETCH`` characters without space goes on as a further word. A
+Words are whole, with a mark in front as the vocabulary has them, however long:
+the forward pass keeps the positions that a piece can span and rescales them as
+it goes, so that neither memory nor the smallest number grows with the word. A
 character that is no piece has a small fixed probability.
 
 Defined cases: null text, or text without any letter, is `und` with score 0;
@@ -26,116 +27,165 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .base import held_out
 
-SAMPLE = 2000
+SAMPLE = 600
 FOLDS = 5
-STRETCH = 31
 UNKNOWN = 1e-7
 MARK = "▁"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-#: Words remembered in a task, at most.
-KEPT = 300_000
+#: Words remembered in a task, at most, and their longest.
+KEPT, LONGEST = 300_000, 48
+
+
+class Vocabulary:
+    """For each length: sorted hashes of the pieces, their numbers, and sorted hashes of what longer pieces begin with."""
+
+    def __init__(self, pieces: list[str]):
+        self.size, self.longest = len(pieces), max(map(len, pieces))
+        chars = np.zeros((len(pieces), self.longest), np.uint64)
+        length = np.array([len(p) for p in pieces])
+        chars[np.arange(self.longest) < length[:, None]] = _codes("".join(pieces))
+        h, self.table = np.zeros(len(pieces), np.uint64), []
+        for n in range(1, self.longest + 1):
+            h = _further(h, chars[:, n - 1])
+            own = np.flatnonzero(length == n)
+            own = own[np.argsort(h[own])]
+            self.table.append((h[own], own, np.unique(h[length > n])))
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+
+
+def _further(h: np.ndarray, char: np.ndarray) -> np.ndarray:
+    return h * _BASE + char + np.uint64(1)
+
+
+def _find(keys: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places, whether h is there)."""
+    if not len(keys):
+        return np.zeros(len(h), np.int64), np.zeros(len(h), bool)
+    at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+    return at, keys[at] == h
 
 
 @cache
-def vocabulary(path: str | None) -> tuple[list[tuple[np.ndarray, np.ndarray]], int]:
-    """For each length, hashes of the pieces in order and their numbers; and how many pieces there are."""
+def vocabulary(path: str | None) -> Vocabulary:
     import public_tokenizers
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path or public_tokenizers.path("piece_bpe_32k.model"))
-    pieces = [sp.id_to_piece(i) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))]
-    by: dict[int, list[tuple[int, int]]] = defaultdict(list)
-    for k, piece in enumerate(pieces):
-        if len(piece) <= STRETCH + 1:
-            by[len(piece)].append((int(_hashes(np.array([[ord(c) for c in piece]], np.uint64))[0]), k))
-    table = []
-    for n in range(1, max(by) + 1):
-        rows = sorted(by.get(n, []))
-        table.append((np.array([h for h, _ in rows], np.uint64), np.array([k for _, k in rows], np.int64)))
-    return table, len(pieces)
-
-
-def _hashes(chars: np.ndarray) -> np.ndarray:
-    h = np.zeros(len(chars), np.uint64)
-    for i in range(chars.shape[1]):
-        h = h * _BASE + chars[:, i] + np.uint64(1)
-    return h
+    return Vocabulary([sp.id_to_piece(i) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))])
 
 
 def words_of(text: str) -> list[str]:
-    out = []
-    for w in text.split():
-        w = MARK + w
-        out += [w] if len(w) <= STRETCH + 1 else [w[i : i + STRETCH] for i in range(0, len(w), STRETCH)]
-    return out
+    return [MARK + w for w in text.split()]
 
 
 class Lattice:
-    """All pieces at all places of words of one length."""
+    """All pieces at all places of some words."""
 
     def __init__(self, words: list[str], path: str | None):
-        table, self.pieces = vocabulary(path)
-        self.size = len(words[0])
-        chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(words), self.size).astype(np.uint64)
-        self.rows = len(words)
-        #: (start, length, rows where a piece stands there, its number); number -1: a character that is no piece
-        self.arcs: list[tuple[int, int, np.ndarray, np.ndarray]] = []
-        for i in range(self.size):
-            h = np.zeros(self.rows, np.uint64)
-            for n in range(1, min(len(table), self.size - i) + 1):
-                h = h * _BASE + chars[:, i + n - 1] + np.uint64(1)
-                keys, numbers = table[n - 1]
-                at = np.minimum(np.searchsorted(keys, h), max(len(keys) - 1, 0))
-                hit = keys[at] == h if len(keys) else np.zeros(self.rows, bool)
-                rows = np.flatnonzero(hit)
-                if len(rows):
-                    self.arcs.append((i, n, rows, numbers[at[rows]]))
-                if n == 1 and len(rows) < self.rows:
-                    rest = np.flatnonzero(~hit)
-                    self.arcs.append((i, 1, rest, np.full(len(rest), -1)))
-
-    def forward(self, prob: np.ndarray) -> np.ndarray:
-        """Sums over the segmentations of each prefix: (size + 1) x rows x languages. prob: (pieces + 1) x languages; its last row is for unknown characters."""
-        out = np.zeros((self.size + 1, self.rows, prob.shape[1]))
+        v = vocabulary(path)
+        self.pieces, self.ring, self.rows = v.size, v.longest + 1, len(words)
+        self.length = np.array([len(w) for w in words])
+        flat = _codes("".join(words))
+        row = np.repeat(np.arange(self.rows), self.length)
+        place = np.arange(len(flat)) - np.repeat(np.cumsum(self.length) - self.length, self.length)
+        left = self.length[row] - place
+        at, h, arcs = np.arange(len(flat)), np.zeros(len(flat), np.uint64), []
+        for n, (keys, numbers, further) in enumerate(v.table, 1):
+            h = _further(h, flat[at + n - 1])
+            k, hit = _find(keys, h)
+            arcs.append((at[hit], np.full(hit.sum(), n), numbers[k[hit]] if len(keys) else k[hit]))
+            if n == 1:  # a character that is no piece: number -1
+                arcs.append((at[~hit], np.ones((~hit).sum(), np.int64), np.full((~hit).sum(), -1)))
+            on = _find(further, h)[1] & (left[at] > n)
+            at, h = at[on], h[on]
+            if not len(at):
+                break
+        at, n, k = (np.concatenate(x) for x in zip(*arcs))
+        #: (start, length, rows where a piece stands there, its number), by start
+        self.arcs = self._grouped(place[at], n, row[at], k)
+
+    @staticmethod
+    def _grouped(start: np.ndarray, n: np.ndarray, row: np.ndarray, k: np.ndarray) -> list[tuple]:
+        order = np.lexsort((n, start))
+        start, n, row, k = start[order], n[order], row[order], k[order]
+        cuts = np.flatnonzero((np.diff(start) != 0) | (np.diff(n) != 0)) + 1
+        firsts = np.append(0, cuts) if len(start) else cuts
+        return list(zip(start[firsts].tolist(), n[firsts].tolist(), np.split(row, cuts), np.split(k, cuts)))
+
+    def forward(self, prob: np.ndarray, trace: np.ndarray | None = None) -> np.ndarray:
+        """log of the sum over all segmentations: rows x languages. prob: (pieces + 1) x languages; its last row is for unknown characters.
+
+        trace: takes the log sums of all prefixes, for one language: (longest word + 1) x rows.
+        """
+        out = np.zeros((self.ring, self.rows, prob.shape[1]))
         out[0] = 1.0
-        for i, n, rows, k in self.arcs:
-            out[i + n][rows] += out[i][rows] * prob[k]
-        return out
+        scale, total = np.zeros(out.shape[1:]), np.zeros(out.shape[1:])
+        ends = np.argsort(self.length, kind="stable")
+        edge = np.searchsorted(self.length[ends], np.arange(self.length.max() + 2))
+        g = 0
+        for i in range(self.length.max() + 1):
+            now = out[i % self.ring]
+            if edge[i] < edge[i + 1]:
+                done = ends[edge[i] : edge[i + 1]]
+                total[done] = np.log(now[done]) + scale[done]
+            if trace is not None:
+                trace[i] = np.log(np.maximum(now[:, 0], 1e-300)) + scale[:, 0]
+            while g < len(self.arcs) and self.arcs[g][0] == i:
+                _, n, rows, k = self.arcs[g]
+                out[(i + n) % self.ring][rows] += now[rows] * prob[k]
+                g += 1
+            now[:] = 0.0
+            if i % 16 == 15:
+                most = out.max(0)
+                low = (most < 1e-100) & (most > 0)
+                out *= np.where(low, 1 / np.where(low, most, 1), 1)
+                scale += np.where(low, np.log(np.where(low, most, 1)), 0)
+        return total
 
     def expected(self, prob: np.ndarray, weight: np.ndarray) -> np.ndarray:
-        """Expected counts of pieces, by forward-backward. prob: (pieces + 1) x 1."""
-        fwd = self.forward(prob)
-        bwd = np.zeros_like(fwd)
-        bwd[self.size] = 1.0
-        count = np.zeros(len(prob))
-        scale = weight / fwd[self.size][:, 0]
-        for i, n, rows, k in sorted(self.arcs, key=lambda a: -a[0]):
-            bwd[i][rows] += bwd[i + n][rows] * prob[k]
-        for i, n, rows, k in self.arcs:
-            share = (fwd[i][rows] * prob[k] * bwd[i + n][rows])[:, 0] * scale[rows]
-            count += np.bincount(np.where(k < 0, len(prob) - 1, k), share, len(prob))
-        return count
-
-
-def _by_length(words: list[str]) -> dict[int, list[str]]:
-    out: dict[int, list[str]] = defaultdict(list)
-    for w in words:
-        out[len(w)].append(w)
-    return out
+        """Expected counts of pieces, from the shares of all pieces that end at a place. prob: (pieces + 1) x 1."""
+        log_f = np.zeros((self.length.max() + 1, self.rows))
+        self.forward(prob, log_f)
+        log_p, passed = np.log(prob[:, 0]), np.zeros_like(log_f)
+        passed[self.length, np.arange(self.rows)] = 1.0
+        numbers, shares = [], []
+        for i, n, rows, k in sorted(self.arcs, key=lambda a: -a[0] - a[1]):
+            share = passed[i + n][rows] * np.exp(log_f[i][rows] + log_p[k] - log_f[i + n][rows])
+            passed[i][rows] += share
+            numbers.append(k)
+            shares.append(share * weight[rows])
+        k = np.concatenate(numbers)
+        return np.bincount(np.where(k < 0, len(prob) - 1, k), np.concatenate(shares), len(prob))
+
+
+def _slabs(words: list[str], cells: int, each: int) -> Iterator[list[str]]:
+    """Words by length, so many together that rows x max(length, each) stays below cells (a longer word is a slab of its own)."""
+    part: list[str] = []
+    for w in sorted(words, key=len):
+        if part and (len(part) + 1) * max(len(w), each) > cells:
+            yield part
+            part = []
+        part.append(w)
+    if part:
+        yield part
 
 
 def learn(counts: dict[str, Counter], path: str | None, rounds: int = 3) -> tuple[list[str], np.ndarray]:
     """(languages, (pieces + 1) x languages probabilities)."""
     names = sorted(counts)
-    _, size = vocabulary(path)
+    size = vocabulary(path).size
     columns = []
     for name in names:
-        lattices = [(Lattice(ws, path), np.array([counts[name][w] for w in ws], float)) for ws in _by_length(list(counts[name])).values()]
+        lattices = [(Lattice(ws, path), np.array([counts[name][w] for w in ws], float)) for ws in _slabs(list(counts[name]), 400_000, 40)]
         prob = np.full((size + 1, 1), 1.0 / size)
         prob[-1] = UNKNOWN
         for _ in range(rounds):
@@ -147,20 +197,17 @@ def learn(counts: dict[str, Counter], path: str | None, rounds: int = 3) -> tupl
 
 def word_scores(words: list[str], prob: np.ndarray, path: str | None) -> dict[str, np.ndarray]:
     """log P(word) in each language."""
-    out = {}
-    for ws in _by_length(words).values():
-        for at in range(0, len(ws), 50_000):
-            part = ws[at : at + 50_000]
-            lat = Lattice(part, path)
-            got = np.log(np.maximum(lat.forward(prob)[lat.size], 1e-300))
-            out.update(zip(part, got))
+    out: dict[str, np.ndarray] = {}
+    for ws in _slabs(words, 4_000_000 // max(prob.shape[1], 1), vocabulary(path).longest):
+        out.update(zip(ws, Lattice(ws, path).forward(prob)))
     return out
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, folds: int = FOLDS, path: str | None = None):
     """Learns from documents outside the held-out fold whose language is known; returns a model for `predict`."""
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col, folds))
-    ids = known.select(F.col(id_col).alias("k")).where("k is not null").orderBy(F.xxhash64("k"), "k").limit(sample)  # bounded
+    own = Window.partitionBy("lang").orderBy(F.xxhash64("k"), "k")  # limited before the shuffle, so a large language is no large task
+    ids = known.select(F.col(id_col).alias("k"), F.col(lang_col).alias("lang")).where("k is not null").withColumn("n", F.row_number().over(own)).where(F.col("n") <= sample).select("k")
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("k"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -189,24 +236,23 @@ def predict(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "tex
     """One row per row of docs: doc_id, lang_pred, score."""
     names, prob, prior, path = model
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, np.ndarray] = {}
-        for frame in frames:
-            texts = frame["text"].tolist()
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
             langs, scores = ["und"] * len(texts), [0.0] * len(texts)
             for at in range(0, len(texts), 500):
                 bags = [Counter(words_of(t)) if t and names and any(map(str.isalpha, t)) else None for t in texts[at : at + 500]]
-                fresh = sorted({w for b in bags if b for w in b if w not in known})
                 if len(known) > KEPT:
                     known = {}
-                    fresh = sorted({w for b in bags if b for w in b})
-                known.update(word_scores(fresh, prob, path))
+                fresh = word_scores(list({w for b in bags if b for w in b if w not in known}), prob, path)
+                known.update((w, p) for w, p in fresh.items() if len(w) <= LONGEST)
                 for i, bag in enumerate(bags, at):
                     if bag:
-                        total = prior + np.fromiter(bag.values(), float) @ np.array([known[w] for w in bag])
+                        total = prior + np.fromiter(bag.values(), float) @ np.array([known[w] if w in known else fresh[w] for w in bag])
                         post = np.exp(total - total.max())
                         k = int(post.argmax())
                         langs[i], scores[i] = names[k], float(post[k] / post.sum())
-            yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "lang_pred": langs, "score": scores})
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, "doc_id long, lang_pred string, score double")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")

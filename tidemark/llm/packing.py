@@ -14,8 +14,8 @@ are counted in blocks, so a length that a third of all pieces share is numbered
 by many tasks.
 
 Ids come from the ranks of the vocabulary file, which give the tokenizer's own
-ids at a fraction of its time; tests compare both. Special tokens' strings in a
-text are ordinary text.
+ids at a fraction of its time; tests compare both. As the tokenizer does unless
+told otherwise, its special token's string in a text becomes that token's id.
 
 Defined cases: null text counts as empty and is the end token alone; repeated
 rows are packed each; a null id stays null; an empty table gives an empty
@@ -30,7 +30,7 @@ from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,19 +48,17 @@ def encoder(ranks_path: str | None, json_path: str | None):
     import tiktoken
     from tokenizers import Tokenizer
 
+    plain = Tokenizer.from_file(json_path or public_tokenizers.path("byte_bpe_50k.json"))
+    special = {t.content: i for i, t in plain.get_added_tokens_decoder().items()}
     lines = open(ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb").read().splitlines()
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    fast = tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    plain: list = []
+    fast = tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
     def ids(text: str) -> list[int]:
         try:
-            return fast.encode_ordinary(text)
-        except Exception:  # its pattern engine gives up on some very long runs
-            if not plain:
-                plain.append(Tokenizer.from_file(json_path or public_tokenizers.path("byte_bpe_50k.json")))
-                plain[0].encode_special_tokens = True
-            return plain[0].encode(text, add_special_tokens=False).ids
+            return fast.encode(text, allowed_special="all")
+        except ValueError:  # its pattern engine gives up on very long runs of white space
+            return plain.encode(text, add_special_tokens=False).ids
 
     return ids
 
@@ -68,20 +66,23 @@ def encoder(ranks_path: str | None, json_path: str | None):
 def cut_documents(docs: DataFrame, window: int, id_col: str, text_col: str, ranks_path: str | None, json_path: str | None) -> DataFrame:
     """A row for each piece: full windows, then the rest."""
 
-    def pieces(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(ranks_path, json_path)
-        for frame in frames:
-            out = []
-            for doc, text in zip(frame["doc_id"].tolist(), frame["text"].tolist()):
-                ids = np.array([*encode(text or ""), END], "<u4")
+        for batch in batches:
+            row, start, length, crc, tokens = [], [], [], [], []
+            for k, text in enumerate(batch.column("text")):
+                ids = np.array([*encode(text.as_py() or ""), END], "<u4")
                 for at in range(0, len(ids), window):
                     piece = ids[at : at + window]
-                    out.append((doc, at, len(piece), zlib.crc32(piece.tobytes()), len(ids)))
-            got = pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
-            got["doc_id"] = got["doc_id"].astype("Int64")
-            yield got
+                    row.append(k)
+                    start.append(at)
+                    length.append(len(piece))
+                    crc.append(zlib.crc32(piece.tobytes()))
+                    tokens.append(len(ids))
+            own = batch.column("doc_id").take(pa.array(row, pa.int64()))
+            yield pa.RecordBatch.from_arrays([own, *(pa.array(c, pa.int64()) for c in (start, length, crc, tokens))], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(pieces, _PIECES)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(pieces, _PIECES)
 
 
 def combinations(lengths: list[int], window: int) -> list[tuple[int, ...]]:
@@ -100,25 +101,33 @@ def combinations(lengths: list[int], window: int) -> list[tuple[int, ...]]:
     return out
 
 
-def repeat_counts(combos: list[tuple[int, ...]], hist: dict[int, int], sweeps: int = 60) -> list[float]:
-    """Non-negative least squares: counts x with sum(x * combo) nearest to the histogram, by coordinate descent."""
+def repeat_counts(combos: list[tuple[int, ...]], hist: dict[int, int], slack: float = 0.5) -> list[float]:
+    """Non-negative least squares: counts x with sum(x * combo) nearest to the histogram, by coordinate descent.
+
+    Ends where the conditions of the optimum hold but for `slack` pieces: no
+    combination's gradient is above it, and none that is used has one below.
+    """
     rest = {n: float(c) for n, c in hist.items()}
     parts = [[(n, c.count(n)) for n in set(c)] for c in combos]
     square = [sum(m * m for _, m in p) for p in parts]
     x = [0.0] * len(combos)
-    for _ in range(sweeps):
-        moved = 0.0
-        for i, p in enumerate(parts):
-            step = sum(m * rest[n] for n, m in p) / square[i]
-            new = max(0.0, x[i] + step)
-            if (d := new - x[i]) != 0.0:
+    active = range(len(combos))
+    while True:
+        off = []
+        for i in active:
+            gradient = sum(m * rest[n] for n, m in parts[i])
+            if gradient > slack or (gradient < -slack and x[i] > 0):
+                off.append(i)
+                new = max(0.0, x[i] + gradient / square[i])
+                for n, m in parts[i]:
+                    rest[n] -= m * (new - x[i])
                 x[i] = new
-                moved += abs(d)
-                for n, m in p:
-                    rest[n] -= m * d
-        if moved < 0.5:
-            break
-    return x
+        if off:
+            active = off if len(active) > len(off) else active
+        elif len(active) < len(combos):
+            active = range(len(combos))  # all of them once more
+        else:
+            return x
 
 
 def plan(hist: dict[int, int], window: int) -> list[tuple[int, tuple[int, ...]]]:

@@ -29,8 +29,8 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id,
 FROM documents
 """
 
-#: Target size of a shard, in bytes of text.
-SHARD_BYTES = 6 << 20
+#: Target size of a shard on disk, in bytes.
+SHARD_BYTES = 4 << 20
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,12 +41,11 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     store.append(docs.where("pmod(doc_id, 8) = 0"))
     store.compact(docs.schema, SHARD_BYTES)
     store.expire()
-    rows = store.read(docs.schema)
-    return rows.select("doc_id", "source", F.octet_length("text").cast("long").alias("n_bytes"), F.md5(F.col("text").cast("binary")).alias("text_md5"), F.lit(store.version()).cast("long").alias("version"))
+    return store.read(docs.schema).select("doc_id", "source", F.octet_length("text").cast("long").alias("n_bytes"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
 OP2_SQL = """
-SELECT doc_id, source, strlen(text)::BIGINT AS n_bytes, md5(text) AS text_md5, 3::BIGINT AS version FROM documents
+SELECT doc_id, source, strlen(text)::BIGINT AS n_bytes, md5(text) AS text_md5 FROM documents
 """
 
 
