@@ -81,19 +81,38 @@ def test_near_duplicates_empty_and_null_ids(spark):
     assert sorted((repr(r.doc_id), repr(r.component_id)) for r in got) == [("4", "4"), ("None", "4"), ("None", "None")]
 
 
-def test_links_of_a_full_bucket(spark):
-    """Beyond BUCKET entries with a segment in common, the same components come out of names one bit away."""
+def test_links_of_a_crowded_chain(spark, monkeypatch):
+    """Chains of two segments alone, and chains that go on over the third, give the components of all pairs within two bits."""
+    from tidemark.llm import simhash as m
     from tidemark.llm.base import components
-    from tidemark.llm.simhash import links
 
     rng = np.random.default_rng(3)
-    base = int(rng.integers(1 << 62))
-    fps = {base} | {base ^ 1 << int(a) ^ 1 << int(b) for a, b in rng.integers(24, 62, (150, 2))} | {base ^ int(x) << 22 for x in rng.integers(1, 1 << 40, 120)}
-    fps = sorted(fps)
-    entries = spark.createDataFrame([(f,) for f in fps], "fp long")
-    comp = _components(len(fps), lambda i, j: (fps[i] ^ fps[j]).bit_count() <= 2)
-    got = {r.node: r.component for r in components(links(entries)).collect()}
-    assert [got.get(f, f) for f in fps] == [fps[c] for c in comp]
+    bit = lambda: 1 << int(rng.integers(0, 64))
+    fps = set()
+    for _ in range(4):
+        base = int(rng.integers(0, 1 << 64, dtype=np.uint64))
+        fps |= {base} | {base ^ bit() ^ bit() for _ in range(60)} | {base ^ bit() ^ bit() ^ bit() ^ bit() for _ in range(60)} | {base ^ int(x) << 22 for x in rng.integers(1, 1 << 40, 20)}
+    fps = sorted(x - (1 << 64) if x >> 63 else x for x in fps)
+    entries = spark.createDataFrame([(f,) for f in fps], "fp long").repartition(5)
+    comp = _components(len(fps), lambda i, j: ((fps[i] ^ fps[j]) & (2**64 - 1)).bit_count() <= 2)
+    for crowd in (64, 4, 1):
+        monkeypatch.setattr(m, "CROWD", crowd)
+        found = m.links(entries).collect()
+        assert all(((r.a ^ r.b) & (2**64 - 1)).bit_count() <= 2 for r in found)
+        got = {r.node: r.component for r in components(m.links(entries)).collect()}
+        assert [got.get(f, f) for f in fps] == [fps[c] for c in comp]
+
+
+def test_chains_prune_no_pair_within_the_budget(spark):
+    from pyspark.sql import functions as F
+    from tidemark.llm.simhash import in_a_chain
+
+    rng = np.random.default_rng(6)
+    xs = [sum(1 << int(b) for b in rng.choice(64, n, replace=False)) for n in range(65) for _ in range(20)]
+    frame = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x,) for x in xs], "x long")
+    got = {r.x & (2**64 - 1): r.c for r in frame.select("x", in_a_chain(F.col("x"), 13).alias("c")).collect()}
+    assert all(got[x] for x in xs if x.bit_count() <= 13)
+    assert not any(got[x] for x in xs if x.bit_count() > 40)
 
 
 def test_vectors(spark):

@@ -111,12 +111,9 @@ def mixed_documents(docs: DataFrame, seed: int = 20240101, **how) -> DataFrame:
     """The documents themselves, each repeated as often as the mix takes it; same columns."""
     sizes = cut(_sizes(docs, "doc_id", "text", "source", seed))
     goal = cut(decisions(sizes, how.get("weights", (5, 2, 1)), how.get("share", 1.5), how.get("max_epochs", 2.0)))
-    goal = goal.select(F.col("source").alias("__source"), "whole", "upto")
-    goal = F.broadcast(goal) if goal.count() <= 10_000 else goal
+    goal = (F.broadcast(goal) if goal.count() <= 10_000 else goal).alias("g")
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    copies = (F.col("whole") + (key < F.col("upto")).cast("long")).cast("int")
-    return (
-        docs.join(goal, docs["source"].eqNullSafe(goal["__source"]))
-        .select(*[docs[c] for c in docs.columns], F.explode(F.array_repeat(F.lit(0), copies)).alias("__copy"))
-        .drop("__copy")
-    )
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("source").alias("source"), key.alias("key")).alias("d")
+    copies = (F.col("whole") + (F.col("key") < F.col("upto")).cast("long")).cast("int")
+    taken = rows.join(goal, F.col("d.source").eqNullSafe(F.col("g.source"))).select("row", F.explode(F.array_repeat(F.lit(0), copies)))
+    return taken.select("row.*")

@@ -1,18 +1,31 @@
 """SimHash near-duplicates with a pigeonring filter.
 
-A fingerprint has 64 bits, cut into a ring of three segments. If two
-fingerprints differ in at most two bits, some segment starts a chain in which
-every prefix of l segments differs in at most l * 2/3 bits: none in the first,
-one in the first two, two in all three. So candidates are pairs equal in a
-segment, pruned by the budget of the chain that starts there, and only then
-compared in full.
-
-Rows with the same fingerprint are one entry. Where more than ``BUCKET`` entries
-share a segment, pairing them would grow with the square of the bucket; there,
-each entry names itself and all fingerprints one bit away outside the segment.
-Two entries within two bits share such a name, all who share one are within two
-bits of each other and are at most 65, and a star in each group links them all:
-exact and linear.
+A fingerprint has 64 bits, cut into a ring of segments. If two fingerprints
+differ in at most d bits, then from some segment on every chain of l consecutive
+segments of m differs in at most l * d / m bits. With d = 2 and m = 3 the chain
+has no difference in its first segment, at most one in its first two, at most
+two in all three.
+
+``near_duplicates`` links fingerprints of up to two different bits. Its index is
+the chain of two segments: an entry stands under its own two segments, and under
+those with one bit of the second flipped; candidates are entries of which one
+stands there as it is. Where more than ``CROWD`` entries share such a chain, the
+chain goes on over the third segment in the same way, which closes the ring: all
+entries that meet there are within two bits, so a star links them. So no group
+is compared pair by pair, and no link is lost. Rows with the same fingerprint
+are one entry.
+
+``near_texts`` links texts that have `least` of all their shingles in common
+(0.8). Two such texts differ in some 10 of 64 bits, by chance in up to
+``budget(0.8)``, and no index over so short a fingerprint finds that many. So its
+candidates are texts that share a shingle among the rarest n - ceil(least * n) + 1
+of each (n: its distinct shingles), as any two such texts do. The order, rarest
+first, comes from a bounded sample and changes what is compared, never what is
+found. Candidates are pruned by the chains of their fingerprints, then by all 64
+bits, and those left are decided by their whole sets. Every text is first
+compared with a few texts (``HUBS``) that stand for its shingles, which joins
+most of a large group in a linear number of comparisons; then all candidates
+that are not joined yet are compared.
 
 Defined cases: null text counts as empty; no words give fingerprint zero, linked
 like any other; fewer words than a shingle are one shingle; a null id can link
@@ -22,10 +35,14 @@ answer; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 import re
+from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,11 +52,22 @@ from .base import components, cut
 #: (low bit, bits) of each segment of the ring.
 RING = ((0, 21), (21, 21), (42, 22))
 DIFFER = 2
-BUCKET = 64
+CROWD = 64
 SEED = 42
+#: Of near_texts: texts of the sample, shingles it is asked for, stand-ins a text is compared with, and shared shingles that are broadcast at most.
+SAMPLE, COMMON, HUBS, SENT = 5_000, 200_000, 4, 1_000_000
+LEAST = Fraction(4, 5)
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
+def _fingerprint(hashes: Iterator[np.ndarray], n: int) -> int:
+    """The bits that are set in over half of n hashes, as a signed integer."""
+    one = np.zeros(64, np.int64)
+    for h in hashes:
+        one += np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits((one * 2 > n).astype(np.uint8), bitorder="little").view("<i8")[0])
+
+
 def simhash(text: str | None, words: int) -> int:
     """The fingerprint of a text, as a signed 64-bit integer."""
     found = _WORD.findall((text or "").encode().lower())  # bytes: only A-Z change
@@ -51,12 +79,11 @@ def simhash(text: str | None, words: int) -> int:
     starts = np.concatenate(([0], ends[: len(found) - size])).tolist()
     stops = (ends[size - 1 :] - 1).tolist()
     digest = xxhash.xxh64_intdigest
-    one = np.zeros(64, np.int64)
-    for at in range(0, len(starts), 65536):  # a very long text goes by in pieces
-        hashes = np.fromiter((digest(line[a:b], SEED) for a, b in zip(starts[at : at + 65536], stops[at : at + 65536])), np.uint64)
-        one += np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    bits = (one * 2 > len(starts)).astype(np.uint8)
-    return int(np.packbits(bits, bitorder="little").view("<i8")[0])
+    hashes = (  # a very long text goes by in pieces
+        np.fromiter((digest(line[a:b], SEED) for a, b in zip(starts[at : at + 65536], stops[at : at + 65536])), np.uint64)
+        for at in range(0, len(starts), 65536)
+    )
+    return _fingerprint(hashes, len(starts))
 
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
@@ -69,36 +96,55 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int) -> Dat
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), of(F.col(text_col)).alias("fp"))
 
 
-def _segment(col, low: int, bits: int):
-    return F.shiftrightunsigned(col, low).bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
+def _long(x: int):
+    return F.lit(x - (1 << 64) if x >> 63 else x).cast("long")
+
+
+def _bits(low: int, bits: int) -> int:
+    return ((1 << bits) - 1) << low
+
+
+def _chains() -> list[tuple[int, int, list[int], list[int]]]:
+    """For each start: the mask of the first two segments, a mark in the third, and the single bits of the second and third."""
+    out = []
+    for i in range(3):
+        first, second, third = (RING[(i + j) % 3] for j in range(3))
+        single = [[1 << (low + k) for k in range(n)] for low, n in (second, third)]
+        out.append((_bits(*first) | _bits(*second), (i + 1) << third[0], *single))
+    return out
 
 
 def links(entries: DataFrame) -> DataFrame:
     """(a, b): enough pairs of different fingerprints within two bits to reach all that all such pairs reach."""
-    keys = entries.select("fp", F.explode(F.array(*[
-        F.struct(F.lit(i).alias("seg"), _segment(F.col("fp"), *s).alias("val")) for i, s in enumerate(RING)
-    ])).alias("k")).select("fp", "k.seg", "k.val")
-    sizes = keys.groupBy("seg", "val").agg(F.count("*").alias("n")).where("n > 1")
-    keys = cut(keys.join(sizes, ["seg", "val"]))
-    few, many = keys.where(F.col("n") <= BUCKET), keys.where(F.col("n") > BUCKET)
-    a = few.select("seg", "val", F.col("fp").alias("a"))
-    b = few.select("seg", "val", F.col("fp").alias("b"))
-    x = F.col("a").bitwiseXOR(F.col("b"))
-    ring = F.array(*[F.bit_count(_segment(x, *s)) for s in RING])
-    chain = lambda n: sum((F.get(ring, F.pmod(F.col("seg") + F.lit(j), F.lit(3))) for j in range(n)), F.lit(0))
-    pairs = a.join(b, ["seg", "val"]).where("a < b").where((chain(1) <= 0) & (chain(2) <= 1) & (chain(3) <= DIFFER)).select("a", "b")
-    flips = F.array(F.lit(0).cast("long"), *[F.lit((1 << i) - (1 << 64 if i == 63 else 0)).cast("long") for i in range(64)])
-    named = (
-        many.select("fp", "seg", F.explode(flips).alias("flip"))
-        .where(F.col("flip").bitwiseAND(F.element_at(F.array(*[F.lit(((1 << n) - 1) << low if low + n < 64 else -(1 << low)).cast("long") for low, n in RING]), F.col("seg") + 1)) == 0)
-        .select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("name")).distinct()
-    )
-    stars = named.withColumn("hub", F.min("fp").over(Window.partitionBy("name"))).where("fp <> hub").select(F.col("hub").alias("a"), F.col("fp").alias("b"))
+    fp, chains = F.col("fp"), _chains()
+    name = lambda mask, mark: fp.bitwiseAND(_long(mask)).bitwiseOR(_long(mark))
+    whole = entries.select("fp", F.explode(F.array(*[name(m, k) for m, k, *_ in chains])).alias("chain"))
+    flipped = entries.select("fp", F.explode(F.array(*[name(m, k).bitwiseXOR(_long(b)) for m, k, second, _ in chains for b in second])).alias("chain"))
+    flipped = flipped.join(whole.select("chain").distinct(), "chain", "left_semi")
+    met = whole.withColumn("flip", F.lit(False)).unionByName(flipped.withColumn("flip", F.lit(True)))
+    sizes = met.groupBy("chain").agg(F.count("*").alias("n")).where("n > 1")
+    met = cut(met.join(sizes, "chain"))
+
+    few = met.where(F.col("n") <= CROWD)
+    a = few.where("not flip").select("chain", F.col("fp").alias("a"))
+    b = few.select("chain", F.col("fp").alias("b"), "flip")
+    pairs = a.join(b, "chain").where("flip or a < b").where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= DIFFER)
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+    # which start a crowded chain has is told by its mark; entries that are whole so far may still differ by one bit each
+    third = F.lit(None)
+    for m, k, _, bits in chains:
+        mine = F.col("chain").bitwiseAND(_long(~m & (2**64 - 1))) == _long(k)
+        rest = fp.bitwiseAND(_long(~m & (2**64 - 1)))
+        third = F.when(mine, F.when(F.col("flip"), F.array(rest)).otherwise(F.array(rest, *[rest.bitwiseXOR(_long(b)) for b in bits]))).otherwise(third)
+    closed = met.where(F.col("n") > CROWD).select("fp", "chain", F.explode(third).alias("rest"))
+    ring = Window.partitionBy("chain", "rest")  # at most 45 entries
+    stars = closed.withColumn("hub", F.min("fp").over(ring)).where("fp <> hub").select(F.col("hub").alias("a"), F.col("fp").alias("b"))
     return pairs.unionByName(stars).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
-    """One row per row of docs: doc_id, fingerprint (16 hex digits), component_id."""
+    """One row per row of docs: doc_id, fingerprint (16 hex digits), component_id; linked at two different bits or fewer."""
     prints = cut(fingerprints(docs, id_col, text_col, words))
     entries = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
     joined = components(links(entries))
@@ -108,3 +154,164 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     of = of.join(low, "component").select("fp", "component_id")
     # a hot fingerprint is one row on the right; adaptive execution splits its rows on the left
     return prints.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# ---- texts of a similarity ----------------------------------------------------------------------------------
+
+
+class _Words(dict):
+    """Hashes of words, kept while there are few."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 200_000:
+            self.clear()
+        self[word] = found = xxhash.xxh64_intdigest(word, SEED)
+        return found
+
+
+_words = _Words()
+_ODD = [int(x) | 1 for x in np.random.default_rng(SEED).integers(0, 1 << 64, 256, dtype=np.uint64)]
+
+
+def shingles(text: str | None, words: int = 5) -> np.ndarray:
+    """The sorted hashes of the distinct shingles of a text, of 64 bits each."""
+    found = _WORD.findall((text or "").encode().lower())
+    if not found:
+        return np.zeros(1, np.int64)
+    w = np.fromiter(map(_words.__getitem__, found), np.uint64, len(found))
+    size = min(words, len(found))
+    h = np.zeros(len(found) - size + 1, np.uint64)
+    for j in range(size):
+        h += w[j : j + len(h)] * np.uint64(_ODD[j])
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(_ODD[-1])
+    h ^= h >> np.uint64(29)
+    return np.unique(h.view(np.int64))
+
+
+def budget(least: Fraction) -> int:
+    """Bits that texts of this similarity differ in, at most but for about one pair in 10,000."""
+    cosine = 2 * float(least) / (1 + float(least))
+    share = math.acos(cosine) / math.pi
+    return min(64, math.ceil(64 * share + 4 * math.sqrt(64 * share * (1 - share))))
+
+
+def in_a_chain(x, differ: int, segments: int = 8, upto: int = 4):
+    """Whether some chain of `upto` segments of the ring stays within its budgets. x: the bits that differ."""
+    width = 64 // segments
+    d = F.array(*[F.bit_count(x.bitwiseAND(_long(_bits(i * width, width)))) for i in range(segments)])
+    found = F.lit(False)
+    for i in range(segments):
+        held, chain = F.lit(0), F.lit(True)
+        for n in range(1, upto + 1):
+            held = held + F.get(d, F.lit((i + n - 1) % segments))
+            chain = chain & (held * segments <= n * differ)
+        found = found | chain
+    return found
+
+
+def _similar(pairs: DataFrame, texts: DataFrame, words: int, least: Fraction) -> DataFrame:
+    """Of pairs (a, b), those of similarity `least` or more. texts: (e, text)."""
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("e")).distinct()
+
+    @F.pandas_udf("long")
+    def of(found: pd.Series) -> pd.Series:
+        sets = (shingles(t, words).view(np.uint64) for t in found)
+        return pd.Series([_fingerprint(iter([s]), len(s)) for s in sets], dtype="int64")
+
+    some = texts.join(asked, "e", "left_semi").groupBy("e").agg(F.first("text").alias("text"))
+    some = cut(some.withColumn("fp", of("text")))
+    side = lambda name, *more: some.select(F.col("e").alias(name), *more)
+    x = F.col("x").bitwiseXOR(F.col("y"))
+    near = pairs.join(side("a", F.col("fp").alias("x")), "a").join(side("b", F.col("fp").alias("y")), "b")
+    near = near.where(in_a_chain(x, budget(least))).where(F.bit_count(x) <= budget(least)).select("a", "b")
+    both = near.join(side("a", F.col("text").alias("s")), "a").join(side("b", F.col("text").alias("t")), "b")
+
+    def decide(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept: dict[int, np.ndarray] = {}
+
+        def set_of(e: int, text: str) -> np.ndarray:
+            if e not in kept:
+                if len(kept) > 500:
+                    kept.clear()
+                kept[e] = shingles(text, words)
+            return kept[e]
+
+        for frame in frames:
+            found = []
+            for a, b, s, t in zip(frame["a"], frame["b"], frame["s"], frame["t"]):
+                p, q = set_of(a, s), set_of(b, t)
+                common = len(np.intersect1d(p, q, assume_unique=True))
+                found.append(common * least.denominator >= (len(p) + len(q) - common) * least.numerator)
+            yield frame.loc[np.array(found, bool), ["a", "b"]]
+
+    return cut(both.mapInPandas(decide, "a long, b long"))
+
+
+def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: Fraction = LEAST) -> DataFrame:
+    """One row per row of docs: doc_id, component_id."""
+    spark = docs.sparkSession
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("e"), text.alias("text"))
+    texts = rows.select("e", "text")
+
+    @F.pandas_udf("array<long>")
+    def sets(found: pd.Series) -> pd.Series:
+        return found.map(lambda t: shingles(t, words))
+
+    share = max(1, rows.count() // SAMPLE)
+    common = (
+        texts.where(F.pmod(F.xxhash64("e"), F.lit(share)) == 0).select(F.explode(sets("text")).alias("key"))
+        .groupBy("key").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "key").limit(COMMON).toPandas().sort_values("key")
+    )
+    sent = spark.sparkContext.broadcast((common["key"].to_numpy(np.int64), common["n"].to_numpy(np.int64)))
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, often = sent.value
+        for batch in batches:
+            ids, found = batch.column("e").to_numpy(), batch.column("text")
+            for at in range(0, len(ids), 200):
+                e, n, pos, keys = [], [], [], []
+                for k in range(at, min(at + 200, len(ids))):
+                    h = shingles(found[k].as_py(), words)
+                    if len(known):
+                        place = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                        h = h[np.argsort(np.where(known[place] == h, often[place], 0), kind="stable")]
+                    first = len(h) - math.ceil(least * len(h)) + 1
+                    e.append(np.full(first, ids[k], np.int64))
+                    n.append(np.full(first, len(h), np.int32))
+                    pos.append(np.arange(first, dtype=np.int32))
+                    keys.append(h[:first])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (keys, e, n, pos)], names=["key", "e", "n", "pos"])
+
+    first = texts.mapInArrow(prefixes, "key long, e long, n int, pos int")
+    # a key that many texts share is one row here, and the join below splits its rows
+    hubs = cut(first.groupBy("key").agg(F.min("e").alias("hub"), F.max("e").alias("last")).where("hub < last").select("key", "hub"))
+    shared = cut(first.join(F.broadcast(hubs) if hubs.count() <= SENT else hubs, "key"))
+
+    up, down = least.numerator, least.denominator + least.numerator
+
+    def possible(n, pos, m, qos):
+        """Whether what follows a common shingle is enough; true of the first common one of any similar pair."""
+        return F.lit(down) * F.least(n - pos, m - qos).cast("long") >= F.lit(up) * (n.cast("long") + m)
+
+    order = Window.partitionBy("e").orderBy(F.desc("n"), "hub")
+    stars = shared.where("e <> hub").groupBy("e", "hub").agg(F.count("*").alias("n"))
+    stars = stars.withColumn("k", F.row_number().over(order)).where(F.col("k") <= HUBS)
+    stars = cut(stars.select(F.least("e", "hub").alias("a"), F.greatest("e", "hub").alias("b")).distinct())
+    near = _similar(stars, texts, words, least)
+    joined = components(near).select(F.col("node").alias("e"), "component")
+
+    left = shared.drop("hub").join(joined, "e", "left").withColumn("c", F.coalesce("component", "e")).drop("component")
+    apart = left.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
+    left = cut(left.join(apart, "key", "left_semi").distinct())
+    a = left.select("key", F.col("e").alias("a"), F.col("n").alias("an"), F.col("pos").alias("ap"), F.col("c").alias("ac"))
+    b = left.select("key", F.col("e").alias("b"), F.col("n").alias("bn"), F.col("pos").alias("bp"), F.col("c").alias("bc"))
+    fits = possible(F.col("an"), F.col("ap"), F.col("bn"), F.col("bp"))
+    pairs = a.join(b, (a["key"] == b["key"]) & (F.col("a") < F.col("b")) & (F.col("ac") != F.col("bc")) & fits).select("a", "b").distinct()
+    more = _similar(cut(pairs.join(stars, ["a", "b"], "left_anti")), texts, words, least)
+    joined = components(near.unionByName(more)).select(F.col("node").alias("e"), "component")
+
+    out = cut(rows.select("doc_id", "e")).join(joined, "e", "left").select("doc_id", F.coalesce("component", "e").alias("component"))
+    low = out.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    return out.join(low, "component").select("doc_id", "component_id")
