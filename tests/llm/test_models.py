@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidemark.llm import language_id, queries, quality_crf
-from tidemark.llm.hpy_lm import hpy_scores
 from tidemark.llm.packing import pack
 
 
@@ -132,36 +131,3 @@ def test_quality_cases(spark):
     assert len(got) == d.count() and all(0 <= r.q <= 1 for r in got)
     assert {r.q for r in quality_crf.score(d, quality_crf.fit(d, labels.limit(0)), score_col="q").collect()} == {0.5}
     assert quality_crf.score(d.limit(0), (None, 0.5)).collect() == []
-
-
-def test_language_model(spark):
-    rows = [r for r in texts(200)]
-    got = hpy_scores(docs(spark, rows).repartition(3)).collect()
-    tokens = lambda t: [*(bytes(b + 32 if 65 <= b <= 90 else b for b in w) for w in (t or "").encode().translate(None, b"").replace(b"\t", b" ").replace(b"\n", b" ").split(b" ") if w), None]
-    out = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0
-    count = Counter(w for i, t, *_ in rows if not out(i) for w in tokens(t))
-    n, v = sum(count.values()), len(count)
-    want = Counter()
-    for i, t, *_ in rows:
-        ws = tokens(t)
-        base = sum(math.log10((count[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws)
-        want[i, out(i), len(ws), sum(count[w] > 0 for w in ws), n, f"{base:.5g}"] += 1
-    assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, f"{r.base_score:.5g}") for r in got) == want
-    assert all(r.score < 0 and math.isfinite(r.score) for r in got)
-    held = [r for r in got if r.held_out]
-    assert sum(r.score for r in held) > sum(r.base_score for r in held)
-    again = hpy_scores(docs(spark, rows).repartition(3)).collect()
-    assert sorted(map(repr, got)) == sorted(map(repr, again))
-    assert hpy_scores(docs(spark, [])).collect() == []
-
-
-def test_language_model_is_a_distribution(spark):
-    """The predictive probabilities of all one-word continuations never sum to more than one."""
-    train = [(i, t, None, None) for i, t in enumerate(["a b a c", "a b", "c a b b", "b a", "c c a"] * 8) if zlib.crc32(str(i).encode()) % 10]
-    probe = [i for i in range(1000, 4000) if zlib.crc32(str(i).encode()) % 10 == 0][:60]
-    words = ["a", "b", "c", *(chr(100 + k) for k in range(20))]
-    rows = train + [(i, w, None, None) for i, w in zip(probe, words)] + [(probe[40], "", None, None)]
-    got = {r.doc_id: r for r in hpy_scores(docs(spark, rows)).collect()}
-    # the first word of a text follows the end of the one before; the end token's own context differs by word, so take bounds
-    first = [10 ** got[i].score for i, _ in zip(probe, words)]
-    assert 0 < sum(first) + 10 ** got[probe[40]].score <= 1 + 1e-6
