@@ -54,8 +54,8 @@ RING = ((0, 21), (21, 21), (42, 22))
 DIFFER = 2
 CROWD = 64
 SEED = 42
-#: Of near_texts: texts of the sample, shingles it is asked for, stand-ins a text is compared with, and shared shingles that are broadcast at most.
-SAMPLE, COMMON, HUBS, SENT = 5_000, 200_000, 4, 1_000_000
+#: Of near_texts: texts of the sample, shingles it is asked for, stand-ins a text is compared with, and rows of 16 bytes that are broadcast at most.
+SAMPLE, COMMON, HUBS, SENT = 5_000, 200_000, 4, 2_000_000
 LEAST = Fraction(4, 5)
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -213,6 +213,7 @@ def in_a_chain(x, differ: int, segments: int = 8, upto: int = 4):
 def _similar(pairs: DataFrame, texts: DataFrame, words: int, least: Fraction) -> DataFrame:
     """Of pairs (a, b), those of similarity `least` or more. texts: (e, text)."""
     asked = pairs.select(F.explode(F.array("a", "b")).alias("e")).distinct()
+    asked = F.broadcast(asked) if 2 * pairs.count() <= SENT else asked
 
     @F.pandas_udf("long")
     def of(found: pd.Series) -> pd.Series:
@@ -286,7 +287,7 @@ def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     first = texts.mapInArrow(prefixes, "key long, e long, n int, pos int")
     # a key that many texts share is one row here, and the join below splits its rows
-    hubs = cut(first.groupBy("key").agg(F.min("e").alias("hub"), F.max("e").alias("last")).where("hub < last").select("key", "hub"))
+    hubs = cut(first.groupBy("key").agg(F.min("e").alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", "hub"))
     shared = cut(first.join(F.broadcast(hubs) if hubs.count() <= SENT else hubs, "key"))
 
     up, down = least.numerator, least.denominator + least.numerator
