@@ -1,5 +1,6 @@
 """Water-filling against a plain loop, and copies near their targets."""
 
+import hashlib
 from collections import defaultdict
 
 import pytest
@@ -25,6 +26,24 @@ def _poured(size, weights, share, cap):
     return target
 
 
+def plain_mix(rows, share=1.5, seed=20240101):
+    """How often each row is taken: whole times, and once more while the hash order has not filled the rest."""
+    sizes = [len((t or "").split()) for _, t, *_ in rows]
+    key = [hashlib.md5(f"{seed}:{'' if i is None else i}".encode()).hexdigest() for i, *_ in rows]
+    size, group = defaultdict(int), defaultdict(int)
+    for (_, _, _, s), n, k in zip(rows, sizes, key):
+        size[s] += n
+        group[s, k] += n
+    want, taken = _poured(size, (5, 2, 1), share, 2.0), {}
+    for s in size:
+        whole = want[s] // size[s] if size[s] else 0
+        rest, upto = want[s] - whole * size[s], 0
+        for k in sorted(k for t, k in group if t == s):
+            upto += group[s, k]
+            taken[s, k] = int(whole) + (rest > 0 and upto - group[s, k] / 2 <= rest)
+    return [taken[s, k] for (_, _, _, s), k in zip(rows, key)]
+
+
 @pytest.mark.parametrize("share", [0.3, 1.5, 2.0, 5.0])
 def test_targets_and_taken(spark, share):
     rows = texts()
