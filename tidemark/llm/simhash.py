@@ -54,8 +54,8 @@ RING = ((0, 21), (21, 21), (42, 22))
 DIFFER = 2
 CROWD = 64
 SEED = 42
-#: Of near_texts: texts of the sample, shingles it is asked for, stand-ins a text is compared with, and rows of 16 bytes that are broadcast at most.
-SAMPLE, COMMON, HUBS, SENT = 5_000, 200_000, 4, 2_000_000
+#: Of near_texts: texts of the sample, shingles it is asked for, stand-ins a text is compared with, and what is broadcast at most: shared shingles, ids of texts.
+SAMPLE, COMMON, HUBS, SENT, SENT_IDS = 5_000, 200_000, 4, 100_000, 1_000_000
 LEAST = Fraction(4, 5)
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -163,7 +163,7 @@ class _Words(dict):
     """Hashes of words, kept while there are few."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 200_000:
+        if len(self) > 50_000:
             self.clear()
         self[word] = found = xxhash.xxh64_intdigest(word, SEED)
         return found
@@ -213,7 +213,7 @@ def in_a_chain(x, differ: int, segments: int = 8, upto: int = 4):
 def _similar(pairs: DataFrame, texts: DataFrame, words: int, least: Fraction) -> DataFrame:
     """Of pairs (a, b), those of similarity `least` or more. texts: (e, text)."""
     asked = pairs.select(F.explode(F.array("a", "b")).alias("e")).distinct()
-    asked = F.broadcast(asked) if 2 * pairs.count() <= SENT else asked
+    asked = F.broadcast(asked) if 2 * pairs.count() <= SENT_IDS else asked
 
     @F.pandas_udf("long")
     def of(found: pd.Series) -> pd.Series:
