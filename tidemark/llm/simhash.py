@@ -47,7 +47,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import components, cut
+from .base import components, cut, free
 
 #: (low bit, bits) of each segment of the ring.
 RING = ((0, 21), (21, 21), (42, 22))
@@ -288,7 +288,9 @@ def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     first = texts.mapInArrow(prefixes, "key long, e long, n int, pos int")
     # a key that many texts share is one row here, and the join below splits its rows
     hubs = cut(first.groupBy("key").agg(F.min("e").alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", "hub"))
+    free(spark)
     shared = cut(first.join(F.broadcast(hubs) if hubs.count() <= SENT else hubs, "key"))
+    free(spark)
 
     up, down = least.numerator, least.denominator + least.numerator
 
@@ -306,6 +308,7 @@ def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     left = shared.drop("hub").join(joined, "e", "left").withColumn("c", F.coalesce("component", "e")).drop("component")
     apart = left.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
     left = cut(left.join(apart, "key", "left_semi").distinct())
+    free(spark)
     a = left.select("key", F.col("e").alias("a"), F.col("n").alias("an"), F.col("pos").alias("ap"), F.col("c").alias("ac"))
     b = left.select("key", F.col("e").alias("b"), F.col("n").alias("bn"), F.col("pos").alias("bp"), F.col("c").alias("bc"))
     fits = possible(F.col("an"), F.col("ap"), F.col("bn"), F.col("bp"))
