@@ -19,8 +19,9 @@ def to_frames(seconds: Column, rate: int = 100) -> Column:
 
 
 def floor_div(a: Column, b: Column | int) -> Column:
-    """Quotient rounded down, also below zero."""
-    return F.floor(a / b).cast("long")
+    """Quotient of whole numbers rounded down, also below zero; b is above zero. Exact for all 64 bits."""
+    wide = lambda x: (x if isinstance(x, Column) else F.lit(x)).cast("decimal(20,0)")
+    return ((wide(a) - F.pmod(wide(a), wide(b))) / wide(b)).cast("long")
 
 
 def clip(x: Column, low, high) -> Column:
@@ -97,8 +98,8 @@ def ending_numbers(text: Column) -> Column:
 
 
 def beat_unit(beats: Column, unit: Column) -> Column:
-    """Quarters to a beat: compound meters (6, 9, 12 over 8 or finer) beat in threes."""
-    return F.when((F.pmod(beats, F.lit(3)) == 0) & (beats > 3) & (unit >= 8), 12.0 / unit).otherwise(4.0 / unit)
+    """Quarters to a beat: compound meters (6, 9, 12 over 8 or 16) beat in threes."""
+    return F.when((F.pmod(beats, F.lit(3)) == 0) & (beats > 3) & unit.isin(8, 16), 12.0 / unit).otherwise(4.0 / unit)
 
 
 def meter_length(beats: Column, unit: Column) -> Column:
@@ -111,23 +112,42 @@ def ledger_lines(step: Column, bottom: int, top: int) -> Column:
     return F.when(step < bottom, F.floor((bottom - step) / 2)).when(step > top, F.floor((step - top) / 2)).otherwise(0).cast("int")
 
 
-def chord_root(symbol: Column) -> Column:
-    """Pitch class of a symbol like "Ab:add9/C"; -1 for N; null if it can't be read."""
-    root = F.regexp_extract(symbol, r"^([A-G])([#b]*)", 1)
-    signs = F.regexp_extract(symbol, r"^([A-G])([#b]*)", 2)
-    semis = reduce(lambda c, kv: c.when(root == kv[0], kv[1]), LETTERS.items(), F.when(F.lit(False), 0))
-    moved = semis + F.length(F.replace(signs, F.lit("b"), F.lit(""))) - F.length(F.replace(signs, F.lit("#"), F.lit("")))
-    return F.when(symbol == "N", -1).when(root != "", F.pmod(moved, F.lit(12)))
+def ledger_cost(lines: Column, free: int = 2) -> Column:
+    """What ledger lines beyond the free ones cost a reader."""
+    return F.pow(F.greatest(lines - free, F.lit(0)), F.lit(1.5))
 
 
-def chord_quality(symbol: Column) -> Column:
-    """What stands between colon and slash; "maj" if nothing does."""
-    return F.when(symbol == "N", "N").otherwise(F.coalesce(F.nullif(F.regexp_extract(symbol, r":([^/]*)", 1), F.lit("")), F.lit("maj")))
+# Kinds of chords, by number; a chord of no kind here is "other".
+CHORD_KINDS = (
+    "N", "maj", "m", "7", "m7", "M7", "sus4", "m7-5", "m7(9)", "add9", "M7(9)", "6", "dim", "dim7", "7(b9)",
+    "aug", "7(b13)", "m7(11)", "7(9)", "5", "7sus4", "m6", "69", "7(b9,b13)", "mM7", "7(#9)", "7(13)",
+    "7(9,13)", "sus2", "madd9", "7-5", "augM7", "7(#9,b13)", "m7(9,11)", "M7(13)", "7(9,#11)", "aug7",
+    "M7(#11)", "m69", "mM7(9)", "7(b9,13)", "other",
+)
+#: Stands for no chord and for no bass, beside the pitch classes 0 to 11.
+NONE = 12
 
 
-def chord_bass(symbol: Column) -> Column:
-    """Pitch class after the slash, or the root."""
-    return F.when(symbol.contains("/"), chord_root(F.split_part(symbol, F.lit("/"), F.lit(-1)))).otherwise(chord_root(symbol))
+def _name_class(name: Column) -> Column:
+    """Pitch class of a letter with any number of sharps and flats; null if it is no such name."""
+    letter = F.substring(name, 1, 1)
+    semis = reduce(lambda c, kv: c.when(letter == kv[0], kv[1]), LETTERS.items(), F.when(F.lit(False), 0))
+    signs = F.regexp_count(name, F.lit("#")) - F.regexp_count(F.substring(name, 2, 100), F.lit("b"))
+    return F.when(name.rlike("^[A-G][#b]*$"), F.pmod(semis + signs, F.lit(12)))
+
+
+def chord(symbol: Column) -> Column:
+    """struct<root, kind, bass> of a symbol like "Ab:add9/C": N is NONE, kind 0, NONE; null if a name can't be read."""
+    text = F.trim(symbol)
+    main = F.substring_index(text, "/", 1)
+    below = F.regexp_extract(text, "^[^/]*/(.*)$", 1)
+    kind = F.coalesce(F.nullif(F.regexp_extract(main, "^[^:]*:(.*)$", 1), F.lit("")), F.lit("maj"))
+    number = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for i, k in enumerate(CHORD_KINDS) for x in (k, i)]), kind), F.lit(len(CHORD_KINDS) - 1))
+    root = _name_class(F.substring_index(main, ":", 1))
+    bass = F.when(below == "", NONE).otherwise(_name_class(below))
+    read = F.struct(root.cast("int").alias("root"), number.alias("kind"), bass.cast("int").alias("bass"))
+    none = F.struct(F.lit(NONE).alias("root"), F.lit(0).alias("kind"), F.lit(NONE).alias("bass"))
+    return F.when(text == "N", none).when(root.isNotNull() & bass.isNotNull(), read)
 
 
 def pitch_class_mask(pitch: Column) -> Column:
@@ -150,3 +170,21 @@ def note_quarters(kind_quarters: Column, dots: Column, actual: Column, normal: C
     """Length of a written note: dots add halves, tuplets scale, grace notes have none."""
     dotted = kind_quarters * (2.0 - F.pow(F.lit(2.0), -dots))
     return F.when(grace, 0.0).otherwise(dotted * normal / actual)
+
+
+def snap_to_fraction(x: Column, denominators: tuple[int, ...] = (1, 2, 3, 4, 6, 8, 12, 16), tolerance: float = 0.02) -> Column:
+    """struct<num, den> of the smallest denominator that has a multiple within the tolerance; null if none has."""
+    tried = [F.when(F.abs(x - F.rint(x * d) / d) <= tolerance, F.struct(F.rint(x * d).cast("long").alias("num"), F.lit(d).alias("den"))) for d in denominators]
+    return F.coalesce(*tried)
+
+
+def log_bin(x: Column, low: float, high: float, bins: int) -> Column:
+    """Nearest of `bins` values spaced evenly in logarithm from low to high; null unless x is above zero."""
+    return F.when(x > 0, clip(F.rint((F.ln(x) - F.ln(F.lit(low))) / (F.ln(F.lit(high)) - F.ln(F.lit(low))) * (bins - 1)).cast("int"), 0, bins - 1))
+
+
+def error_reason(message: Column) -> Column:
+    """A message without what is particular to one case: quoted parts, paths and numbers."""
+    text = F.regexp_replace(message, r"'[^']*'|\"[^\"]*\"", "''")
+    text = F.regexp_replace(text, r"(/[\w.-]+)+", "/")
+    return F.trim(F.regexp_replace(text, r"\d+", "#"))

@@ -84,26 +84,25 @@ def segments(rows: DataFrame, keys: list[str], order: str, usable: Column, at_le
 def viterbi(rows: DataFrame, keys: list[str], order: str, costs: str, switch: list[list[float]]) -> DataFrame:
     """(keys, order, mode): the cheapest path of modes; costs is an array per row, `switch` the price of each change.
 
-    The start counts as mode 0; the first minimum wins. A group is one series.
+    The start counts as mode 0; the first minimum wins. A fold in the JVM, whose state is the best path into each
+    mode. A group is one series.
     """
-    price = np.array(switch, float)
-
-    def path(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(order, kind="stable")
-        total, back = price[0].copy() if len(frame) else None, []
-        for i, c in enumerate(frame[costs]):
-            if i:
-                step = total[:, None] + price
-                back.append(step.argmin(0))
-                total = step.min(0)
-            total = total + np.asarray(c, float)
-        mode = [int(total.argmin())]
-        for b in reversed(back):
-            mode.append(int(b[mode[-1]]))
-        return frame[[*keys, order]].assign(mode=mode[::-1])
-
-    kinds = dict(rows.dtypes)
-    return rows.select(*keys, order, costs).groupBy(*keys).applyInPandas(path, ", ".join(f"{k} {kinds[k]}" for k in [*keys, order]) + ", mode int")
+    price = F.array(*[F.array(*[F.lit(float(x)) for x in line]) for line in switch])
+    item = F.struct(F.col(order).alias("at"), F.col(costs).cast("array<double>").alias("costs"))
+    series = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("items"))
+    none = F.array().cast("array<int>")
+    begin = F.array(*[F.struct(F.lit(0.0 if i == 0 else float("inf")).alias("cost"), none.alias("path")) for i in range(len(switch))])
+
+    def step(state: Column, now: Column) -> Column:
+        def into(to: Column) -> Column:
+            ways = F.transform(state, lambda s, i: F.struct((s["cost"] + F.get(F.get(price, i), to)).alias("cost"), i.alias("from"), s["path"].alias("path")))
+            best = F.array_min(ways)
+            return F.struct((best["cost"] + F.get(now["costs"], to)).alias("cost"), F.concat(best["path"], F.array(to)).alias("path"))
+
+        return F.transform(F.sequence(F.lit(0), F.lit(len(switch) - 1)), into)
+
+    best = F.aggregate("items", begin, step, lambda s: F.array_min(F.transform(s, lambda x, i: F.struct(x["cost"].alias("cost"), i.alias("mode"), x["path"].alias("path"))))["path"])
+    return series.select(*keys, F.explode(F.arrays_zip(F.col("items")["at"].alias(order), best.alias("mode"))).alias("row")).select(*keys, "row.*")
 
 
 def lcs_f1(pairs: DataFrame, a: str, b: str, out: str = "f1") -> DataFrame:

@@ -112,13 +112,40 @@ def tempo_segments(rows: DataFrame, keys: list[str], order: str, x: str, toleran
 
 def repedal(rows: DataFrame, keys: list[str], on: str, off: str) -> DataFrame:
     """Pedal intervals after rounding: each starts a step after the last start at least, and the last ends by then."""
-    zero = F.array().cast("array<struct<on:bigint,off:bigint>>")
+    own = Window.partitionBy(*keys).orderBy(on, off)
+    r = rows.select(*keys, F.col(on).cast("long").alias(on), F.col(off).cast("long").alias(off)).withColumn("__n", F.row_number().over(own))
+    start = F.max(F.col(on) - F.col("__n")).over(own.rowsBetween(Window.unboundedPreceding, 0)) + F.col("__n")
+    r = r.withColumn("__start", start).withColumn("__stop", F.greatest(off, F.col("__start") + 1))
+    r = r.withColumn("__stop", F.least("__stop", F.lead("__start").over(Window.partitionBy(*keys).orderBy("__n"))))
+    return r.select(*keys, F.col("__start").alias(on), F.col("__stop").alias(off))
+
+
+def running_max(rows: DataFrame, keys: list[str], order: list[str], x: str, out: str) -> DataFrame:
+    """The largest value so far."""
+    return rows.withColumn(out, F.max(x).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def offsets(rows: DataFrame, keys: list[str], order: list[str], length: str, out: str) -> DataFrame:
+    """Where each row's items begin when a key's rows are laid end to end."""
+    before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn(out, F.coalesce(F.sum(length).over(before), F.lit(0)))
+
+
+def sliding_count(rows: DataFrame, keys: list[str], t: str, reach: int, out: str) -> DataFrame:
+    """Rows of the key within reach of each row's time, itself included."""
+    return rows.withColumn(out, F.count("*").over(Window.partitionBy(*keys).orderBy(t).rangeBetween(-reach, reach)))
+
+
+def local_slope(rows: DataFrame, keys: list[str], t: str, x: str, half: int, out: str) -> DataFrame:
+    """Slope over `half` rows on either side (fewer at the ends), and its ratio to the key's median slope as `out`_ratio; null where times don't differ."""
+    own = Window.partitionBy(*keys).orderBy(t).rowsBetween(-half, half)
+    slope = (F.last(x).over(own) - F.first(x).over(own)) / F.nullif(F.last(t).over(own) - F.first(t).over(own), F.lit(0))
+    r = rows.withColumn(out, slope)
+    median = r.groupBy(*keys).agg(F.percentile(out, F.lit(0.5)).alias("__median"))
+    return r.join(median, keys).withColumn(f"{out}_ratio", F.col(out) / F.nullif("__median", F.lit(0.0))).drop("__median")
 
-    def step(acc: Column, item: Column) -> Column:
-        last = F.element_at(acc, -1)
-        start = F.when(F.size(acc) == 0, item[on]).otherwise(F.greatest(item[on], last["on"] + 1))
-        cut = F.when(F.size(acc) == 0, acc).otherwise(F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["on"].alias("on"), F.least(last["off"], start).alias("off")))))
-        return F.concat(cut, F.array(F.struct(start.alias("on"), F.greatest(item[off], start + 1).alias("off"))))
 
-    cast = rows.withColumn(on, F.col(on).cast("long")).withColumn(off, F.col(off).cast("long"))
-    return fold(cast, keys, [on, off], [on, off], zero, step).select(*keys, F.explode("state").alias("p")).select(*keys, F.col("p.on").alias(on), F.col("p.off").alias(off))
+def last_rows(rows: DataFrame, keys: list[str], order: list[str], n: int) -> DataFrame:
+    """The last n rows of each key: a log of bounded length."""
+    back = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in order])
+    return rows.withColumn("__n", F.row_number().over(back)).where(F.col("__n") <= n).drop("__n")

@@ -70,7 +70,7 @@ def band_join(probe: DataFrame, target: DataFrame, keys: list[str], t: str, tole
     Times fall into cells as wide as the tolerance; each target is in three cells, each probe in one, so the
     join is on equality.
     """
-    cell = lambda c: F.floor(c / tolerance).cast("long")
+    cell = lambda c: F.floor(c / (tolerance or 1)).cast("long")
     right = target.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col(t).alias("t_band"), *columns)
     right = right.withColumn("__cell", F.explode(F.sequence(cell(F.col("t_band")) - 1, cell(F.col("t_band")) + 1)))
     left = probe.withColumn("__own", cell(F.col(t)))

@@ -5,11 +5,11 @@ Times are microseconds since the start of 2024 as the tables have them, without
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar
-from ..operators import buckets, corpus, harmony, notes, sampling, sequences, series, temporal
+from ..operators import axis, buckets, corpus, harmony, notes, sampling, sequences, series, temporal
 from ..sources import midi, musicxml
 from ..streaming import feeds
 
@@ -322,7 +322,10 @@ def tempo_segments(spark, sf_dir):
     return series.tempo_segments(_daily(spark, sf_dir).select("event_type", "day", "m"), ["event_type"], "day", "m")
 
 
-@query("repedal")
+@query("repedal", _sql("""{EV}, p AS (SELECT user_id, t // 600 AS a, t // 600 + round_even(value, 0)::BIGINT AS b FROM ev),
+n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY a, b) AS n FROM p),
+s AS (SELECT user_id, n, b, max(a - n) OVER (PARTITION BY user_id ORDER BY n ROWS UNBOUNDED PRECEDING) + n AS start FROM n)
+SELECT user_id, start AS "on", least(greatest(b, start + 1), lead(start) OVER (PARTITION BY user_id ORDER BY n)) AS "off" FROM s"""))
 def repedal(spark, sf_dir):
     spans = events(spark, sf_dir).select("user_id", F.floor(F.col("t") / 600).cast("long").alias("on"), (F.floor(F.col("t") / 600) + F.rint("value")).cast("long").alias("off"))
     return series.repedal(spans, ["user_id"], "on", "off")
@@ -349,9 +352,9 @@ def ngram_containment(spark, sf_dir):
 
 @query("quality_lint", r"""WITH n AS (SELECT doc_id, greatest(length(text), 1) AS n, text FROM documents),
 r AS (SELECT doc_id, round_even(len(regexp_extract_all(text, '\|')) / n, 6) AS bar_rate, round_even(len(regexp_extract_all(text, '[A-Z]')) / n, 6) AS upper_rate, round_even(len(regexp_extract_all(text, '[$%&*#]')) / n, 6) AS sign_rate, round_even(len(regexp_extract_all(text, '[0-9]')) / n, 6) AS digit_rate FROM n)
-SELECT r.*, (bar_rate > 0.02 OR upper_rate > 0.5 OR sign_rate > 0.05 OR digit_rate > 0.2) AS low_quality, l.quality FROM r JOIN labels l USING (doc_id)""")
+SELECT r.*, (bar_rate > 0.02 OR upper_rate > 0.5 OR sign_rate > 0.05 OR digit_rate > 0.2) AS low_quality, l.quality FROM r LEFT JOIN labels l USING (doc_id)""")
 def quality_lint(spark, sf_dir):
-    return corpus.lint(table(spark, sf_dir, "documents"), ["doc_id"], "text").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
+    return corpus.lint(table(spark, sf_dir, "documents"), ["doc_id"], "text").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
 
 
 @query("hash_split", """SELECT doc_id, CASE WHEN b < 5 THEN 1 WHEN b < 10 THEN 2 ELSE 0 END AS split FROM (SELECT doc_id, (('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT % 10000) / 100.0::DOUBLE AS b FROM documents)""")
@@ -667,3 +670,190 @@ SELECT "column", count(*) FILTER (ch) AS n_changed, round_even(avg(q) FILTER (ch
 def change_stats(spark, sf_dir):
     s = notes.change_stats(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus", "l_quantity"), ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey"], ["l_returnflag", "l_linestatus"], "l_quantity")
     return s.select("column", "n_changed", F.bround("changed", 6).alias("changed"), "n_same", F.bround("same", 6).alias("same"))
+
+
+# ---- bars, beats and windows --------------------------------------------------------------------------------
+
+def _kind(spark, sf_dir, *kinds: str):
+    return events(spark, sf_dir, *kinds).select("user_id", "t").distinct()
+
+
+@query("running_max", _sql("""{EV} SELECT event_id, max(value) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS top FROM ev"""))
+def running_max(spark, sf_dir):
+    return series.running_max(events(spark, sf_dir), ["user_id"], ["t", "event_id"], "value", "top").select("event_id", "top")
+
+
+@query("sliding_count", _sql("""{EV} SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY t RANGE BETWEEN 7200 PRECEDING AND 7200 FOLLOWING) AS near FROM ev"""))
+def sliding_count(spark, sf_dir):
+    return series.sliding_count(events(spark, sf_dir), ["user_id"], "t", 7200, "near").select("event_id", "near")
+
+
+@query("local_slope", DAILY + """, s AS (SELECT event_type, day, (last(m) OVER w - first(m) OVER w) / (last(day) OVER w - first(day) OVER w) AS slope FROM daily WINDOW w AS (PARTITION BY event_type ORDER BY day ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)),
+q AS (SELECT event_type, quantile_cont(slope, 0.5) AS median FROM s GROUP BY ALL)
+SELECT event_type, day, round_even(slope, 6) AS slope, round_even(slope / nullif(median, 0), 6) AS slope_ratio FROM s JOIN q USING (event_type)""")
+def local_slope(spark, sf_dir):
+    r = series.local_slope(_daily(spark, sf_dir).select("event_type", "day", "m"), ["event_type"], "day", "m", 2, "slope")
+    return r.select("event_type", "day", F.bround("slope", 6).alias("slope"), F.bround("slope_ratio", 6).alias("slope_ratio"))
+
+
+@query("ragged_offsets", """SELECT doc_id, source, n_chars, coalesce(sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset" FROM documents""")
+def ragged_offsets(spark, sf_dir):
+    return series.offsets(table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars"), ["source"], ["doc_id"], "n_chars", "offset")
+
+
+@query("last_rows", _sql("""{EV} SELECT event_id, user_id FROM ev QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY t DESC, event_id DESC) <= 30"""))
+def last_rows(spark, sf_dir):
+    return series.last_rows(events(spark, sf_dir), ["user_id"], ["t", "event_id"], 30).select("event_id", "user_id")
+
+
+@query("length_ratio", _sql("""{EV}, c AS (SELECT user_id, count(*) FILTER (event_type = 'click') AS a, count(*) FILTER (event_type = 'view') AS b FROM ev GROUP BY ALL)
+SELECT user_id, a, b FROM c WHERE b > 0 AND a / b BETWEEN 0.75::DOUBLE AND 1.33::DOUBLE"""))
+def length_ratio(spark, sf_dir):
+    """Pairs whose lengths are alike."""
+    one = lambda k: F.count(F.when(F.col("event_type") == k, 1))
+    return events(spark, sf_dir).groupBy("user_id").agg(one("click").alias("a"), one("view").alias("b")).where("b > 0 and a / b between 0.75 and 1.33")
+
+
+def _segments(spark, sf_dir):
+    """A segment from each error of a user to the next, an hour to the beat, three or four to the bar."""
+    stop = F.lead("t").over(Window.partitionBy("user_id").orderBy("t"))
+    e = _kind(spark, sf_dir, "error").select("user_id", F.col("t").alias("start"), stop.alias("stop"), F.lit(3600).alias("period"), (F.pmod("t", F.lit(2)) + 3).cast("int").alias("meter"))
+    return e.where("stop is not null")
+
+
+_SEGMENTS = """{EV}, x AS (SELECT DISTINCT user_id, t FROM ev WHERE event_type = 'error'),
+seg AS (SELECT * FROM (SELECT user_id, t AS start, lead(t) OVER (PARTITION BY user_id ORDER BY t) AS stop, (t % 2 + 3)::INT AS meter FROM x) WHERE stop IS NOT NULL)"""
+
+
+@query("bar_beats", _sql(_SEGMENTS + """, b AS (SELECT *, unnest(generate_series(0, ceil((stop - start) / 3600.0::DOUBLE)::INT - 1))::INT AS beat FROM seg)
+SELECT user_id, start, beat, start + beat * 3600 AS t, (beat % meter)::INT AS position, (beat // meter)::INT AS bar FROM b"""))
+def bar_beats(spark, sf_dir):
+    return axis.beats_of_segments(_segments(spark, sf_dir), ["user_id"], "start", "stop", "period", "meter")
+
+
+@query("span_features", _sql(_SEGMENTS + """ SELECT seg.user_id, seg.start, seg.stop, count(e.event_id) AS n, round_even(avg(e.value), 6) AS mean, round_even(max(e.value) - min(e.value), 6) AS span
+FROM seg LEFT JOIN ev e ON e.user_id = seg.user_id AND e.event_type = 'click' AND e.t >= seg.start AND e.t < seg.stop GROUP BY ALL"""))
+def span_features(spark, sf_dir):
+    r = axis.span_features(events(spark, sf_dir, "click").select("user_id", "t", "value"), _segments(spark, sf_dir), ["user_id"], "t", "value", "start", "stop")
+    return r.select("user_id", "start", "stop", "n", F.bround("mean", 6).alias("mean"), F.bround("span", 6).alias("span"))
+
+
+@query("flag_downbeats", _sql("""{EV}, b AS (SELECT DISTINCT user_id, t FROM ev WHERE event_type = 'click'), d AS (SELECT DISTINCT user_id, t FROM ev WHERE event_type = 'purchase'),
+n AS (SELECT d.user_id, p.t AS pt, q.t AS qt, d.t FROM d ASOF LEFT JOIN b p ON d.user_id = p.user_id AND d.t >= p.t ASOF LEFT JOIN b q ON d.user_id = q.user_id AND d.t < q.t),
+h AS (SELECT DISTINCT user_id, CASE WHEN qt IS NOT NULL AND (pt IS NULL OR qt - t < t - pt) THEN qt ELSE pt END AS t FROM n)
+SELECT b.user_id, b.t, h.t IS NOT NULL AS downbeat FROM b LEFT JOIN h ON h.user_id = b.user_id AND h.t = b.t"""))
+def flag_downbeats(spark, sf_dir):
+    return axis.flag_downbeats(_kind(spark, sf_dir, "click"), _kind(spark, sf_dir, "purchase"), ["user_id"], "t")
+
+
+@query("tempo_timeline", _sql("""{EV}, p AS (SELECT user_id, t, max(event_id % 7 + 1) AS k FROM ev WHERE event_type = 'purchase' GROUP BY ALL),
+l AS (SELECT *, lag(t) OVER w AS lt, lag(k) OVER w AS lk FROM p WINDOW w AS (PARTITION BY user_id ORDER BY t)),
+a AS (SELECT *, sum(CASE WHEN lt IS NULL THEN t * k ELSE (t - lt) * lk END) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING)::BIGINT AS at FROM l),
+f AS (SELECT user_id, arg_min(k, t) AS k FROM p GROUP BY ALL)
+SELECT c.event_id, CASE WHEN a.at IS NULL THEN c.t * f.k ELSE a.at + (c.t - a.t) * a.k END AS at FROM (SELECT * FROM ev WHERE event_type = 'click') c ASOF LEFT JOIN a ON c.user_id = a.user_id AND c.t >= a.t LEFT JOIN f ON f.user_id = c.user_id"""))
+def tempo_timeline(spark, sf_dir):
+    tempos = events(spark, sf_dir, "purchase").groupBy("user_id", "t").agg(F.max(F.pmod("event_id", F.lit(7)) + 1).alias("k"))
+    return axis.time_of(events(spark, sf_dir, "click").select("event_id", "user_id", "t"), tempos, ["user_id"], "t", "k", "at").select("event_id", "at")
+
+
+@query("beat_levels", _sql("""{EV}, b AS (SELECT DISTINCT user_id, t FROM ev WHERE event_type = 'click'), s AS (SELECT *, lead(t) OVER (PARTITION BY user_id ORDER BY t) - t AS step FROM b),
+m AS (SELECT *, list_sort([coalesce(lag(step) OVER w, step), step, coalesce(lead(step) OVER w, step)])[2] AS mid FROM s WINDOW w AS (PARTITION BY user_id ORDER BY t)),
+q AS (SELECT user_id, quantile_cont(step, 0.5) AS median FROM s GROUP BY ALL)
+SELECT user_id, t, step, CASE WHEN step IS NULL THEN NULL WHEN mid / median < 0.7::DOUBLE THEN 0.5::DOUBLE WHEN mid / median > 1.4::DOUBLE THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS level FROM m JOIN q USING (user_id)"""))
+def beat_levels(spark, sf_dir):
+    return axis.beat_levels(_kind(spark, sf_dir, "click"), ["user_id"], "t")
+
+
+@query("steady_share", _sql("""{EV}, b AS (SELECT DISTINCT user_id, t FROM ev), s AS (SELECT *, lead(t) OVER (PARTITION BY user_id ORDER BY t) - t AS step FROM b),
+o AS (SELECT *, abs(lead(step) OVER (PARTITION BY user_id ORDER BY t) / nullif(step, 0)::DOUBLE - 1) <= 0.5::DOUBLE AS ok FROM s)
+SELECT user_id, count(step) AS n, round_even(avg(ok::INT), 9) AS steady FROM o GROUP BY ALL"""))
+def steady_share(spark, sf_dir):
+    r = axis.steady_share(_kind(spark, sf_dir), ["user_id"], "t", 0.5)
+    return r.select("user_id", "n", F.bround("steady", 9).alias("steady"))
+
+
+@query("memory_windows", _sql("""{EV}, n AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) - 1 AS n, count(*) OVER (PARTITION BY user_id) AS c FROM ev),
+w AS (SELECT *, unnest(generate_series(n // 16, least((c - 1) // 16, (n + 4) // 16))) AS win FROM n)
+SELECT event_id, win::INT AS "window", (n - greatest(win * 16 - 4, 0))::INT AS place, n >= win * 16 AS loss FROM w"""))
+def memory_windows(spark, sf_dir):
+    return axis.windows_with_memory(events(spark, sf_dir), ["user_id"], ["t", "event_id"], 16, 4).select("event_id", "window", "place", "loss")
+
+
+@query("padded_collate", """WITH c AS (SELECT conv_id, list(length(text) ORDER BY turn, role, text) AS xs FROM conversations GROUP BY ALL), b AS (SELECT conv_id // 8 AS batch, max(len(xs)) AS longest FROM c GROUP BY ALL)
+SELECT conv_id, conv_id // 8 AS batch, len(xs)::INT AS length, array_to_string(list_concat(xs, list_transform(range(longest - len(xs)), lambda i: 0)), ',') AS xs FROM c JOIN b ON b.batch = conv_id // 8""")
+def padded_collate(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text")))["text"].alias("xs"))
+    c = c.select("conv_id", F.floor(F.col("conv_id") / 8).cast("long").alias("batch"), F.transform("xs", F.length).alias("xs"))
+    return axis.padded(c, ["batch"], "xs").select("conv_id", "batch", "length", F.array_join(F.col("xs").cast("array<string>"), ",").alias("xs"))
+
+
+@query("note_match", _sql("""{EV}, a AS (SELECT user_id, t, min(event_id) AS id_a FROM ev WHERE event_type = 'click' GROUP BY ALL), b AS (SELECT user_id, t, min(event_id) AS id_b FROM ev WHERE event_type = 'view' GROUP BY ALL),
+x AS (SELECT a.*, p.t AS pt, p.id_b AS pb, q.t AS qt, q.id_b AS qb FROM a ASOF LEFT JOIN b p ON a.user_id = p.user_id AND a.t >= p.t ASOF LEFT JOIN b q ON a.user_id = q.user_id AND a.t < q.t),
+m AS (SELECT id_a, t, CASE WHEN qt IS NOT NULL AND (pt IS NULL OR qt - t < t - pt) THEN qb ELSE pb END AS id_b, CASE WHEN qt IS NOT NULL AND (pt IS NULL OR qt - t < t - pt) THEN qt ELSE pt END AS nt FROM x),
+y AS (SELECT b.*, p.t AS pt, p.id_a AS pa, q.t AS qt, q.id_a AS qa FROM b ASOF LEFT JOIN a p ON b.user_id = p.user_id AND b.t >= p.t ASOF LEFT JOIN a q ON b.user_id = q.user_id AND b.t < q.t),
+r AS (SELECT id_b, CASE WHEN qt IS NOT NULL AND (pt IS NULL OR qt - t < t - pt) THEN qa ELSE pa END AS id_a FROM y)
+SELECT m.id_a, m.id_b, m.nt - m.t AS off FROM m JOIN r ON r.id_b = m.id_b AND r.id_a = m.id_a WHERE abs(m.nt - m.t) <= 36000"""))
+def note_match(spark, sf_dir):
+    one = lambda k, name: events(spark, sf_dir, k).groupBy("user_id", "t").agg(F.min("event_id").alias(name))
+    return axis.mutual_nearest(one("click", "id_a"), one("view", "id_b"), ["user_id"], "t", "id_a", "id_b", 36_000)
+
+
+@query("best_scale", _sql("""{EV}, a AS (SELECT DISTINCT user_id, t // 3600 AS h FROM ev WHERE event_type = 'click'), b AS (SELECT DISTINCT user_id, t // 3600 AS h FROM ev WHERE event_type = 'view'),
+s AS (SELECT unnest(['half', 'same', 'twice']) AS scale, unnest([1, 1, 2]) AS num, unnest([2, 1, 1]) AS den),
+h AS (SELECT b.user_id, s.scale, count(*) AS hit FROM b, s, a WHERE b.h * s.num % s.den = 0 AND a.user_id = b.user_id AND a.h = b.h * s.num // s.den GROUP BY ALL),
+na AS (SELECT user_id, count(*) AS n FROM a GROUP BY ALL), nb AS (SELECT user_id, count(*) AS n FROM b GROUP BY ALL),
+f AS (SELECT h.user_id, scale, 2.0::DOUBLE * hit / (na.n + nb.n) AS f1 FROM h JOIN na USING (user_id) JOIN nb USING (user_id))
+SELECT user_id, scale, round_even(f1, 9) AS f1 FROM f QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY f1 DESC, scale) = 1"""))
+def best_scale(spark, sf_dir):
+    hours = lambda kind: events(spark, sf_dir, kind).select("user_id", F.floor(F.col("t") / HOUR).cast("long").alias("h"))
+    r = axis.best_scale(hours("click"), hours("view"), ["user_id"], "h", {"half": (1, 2), "same": (1, 1), "twice": (2, 1)})
+    return r.select("user_id", "scale", F.bround("f1", 9).alias("f1"))
+
+
+# ---- scalars and predicates ---------------------------------------------------------------------------------
+
+@query("snapped_fractions", """WITH x AS (SELECT event_id, value / 10 AS x FROM events), d AS (SELECT unnest([1, 2, 3, 4, 6, 8, 12, 16]) AS den)
+SELECT event_id, round_even(x * den, 0)::BIGINT AS num, den::INT AS den FROM x, d WHERE abs(x - round_even(x * den, 0) / den) <= 0.02::DOUBLE QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY den) = 1""")
+def snapped_fractions(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_id", scalar.snap_to_fraction(F.col("value") / 10).alias("f"))
+    return e.where("f is not null").select("event_id", "f.num", "f.den")
+
+
+@query("error_reasons", r"""SELECT trim(regexp_replace(regexp_replace(regexp_replace(url, '''[^'']*''|"[^"]*"', '''''', 'g'), '(/[A-Za-z0-9_.-]+)+', '/', 'g'), '[0-9]+', '#', 'g')) AS reason, count(*) AS n FROM pages GROUP BY ALL""")
+def error_reasons(spark, sf_dir):
+    return table(spark, sf_dir, "pages").groupBy(scalar.error_reason(F.col("url")).alias("reason")).agg(F.count("*").alias("n"))
+
+
+@query("floor_div", """SELECT o_orderkey, CASE WHEN x % 7 < 0 THEN x // 7 - 1 ELSE x // 7 END AS q FROM (SELECT o_orderkey, (9007199254740993 + o_orderkey) * CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE -1 END AS x FROM orders)""")
+def floor_div(spark, sf_dir):
+    x = (F.lit(9007199254740993) + F.col("o_orderkey")) * F.when(F.col("o_orderkey") % 2 == 0, 1).otherwise(-1)
+    return table(spark, sf_dir, "orders").select("o_orderkey", scalar.floor_div(x, 7).alias("q"))
+
+
+@query("private_order", """SELECT l_returnflag, row_number() OVER (ORDER BY md5('5:' || l_returnflag), l_returnflag) - 1 AS label FROM (SELECT DISTINCT l_returnflag FROM lineitem)""")
+def private_order(spark, sf_dir):
+    """Categories numbered in an order of their own, drawn from a seed."""
+    order = Window.orderBy(F.md5(F.concat(F.lit("5:"), "l_returnflag").cast("binary")), "l_returnflag")  # a row for each category
+    return table(spark, sf_dir, "lineitem").select("l_returnflag").distinct().select("l_returnflag", (F.row_number().over(order) - 1).cast("long").alias("label"))
+
+
+@query("length_buckets", """SELECT CASE WHEN n_chars < 200 THEN 0 WHEN n_chars < 1000 THEN 1 WHEN n_chars < 5000 THEN 2 ELSE 3 END AS bucket, count(*) AS n, sum(n_chars)::BIGINT AS chars, max(n_chars) AS longest FROM documents GROUP BY ALL""")
+def length_buckets(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("n_chars", scalar.bin_of(F.col("n_chars") + 0.5, [200.0, 1000.0, 5000.0]).alias("bucket"))
+    return d.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"), F.max("n_chars").alias("longest"))
+
+
+@query("unseen_tokens", """SELECT v.q::INT AS quantity FROM (SELECT unnest(generate_series(0, 60)) AS q) v WHERE v.q NOT IN (SELECT l_quantity::INT FROM lineitem WHERE l_returnflag = 'R')""")
+def unseen_tokens(spark, sf_dir):
+    """Tokens of the vocabulary that training never has."""
+    seen = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_quantity").cast("int").alias("quantity"))
+    return corpus.exclude(spark.range(61).select(F.col("id").cast("int").alias("quantity")), seen, ["quantity"])
+
+
+@query("all_sides", """SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F') AND c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'O') AND c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')""")
+def all_sides(spark, sf_dir):
+    """Customers that all three relations know."""
+    c, o = table(spark, sf_dir, "customer").select("c_custkey"), table(spark, sf_dir, "orders")
+    for side in ("o_orderstatus = 'F'", "o_orderstatus = 'O'", "o_orderpriority = '1-URGENT'"):
+        c = c.join(o.where(side).select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_semi")
+    return c
