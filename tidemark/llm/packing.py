@@ -25,6 +25,7 @@ result; other columns are ignored, whatever their names.
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -48,8 +49,10 @@ def encoder(ranks_path: str | None, json_path: str | None):
     import tiktoken
     from tokenizers import Tokenizer
 
-    plain = Tokenizer.from_file(json_path or public_tokenizers.path("byte_bpe_50k.json"))
-    special = {t.content: i for i, t in plain.get_added_tokens_decoder().items()}
+    json_path = json_path or public_tokenizers.path("byte_bpe_50k.json")
+    with open(json_path, encoding="utf-8") as f:
+        special = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+    plain: list = []  # loaded where it is needed
     lines = open(ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb").read().splitlines()
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
     fast = tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
@@ -58,7 +61,8 @@ def encoder(ranks_path: str | None, json_path: str | None):
         try:
             return fast.encode(text, allowed_special="all")
         except ValueError:  # its pattern engine gives up on very long runs of white space
-            return plain.encode(text, add_special_tokens=False).ids
+            plain[:] = plain or [Tokenizer.from_file(json_path)]
+            return plain[0].encode(text, add_special_tokens=False).ids
 
     return ids
 

@@ -272,7 +272,7 @@ def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for batch in batches:
             ids, found = batch.column("e").to_numpy(), batch.column("text")
             for at in range(0, len(ids), 200):
-                e, n, pos, keys = [], [], [], []
+                e, at_of, keys = [], [], []
                 for k in range(at, min(at + 200, len(ids))):
                     h = shingles(found[k].as_py(), words)
                     if len(known):
@@ -280,12 +280,12 @@ def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                         h = h[np.argsort(np.where(known[place] == h, often[place], 0), kind="stable")]
                     first = len(h) - math.ceil(least * len(h)) + 1
                     e.append(np.full(first, ids[k], np.int64))
-                    n.append(np.full(first, len(h), np.int32))
-                    pos.append(np.arange(first, dtype=np.int32))
+                    at_of.append(np.arange(first, dtype=np.int64) | len(h) << 32)
                     keys.append(h[:first])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (keys, e, n, pos)], names=["key", "e", "n", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (keys, e, at_of)], names=["key", "e", "at"])
 
-    first = texts.mapInArrow(prefixes, "key long, e long, n int, pos int")
+    # at: the size of the text's set, and in the lower 32 bits the shingle's place in it
+    first = texts.mapInArrow(prefixes, "key long, e long, at long")
     # a key that many texts share is one row here, and the join below splits its rows
     hubs = cut(first.groupBy("key").agg(F.min("e").alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", "hub"))
     free(spark)
@@ -294,12 +294,15 @@ def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     up, down = least.numerator, least.denominator + least.numerator
 
-    def possible(n, pos, m, qos):
+    def possible(p, q):
         """Whether what follows a common shingle is enough; true of the first common one of any similar pair."""
-        return F.lit(down) * F.least(n - pos, m - qos).cast("long") >= F.lit(up) * (n.cast("long") + m)
+        n, m = F.shiftright(p, 32), F.shiftright(q, 32)
+        low = F.lit(0xFFFFFFFF).cast("long")
+        return F.lit(down) * F.least(n - p.bitwiseAND(low), m - q.bitwiseAND(low)) >= F.lit(up) * (n + m)
 
     order = Window.partitionBy("e").orderBy(F.desc("n"), "hub")
-    stars = shared.where("e <> hub").groupBy("e", "hub").agg(F.count("*").alias("n"))
+    stand = shared.where("e = hub").groupBy("key").agg(F.first("at").alias("hub_at"))
+    stars = shared.where("e <> hub").join(stand, "key").where(possible(F.col("at"), F.col("hub_at"))).groupBy("e", "hub").agg(F.count("*").alias("n"))
     stars = stars.withColumn("k", F.row_number().over(order)).where(F.col("k") <= HUBS)
     stars = cut(stars.select(F.least("e", "hub").alias("a"), F.greatest("e", "hub").alias("b")).distinct())
     near = _similar(stars, texts, words, least)
@@ -309,9 +312,9 @@ def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     apart = left.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
     left = cut(left.join(apart, "key", "left_semi").distinct())
     free(spark)
-    a = left.select("key", F.col("e").alias("a"), F.col("n").alias("an"), F.col("pos").alias("ap"), F.col("c").alias("ac"))
-    b = left.select("key", F.col("e").alias("b"), F.col("n").alias("bn"), F.col("pos").alias("bp"), F.col("c").alias("bc"))
-    fits = possible(F.col("an"), F.col("ap"), F.col("bn"), F.col("bp"))
+    a = left.select("key", F.col("e").alias("a"), F.col("at").alias("ap"), F.col("c").alias("ac"))
+    b = left.select("key", F.col("e").alias("b"), F.col("at").alias("bp"), F.col("c").alias("bc"))
+    fits = possible(F.col("ap"), F.col("bp"))
     pairs = a.join(b, (a["key"] == b["key"]) & (F.col("a") < F.col("b")) & (F.col("ac") != F.col("bc")) & fits).select("a", "b").distinct()
     more = _similar(cut(pairs.join(stars, ["a", "b"], "left_anti")), texts, words, least)
     joined = components(near.unionByName(more)).select(F.col("node").alias("e"), "component")
