@@ -124,18 +124,17 @@ class ShardStore:
         """Merges files of ripe tiers, commit by commit, until there is nothing to merge."""
         while True:
             v = self.version()
-            plan = self.plan(target_bytes, min_runs, v).orderBy("tier", "merged", "file").limit(PLAN_FILES).collect()
+            some = self.plan(target_bytes, min_runs, v).orderBy("tier", "merged", "file").limit(PLAN_FILES)
+            target = some.select("file", (F.dense_rank().over(Window.orderBy("tier", "merged")) - 1).alias("target"))  # PLAN_FILES rows at most
+            plan = target.collect()
             if not plan:
                 return v
-            merged = {(r.tier, r.merged): 0 for r in plan}
-            merged = {k: i for i, k in enumerate(merged)}
-            target = self.spark.createDataFrame([(r.file, merged[r.tier, r.merged]) for r in plan], "file string, target int")
             rows = self.spark.read.schema(schema).parquet(*[r.file for r in plan])
             whole = F.struct(*[F.col(f"`{c}`") for c in schema.names]).alias("row")
             rows = rows.select(whole, rows.metadataColumn("_metadata")["file_path"].alias("file")).join(F.broadcast(target), "file")
             folder = f"{self.root}/data/c{v + 1}_{uuid.uuid4().hex}"
             # a task for each merged file
-            rows.repartitionById(len(merged), F.col("target")).select("row.*").write.option("compression", "zstd").parquet(folder)
+            rows.repartitionById(1 + max(r.target for r in plan), F.col("target")).select("row.*").write.option("compression", "zstd").parquet(folder)
             left = self.manifest(v).join(F.broadcast(target.select("file")), "file", "left_anti")
             self._commit(left.unionByName(self._listed(folder, schema)), v + 1)
 
