@@ -47,7 +47,7 @@ def test_compaction_reads_the_planned_files_only(spark, tmp_path, monkeypatch):
     store.append(docs.coalesce(1), max_rows=100_000)
     big = {r.file for r in store.manifest().collect()}
     for k in range(4):
-        store.append(docs.where(F.pmod("doc_id", F.lit(40)) == k).coalesce(1))
+        store.append(docs.where(F.pmod("doc_id", F.lit(16)) == k).coalesce(1))
     planned = {r.file for r in store.plan(1 << 20).collect()}
     assert len(planned) == 4 and not planned & big
     read = []
