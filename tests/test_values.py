@@ -67,3 +67,24 @@ def test_band_join_of_equal_times(spark):
     a = spark.createDataFrame([("k", 1), ("k", 2)], "k string, t long")
     b = spark.createDataFrame([("k", 2, "x"), ("k", 3, "y")], "k string, t long, v string")
     assert {(r.t, r.v) for r in temporal.band_join(a, b, ["k"], "t", 0, ["v"]).collect()} == {(1, None), (2, "x")}
+
+
+def test_small_scalars(spark):
+    from tidemark.functions import scalar
+    from pyspark.sql import functions as F
+
+    one = spark.range(1).select(
+        scalar.ending_numbers(F.lit("1-3, 5,x")).alias("ends"), scalar.snap_to_metronome(F.lit(118.0)).alias("mark"), scalar.lcm_of(F.array(F.lit(4), F.lit(6), F.lit(10))).alias("lcm"),
+        scalar.lcm_of(F.array().cast("array<long>")).alias("none"), scalar.velocity_bin(F.lit(200)).alias("top"), scalar.velocity_of_bin(F.lit(31)).alias("middle"),
+        scalar.note_quarters(F.lit(1.0), F.lit(1), F.lit(3), F.lit(2), F.lit(False)).alias("dotted"), scalar.tempo_bin(F.lit(30.0)).alias("slow"), scalar.utc_now().alias("now"),
+    ).first()
+    assert (one.ends, one.mark, one.lcm, one.none, one.top, one.middle, one.dotted, one.slow) == ([1, 2, 3, 5], 116, 60, 1, 31, 126, 1.0, 0)
+    assert one.now[10] == "T" and one.now[-1] == "Z"
+
+
+def test_increasing_groups_know_nulls_and_ties(spark):
+    from tidemark.operators import groups
+
+    rows = [("up", 1, 1.0), ("up", 2, 2.0), ("tie", 1, 1.0), ("tie", 2, 1.0), ("null", 1, None), ("null", 2, 2.0), ("short", 1, 1.0)]
+    found = groups.increasing(spark.createDataFrame(rows, "k string, n int, v double"), ["k"], ["n"], "v", 2)
+    assert [r.k for r in found.collect()] == ["up"]

@@ -58,7 +58,7 @@ def bin_of(x: Column, bounds: list[float]) -> Column:
 
 
 def velocity_bin(v: Column, bins: int = 32) -> Column:
-    return F.floor(v * bins / 128).cast("int")
+    return clip(F.floor(v * bins / 128), 0, bins - 1).cast("int")
 
 
 def velocity_of_bin(b: Column, bins: int = 32) -> Column:
@@ -188,3 +188,42 @@ def error_reason(message: Column) -> Column:
     text = F.regexp_replace(message, r"'[^']*'|\"[^\"]*\"", "''")
     text = F.regexp_replace(text, r"(/[\w.-]+)+", "/")
     return F.trim(F.regexp_replace(text, r"\d+", "#"))
+
+
+def lcm_of(numbers: Column) -> Column:
+    """Least common multiple of an array of whole numbers above zero; 1 if it is empty."""
+    def gcd(a: Column, b: Column) -> Column:
+        pair = F.struct(a.cast("long").alias("a"), b.cast("long").alias("b"))
+        # Euclid's steps for 64 bits are 91 at most
+        end = F.aggregate(F.sequence(F.lit(1), F.lit(91)), pair, lambda p, _: F.when(p["b"] == 0, p).otherwise(F.struct(p["b"].alias("a"), F.pmod(p["a"], F.when(p["b"] == 0, 1).otherwise(p["b"])).alias("b"))))
+        return end["a"]
+
+    return F.aggregate(numbers, F.lit(1).cast("long"), lambda m, x: F.call_function("div", m, gcd(m, x)) * x)
+
+
+def overlay_json(low: Column, high: Column) -> Column:
+    """One flat JSON object as map<string,string>: the fields of both, the second one's where both have them."""
+    read = lambda c: F.coalesce(F.from_json(c, "map<string,string>"), F.create_map().cast("map<string,string>"))
+    a, b = read(low), read(high)
+    return F.map_concat(F.map_filter(a, lambda k, _: ~F.map_contains_key(b, k)), b)
+
+
+def first_match(text: Column, kinds: dict[str, str]) -> Column:
+    """The name of the first pattern that is found in the text, whatever its case; null if none is."""
+    return F.coalesce(*[F.when(F.lower(text).rlike(pattern), name) for name, pattern in kinds.items()])
+
+
+def all_matches(text: Column, kinds: dict[str, str]) -> Column:
+    """The names of all patterns that are found in the text, in the order given."""
+    return F.array_compact(F.array(*[F.when(F.lower(text).rlike(pattern), name) for name, pattern in kinds.items()]))
+
+
+def remap(tokens: Column, table: Column) -> Column:
+    """Tokens by a table (array, from token 0); where one has no place in it (below zero, or beyond its end) all stay as they were."""
+    moved = F.transform(tokens, lambda t: F.when(t >= 0, F.coalesce(F.get(table, t), F.lit(-1))).otherwise(-1))
+    return F.when(F.exists(moved, lambda t: t < 0), tokens).otherwise(moved)
+
+
+def utc_now() -> Column:
+    """The time of the query in ISO form, UTC, so that its order as text is its order in time."""
+    return F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar
-from ..operators import axis, buckets, corpus, harmony, notes, sampling, sequences, series, temporal
+from ..operators import axis, buckets, corpus, groups, harmony, notes, sampling, sequences, series, temporal
 from ..sources import midi, musicxml
 from ..streaming import feeds
 
@@ -857,3 +857,82 @@ def all_sides(spark, sf_dir):
     for side in ("o_orderstatus = 'F'", "o_orderstatus = 'O'", "o_orderpriority = '1-URGENT'"):
         c = c.join(o.where(side).select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_semi")
     return c
+
+
+@query("increasing_groups", _sql("""{EV}, s AS (SELECT user_id, t // 86400 AS day, value, lag(value) OVER (PARTITION BY user_id, t // 86400 ORDER BY event_id) AS before, row_number() OVER (PARTITION BY user_id, t // 86400 ORDER BY event_id) AS n FROM ev)
+SELECT user_id, day FROM s GROUP BY ALL HAVING count(*) >= 2 AND bool_and(value IS NOT NULL AND (n = 1 OR coalesce(value > before, false)))"""))
+def increasing_groups(spark, sf_dir):
+    e = events(spark, sf_dir).withColumn("day", F.floor(F.col("t") / 86400).cast("long"))
+    return groups.increasing(e, ["user_id", "day"], ["event_id"], "value", 2)
+
+
+@query("swing_share", _sql("""{EV}, s AS (SELECT user_id, avg((t % 2 = 1)::INT) AS share FROM ev WHERE event_type IN ('click', 'view') GROUP BY ALL)
+SELECT user_id, round_even(share, 9) AS share FROM s WHERE share BETWEEN 0.4::DOUBLE AND 0.6::DOUBLE"""))
+def swing_share(spark, sf_dir):
+    r = groups.share_between(events(spark, sf_dir), ["user_id"], F.col("t") % 2 == 1, F.col("event_type").isin("click", "view"), 0.4, 0.6)
+    return r.select("user_id", F.bround("share", 9).alias("share"))
+
+
+@query("notation_rich", _sql("""{EV} SELECT user_id, count(*) FILTER (event_type = 'error') / greatest(1, count(*) FILTER (event_type = 'click')) >= 0.1::DOUBLE AND bool_or(value > 200) AS rich FROM ev GROUP BY ALL"""))
+def notation_rich(spark, sf_dir):
+    kind = F.col("event_type")
+    return groups.richness(events(spark, sf_dir), ["user_id"], kind == "error", kind == "click", F.col("value") > 200, 0.1)
+
+
+@query("group_lookup", """SELECT event_id, CASE event_type WHEN 'click' THEN 'look' WHEN 'view' THEN 'look' WHEN 'purchase' THEN 'buy' ELSE 'other' END AS kind FROM events""")
+def group_lookup(spark, sf_dir):
+    small = spark.createDataFrame([("click", "look"), ("view", "look"), ("purchase", "buy")], "event_type string, kind string")
+    return groups.lookup(events(spark, sf_dir), small, "event_type", "kind", "other").select("event_id", "kind")
+
+
+@query("end_slopes", _sql("""{EV}, r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS up, row_number() OVER (PARTITION BY user_id ORDER BY t DESC, event_id DESC) AS down FROM ev)
+SELECT user_id, round_even(regr_slope(t, up) FILTER (up <= 8), 3) AS head, round_even(regr_slope(t, up) FILTER (down <= 8), 3) AS tail FROM r GROUP BY ALL"""))
+def end_slopes(spark, sf_dir):
+    e = events(spark, sf_dir).withColumn("n", F.row_number().over(Window.partitionBy("user_id").orderBy("t", "event_id")))
+    r = groups.end_slopes(e, ["user_id"], ["t", "event_id"], "n", "t")
+    return r.select("user_id", F.bround("head", 3).alias("head"), F.bround("tail", 3).alias("tail"))
+
+
+@query("evaluation_windows", """WITH d AS (SELECT doc_id, n_chars FROM documents WHERE n_chars >= 512) SELECT doc_id, s AS start, s + 512 AS stop FROM (SELECT doc_id, unnest(generate_series(0, n_chars - 512, 512)) AS s FROM d)""")
+def evaluation_windows(spark, sf_dir):
+    return groups.evaluation_windows(table(spark, sf_dir, "documents").select("doc_id", F.col("n_chars").cast("long").alias("n")), "n", 512).select("doc_id", "start", "stop")
+
+
+@query("lcm_denominators", """SELECT l_orderkey, list_reduce(list_prepend(1::BIGINT, list(DISTINCT l_quantity::BIGINT % 12 + 1)), lambda a, b: lcm(a, b)) AS divisions FROM lineitem GROUP BY ALL""")
+def lcm_denominators(spark, sf_dir):
+    q = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_set(F.col("l_quantity").cast("long") % 12 + 1).alias("q"))
+    return q.select("l_orderkey", scalar.lcm_of(F.col("q")).alias("divisions"))
+
+
+@query("overlaid_props", """SELECT event_id, coalesce(json_extract_string(props, '$.k'), '0') AS k, 'none' AS z FROM events""")
+def overlaid_props(spark, sf_dir):
+    m = scalar.overlay_json(F.lit('{"k": "0", "z": "none"}'), F.col("props"))
+    return table(spark, sf_dir, "events").select("event_id", m.alias("m")).select("event_id", F.col("m")["k"].alias("k"), F.col("m")["z"].alias("z"))
+
+
+@query("first_matches", """SELECT doc_id, CASE WHEN regexp_matches(lower(text), 'the|and') THEN 'a' WHEN regexp_matches(lower(text), '[0-9]') THEN 'b' WHEN regexp_matches(lower(text), 'e') THEN 'c' END AS kind,
+  regexp_matches(lower(text), 'the|and')::INT + regexp_matches(lower(text), '[0-9]')::INT + regexp_matches(lower(text), 'e')::INT AS n FROM documents WHERE text IS NOT NULL""")
+def first_matches(spark, sf_dir):
+    kinds = {"a": "the|and", "b": "[0-9]", "c": "e"}
+    text = F.col("text")
+    return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", scalar.first_match(text, kinds).alias("kind"), F.size(scalar.all_matches(text, kinds)).alias("n"))
+
+
+@query("remapped_tokens", """WITH o AS (SELECT l_orderkey, list(l_quantity::INT % 11 ORDER BY l_linenumber, l_quantity) AS x FROM lineitem GROUP BY ALL)
+SELECT l_orderkey, array_to_string(CASE WHEN list_contains(x, 9) OR list_contains(x, 10) THEN x ELSE list_transform(x, lambda t: (t * 2 + 1) % 9) END, ',') AS x FROM o""")
+def remapped_tokens(spark, sf_dir):
+    """9 is -1 in the table, and 10 is beyond it."""
+    o = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_quantity")))["l_quantity"].alias("q"))
+    moved = F.array(*[F.lit((t * 2 + 1) % 9) for t in range(9)], F.lit(-1))
+    x = scalar.remap(F.transform("q", lambda v: v.cast("int") % 11), moved)
+    return o.select("l_orderkey", F.array_join(x.cast("array<string>"), ",").alias("x"))
+
+
+@query("score_scalars", """SELECT l_orderkey, l_linenumber, least(greatest(floor(l_quantity * 3 * 32 / 128), 0), 31)::INT AS velocity, (l_quantity::BIGINT // 60)::VARCHAR || ':' || lpad((l_quantity::BIGINT % 60)::VARCHAR, 2, '0') AS clock,
+  round_even(exp(-(l_discount * l_discount) / 0.02::DOUBLE), 9) AS bias, round_even(l_linenumber * 4.0::DOUBLE / 8, 9) AS measure,
+  CASE WHEN l_quantity < 10 THEN floor((10 - l_quantity) / 2) WHEN l_quantity > 40 THEN floor((l_quantity - 40) / 2) ELSE 0 END::INT AS ledger FROM lineitem""")
+def score_scalars(spark, sf_dir):
+    q = F.col("l_quantity")
+    return table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", scalar.velocity_bin(q * 3).alias("velocity"), scalar.clock(q).alias("clock"), F.bround(scalar.time_bias(F.col("l_discount"), 0.1), 9).alias("bias"),
+        F.bround(scalar.meter_length(F.col("l_linenumber"), F.lit(8)), 9).alias("measure"), scalar.ledger_lines(q, 10, 40).alias("ledger"))
