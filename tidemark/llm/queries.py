@@ -7,13 +7,16 @@ from pyspark.sql import functions as F
 
 from . import language_id, quality_crf
 from .base import held_out, scratch, table
+from .drake_kmeans import drake_kmeans
 from .embedding_dedup import near_vectors
 from .exact_dedup import exact_dedup
 from .hpy_lm import hpy_scores
 from .mixing import mix
 from .packing import pack
+from .phrases import collocations
 from .sharding import ShardStore
 from .simhash import near_duplicates
+from .two_fit import pack_two_fit
 from .url_filter import domains_of, filter_urls, host_of
 
 
@@ -148,6 +151,74 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out("doc_id", quality_crf.FOLDS).alias("held_out"), "score", (F.col("score") >= quality_crf.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op11_drake_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = drake_kmeans(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def _kmeans_sql(k: int = 40, rounds: int = 5, dims: int = 64) -> str:
+    """The rounds one after another: a vector's cluster and squared distance are read off the least distance * k + cluster."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} AS MATERIALIZED (
+  SELECT row_id, any_value(v) AS v, min(key) % {k} AS cluster, min(key) // {k} AS distance FROM (
+    SELECT x.row_id, x.v, {k} * list_sum(list_transform(range(1, {dims + 1}), lambda i: (x.v[i] - c.v[i]) * (x.v[i] - c.v[i])))::BIGINT + c.cluster AS key FROM kept x CROSS JOIN c{r} c)
+  GROUP BY row_id)""")
+        if r < rounds:
+            steps.append(f"""c{r + 1} AS MATERIALIZED (
+  SELECT c.cluster, coalesce(m.v, c.v) AS v FROM c{r} c LEFT JOIN (
+    SELECT cluster, list((s - ((s % n) + n) % n) // n ORDER BY i) AS v FROM (
+      SELECT cluster, i, sum(v[i])::BIGINT AS s, count(*)::BIGINT AS n FROM a{r}, range(1, {dims + 1}) AS t(i) GROUP BY cluster, i)
+    GROUP BY cluster) m USING (cluster))""")
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS row_id, vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 256)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: isfinite(x))) = {dims}),
+c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY h, v) - 1 AS cluster, v FROM (SELECT v, sha256('2:' || coalesce(vec_id::VARCHAR, '')) AS h FROM kept)
+  ORDER BY h, v LIMIT {k}),
+{", ".join(steps)}
+SELECT vec_id, a.cluster::INTEGER AS cluster, distance::BIGINT AS distance, sum(distance) OVER (PARTITION BY a.cluster)::BIGINT AS cluster_inertia,
+       sum(distance) OVER ()::BIGINT AS inertia, sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM kept JOIN a{rounds} a USING (row_id) JOIN c{rounds} c ON c.cluster = a.cluster
+"""
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
+OP12_SQL = r"""
+WITH p AS (
+  SELECT row_number() OVER () AS piece, lang, piece AS text FROM (
+    SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+w AS (SELECT lang, regexp_extract_all(text, '[^\x20\x09]+') AS words FROM p),
+g AS MATERIALIZED (
+  SELECT lang, size, phrase, count(*)::BIGINT AS a FROM (
+    SELECT lang, s.size, unnest(list_transform(range(1, len(words) - s.size + 2), lambda i: array_to_string(list_slice(words, i, i + s.size - 1), ' '))) AS phrase
+    FROM w CROSS JOIN (SELECT unnest([1, 2, 3, 4, 5]) AS size) s WHERE len(words) >= s.size)
+  GROUP BY lang, size, phrase),
+n AS (SELECT lang, sum(a)::BIGINT AS n FROM g WHERE size = 1 GROUP BY lang),
+f AS MATERIALIZED (SELECT lang, size, phrase, a, string_split(phrase, ' ') AS words FROM g WHERE size > 1 AND a >= 100),
+k AS (
+  SELECT lang, phrase, size, a, k, array_to_string(list_slice(words, 1, k), ' ') AS lp, array_to_string(list_slice(words, k + 1, size), ' ') AS rp
+  FROM (SELECT *, unnest(range(1, size)) AS k FROM f)),
+s AS (
+  SELECT k.lang, k.phrase, k.size, k.a, k.k, x.a AS l, y.a AS r, n.n, ((1000::HUGEINT * k.a * n.n) // (x.a::HUGEINT * y.a))::BIGINT AS score
+  FROM k JOIN g x ON x.lang = k.lang AND x.phrase = k.lp JOIN g y ON y.lang = k.lang AND y.phrase = k.rp JOIN n ON n.lang = k.lang),
+c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS nth FROM s) WHERE nth = 1),
+b AS (SELECT DISTINCT c.lang, c.phrase FROM c JOIN f ON f.lang = c.lang AND f.size > c.size AND 100 * f.a >= 100 * c.a AND contains(' ' || f.phrase || ' ', ' ' || c.phrase || ' '))
+SELECT lang, rank, phrase, a, l, r, n, score FROM (
+  SELECT c.lang, row_number() OVER (PARTITION BY c.lang ORDER BY c.score DESC, c.a DESC, c.phrase) AS rank, c.phrase, c.a, c.l, c.r, c.n, c.score
+  FROM c LEFT JOIN b ON b.lang = c.lang AND b.phrase = c.phrase WHERE b.phrase IS NULL)
+WHERE rank <= 2000
+"""
+
+
+def op13_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_two_fit(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict:
     return {
         "op1_exact_dedup": op1_exact_dedup,
@@ -160,8 +231,11 @@ def queries() -> dict:
         "op8_mixing": op8_mixing,
         "op9_simhash": op9_simhash,
         "op10_quality": op10_quality,
+        "op11_drake_kmeans": op11_drake_kmeans,
+        "op12_phrases": op12_phrases,
+        "op13_two_fit": op13_two_fit,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op2_sharding": OP2_SQL, "op5_url_filter": OP5_SQL, "op8_mixing": OP8_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op2_sharding": OP2_SQL, "op5_url_filter": OP5_SQL, "op8_mixing": OP8_SQL, "op11_drake_kmeans": _kmeans_sql(), "op12_phrases": OP12_SQL}
