@@ -46,7 +46,7 @@ SALTS = 32
 
 def _number(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(number, first, count): keys numbered by first occurrence, where each number first occurs, and how often."""
-    ids = np.asarray(pa.array(keys).dictionary_encode().indices, np.int64)
+    ids = np.asarray(pa.array(keys).dictionary_encode().indices)
     n = int(ids.max(initial=-1)) + 1
     first = np.empty(n, np.int64)
     first[ids[::-1]] = np.arange(len(ids) - 1, -1, -1)
@@ -83,8 +83,8 @@ def automaton(symbol: np.ndarray, piece: np.ndarray, depth: int, joined: np.ndar
     for _ in range(1, depth):
         upper = levels[-1]
         spot = spot[(upper.at[spot - 1] >= 0) & (upper.at[spot] >= 0)]
-        ids, first, count = _number(upper.at[spot - 1] * np.int64(len(levels[0].count)) + levels[0].at[spot])
-        at = np.full(n, -1)
+        ids, first, count = _number(upper.at[spot - 1].astype(np.int64) * len(levels[0].count) + levels[0].at[spot])
+        at = np.full(n, -1, np.int32)
         at[spot] = ids
         end = spot[first]
         levels.append(Level(at, end, count, upper.at[end]))
@@ -121,25 +121,28 @@ class Shard:
 
     @property
     def symbol(self) -> np.ndarray:
-        return self.lang * np.int64(len(self.names)) + self.word
+        return self.lang.astype(np.int64) * len(self.names) + self.word
 
     def pair_hashes(self, bits: int) -> np.ndarray:
         """For each position, a hash of `bits` bits of its word, the one before it, and their language; from 1 on."""
         seeds = np.array([xxhash.xxh64_intdigest(x.as_py()) for x in self.langs], np.uint64)
-        own = np.array([xxhash.xxh64_intdigest(x.as_py()) for x in self.names], np.uint64)[self.word]
+        own = np.fromiter((xxhash.xxh64_intdigest(x.as_py()) for x in self.names), np.uint64, len(self.names))[self.word]
         out = np.zeros(len(own), np.int64)
         mixed = (own[:-1] * np.uint64(0x9E3779B97F4A7C15) ^ (own[1:] + seeds[self.lang[1:]])) * np.uint64(0xC2B2AE3D27D4EB4F)
         out[1:] = ((mixed ^ (mixed >> np.uint64(29))) * np.uint64(0x165667B19E3779F9) >> np.uint64(64 - bits)).astype(np.int64) + 1
         return out
 
 
+def _shard(texts: pa.Array, langs: pa.Array) -> Shard:
+    found, langs = words_of(texts, SPACES, BREAKS, lower=True), langs.dictionary_encode()
+    return Shard(np.asarray(langs.indices)[found.row], langs.dictionary, found.word, found.names, found.piece)
+
+
 def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[Shard]:
+    """A shard a block; the generator keeps hold of none."""
     for batch in batches:
         for low, high in blocks(batch.column("text")):
-            found = words_of(batch.column("text").slice(low, high - low), SPACES, BREAKS, lower=True)
-            if len(found.word):
-                langs = batch.column("lang").slice(low, high - low).dictionary_encode()
-                yield Shard(np.asarray(langs.indices, np.int64)[found.row], langs.dictionary, found.word, found.names, found.piece)
+            yield _shard(batch.column("text").slice(low, high - low), batch.column("lang").slice(low, high - low))
 
 
 def frequent_pairs(docs: DataFrame, least: int, bits: int) -> np.ndarray:
@@ -149,6 +152,7 @@ def frequent_pairs(docs: DataFrame, least: int, bits: int) -> np.ndarray:
         for shard in shards(batches):
             inner = np.flatnonzero(shard.piece[1:] == shard.piece[:-1]) + 1
             hashes = np.sort(shard.pair_hashes(bits)[inner])
+            del shard, inner
             edge = np.flatnonzero(np.diff(hashes, prepend=0))  # hashes start at 1
             yield pa.RecordBatch.from_arrays([pa.array(hashes[edge]), pa.array(np.diff(np.append(edge, len(hashes))))], names=["pair", "n"])
 
@@ -179,6 +183,7 @@ def phrase_counts(docs: DataFrame, depth: int, least: int, bits: int) -> DataFra
                     [shard.langs.take(pa.array(shard.lang[end])), phrase.cast(pa.large_string()).cast(pa.string()), pa.array(np.full(len(end), size, np.int32)), pa.array(shortest.astype(np.int32)), pa.array(count)],
                     names=["lang", "phrase", "size", "shortest", "n"],
                 )
+            del shard, levels, pair
 
     found = docs.mapInArrow(spell, "lang string, phrase string, size int, shortest int, n long")
     each = found.select("lang", "phrase", "n", F.explode(F.sequence("shortest", "size")).alias("size"))

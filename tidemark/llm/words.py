@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that one block has at most, unless a single text is longer.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 
 
 @dataclass
@@ -57,14 +57,16 @@ def words_of(texts: pa.Array, spaces: bytes, breaks: bytes = b"", lower: bool =
     start = inside.copy()
     start[1:] &= ~inside[:-1] | edge[1:-1]
     start = np.flatnonzero(start)
-    row = np.searchsorted(offsets, start, "right") - 1
-    upto = np.cumsum(inside, dtype=np.int64)  # bytes of words up to and with a byte
-    bounds = np.append(upto[start] - 1, upto[-1] if size else 0) if len(start) else np.zeros(1, np.int64)
+    kind = np.int32 if size < 2**31 else np.int64
+    row = (np.searchsorted(offsets, start, "right") - 1).astype(np.int32)
+    upto = np.cumsum(inside, dtype=kind)  # bytes of words up to and with a byte
+    bounds = np.append(upto[start].astype(np.int64) - 1, upto[-1] if size else 0) if len(start) else np.zeros(1, np.int64)
     kept = data[inside]
+    del upto, edge
     names = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(np.ascontiguousarray(bounds)), pa.py_buffer(kept)]).dictionary_encode()
-    piece = row.astype(np.int64)
+    piece = row.astype(kind)
     if breaks:
         cuts = np.zeros(256, bool)
         cuts[list(breaks)] = True
-        piece += np.cumsum(cuts[data], dtype=np.int64)[start]
-    return Words(row, piece, np.asarray(names.indices, np.int64), names.dictionary)
+        piece += np.cumsum(cuts[data], dtype=kind)[start]
+    return Words(row, piece, np.asarray(names.indices), names.dictionary)
