@@ -8,8 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import clip
+from ..functions.scalar import bin_of, bounds_of, clip
 from ..schemas import HIGH_KEY, LOW_KEY, NOTE, PEDAL_ON
+from .temporal import asof_join
 
 
 def stretch(events: DataFrame, factor: float) -> DataFrame:
@@ -73,3 +74,23 @@ def change_stats(rows: DataFrame, keys: list[str], order: list[str], columns: li
     return long.groupBy("column").agg(
         F.count_if(on).alias("n_changed"), F.avg(F.when(on, F.col(value))).alias("changed"), F.count_if(~on).alias("n_same"), F.avg(F.when(~on, F.col(value))).alias("same")
     )
+
+
+def pedal_safe_bins(notes: DataFrame, changes: DataFrame, keys: list[str], onset: str, duration: str, at: str, values: list[int]) -> DataFrame:
+    """notes with `bin`, the index of the value nearest in logarithm to the duration, chosen so that the release stays between the same pedal changes.
+
+    `changes` (keys, at) are the times at which the pedal goes down or up. A release at the time of a change counts as
+    before it. Where the nearest value would carry the release past a change, the one among the values that keep it
+    in place whose release is nearest is taken, the smaller in a tie; if none does, the nearest value stays. Only
+    such rows look at all values.
+    """
+    ends = changes.select(*keys, at).distinct().withColumn("__at", F.col(at))
+    r = notes.withColumn("__id", F.monotonically_increasing_id()).withColumn(at, F.col(onset) + F.col(duration))
+    low = asof_join(r, ends, keys, at, ["__at"], strict=True).withColumnRenamed("__at_asof", "__low").drop("t_asof")
+    both = asof_join(low, ends, keys, at, ["__at"], strict=False, forward=True).withColumnRenamed("__at_asof", "__high")
+    all_ = F.array(*[F.lit(int(v)) for v in values])
+    near = bin_of(F.col(duration), bounds_of(values))
+    held = lambda x: (F.col("__low").isNull() | (x > F.col("__low"))) & (F.col("__high").isNull() | (x <= F.col("__high")))
+    ways = F.filter(F.transform(all_, lambda v, i: F.struct(F.abs(v - F.col(duration)).alias("far"), i.alias("bin"), (F.col(onset) + v).alias("to"))), lambda w: held(w["to"]))
+    moved = F.when(held(F.col(onset) + F.get(all_, near)), near).otherwise(F.coalesce(F.array_min(ways)["bin"], near))
+    return both.select(*notes.columns, moved.cast("int").alias("bin"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import running_in
+
 
 def smooth(rows: DataFrame, keys: list[str], order: list[str], x: str, half: int, out: str) -> DataFrame:
     """Centred mean of the values there are; null stays null."""
@@ -126,9 +128,9 @@ def running_max(rows: DataFrame, keys: list[str], order: list[str], x: str, out:
 
 
 def offsets(rows: DataFrame, keys: list[str], order: list[str], length: str, out: str) -> DataFrame:
-    """Where each row's items begin when a key's rows are laid end to end."""
-    before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn(out, F.coalesce(F.sum(length).over(before), F.lit(0)))
+    """Where each row's items begin when a key's rows are laid end to end; a key may hold any share of all rows."""
+    upto = running_in(rows, keys, order, F.coalesce(F.col(length), F.lit(0)), "__upto")
+    return upto.withColumn(out, F.col("__upto") - F.coalesce(F.col(length), F.lit(0))).drop("__upto")
 
 
 def sliding_count(rows: DataFrame, keys: list[str], t: str, reach: int, out: str) -> DataFrame:

@@ -22,11 +22,9 @@ def asof_join(probe: DataFrame, state: DataFrame, keys: list[str], t: str, value
     rows = probe.select(*keys, F.col(t).alias("__at"), F.lit(None).cast(state.schema["__held"].dataType).alias("__held"), F.lit(first).alias("__side"), F.struct("*").alias("__row"))
     state = state.withColumn("__row", F.lit(None).cast(rows.schema["__row"].dataType))
     both = rows.unionByName(state)
-    w = Window.partitionBy(*keys).orderBy("__at", "__side")
-    found = (
-        F.first("__held", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)) if forward
-        else F.last("__held", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    )
+    # both ways the frame begins at the partition's edge, so that a row costs the same however many there are
+    w = Window.partitionBy(*keys).orderBy(*([F.desc("__at"), F.desc("__side")] if forward else ["__at", "__side"]))
+    found = F.last("__held", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1 if forward else 0))
     out = both.withColumn("__found", found).where("__row is not null")
     return out.select("__row.*", *[F.col(f"__found.{v}").alias(f"{v}_asof") for v in values], F.col("__found.__t").alias("t_asof"))
 

@@ -936,3 +936,6 @@ def score_scalars(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", scalar.velocity_bin(q * 3).alias("velocity"), scalar.clock(q).alias("clock"), F.bround(scalar.time_bias(F.col("l_discount"), 0.1), 9).alias("bias"),
         F.bround(scalar.meter_length(F.col("l_linenumber"), F.lit(8)), 9).alias("measure"), scalar.ledger_lines(q, 10, 40).alias("ledger"))
+
+
+from . import choices  # noqa: E402, F401  registers its queries
