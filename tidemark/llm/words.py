@@ -38,8 +38,11 @@ def blocks(texts: pa.Array) -> Iterator[tuple[int, int]]:
         at = end
 
 
-def words_of(texts: pa.Array, spaces: bytes, breaks: bytes = b"", lower: bool = False) -> Words:
-    """Runs of anything but spaces and breaks; A-Z in lower case where asked. Spaces and breaks are single ASCII bytes; null counts as empty."""
+def words_of(texts: pa.Array, spaces: bytes, breaks: bytes = b"", lower: bool = False, apart: bytes = b"") -> Words:
+    """Runs of anything but spaces and breaks; A-Z in lower case where asked. Spaces and breaks are single ASCII bytes; null counts as empty.
+
+    A run also ends between an ASCII letter and a byte of `apart`, in either order.
+    """
     texts = pc.fill_null(texts, "").cast(pa.large_string())
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     size = int(offsets[-1] - offsets[0])
@@ -56,6 +59,12 @@ def words_of(texts: pa.Array, spaces: bytes, breaks: bytes = b"", lower: bool =
     edge[offsets] = True
     start = inside.copy()
     start[1:] &= ~inside[:-1] | edge[1:-1]
+    if apart:
+        side = np.zeros(256, np.uint8)
+        side[[*range(65, 91), *range(97, 123)]] = 1
+        side[list(apart)] = 2
+        side = side[data]
+        start[1:] |= (side[1:] ^ side[:-1]) == 3
     start = np.flatnonzero(start)
     kind = np.int32 if size < 2**31 else np.int64
     row = (np.searchsorted(offsets, start, "right") - 1).astype(np.int32)
