@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ranks import delete, rank_in, shared_dir
+from .ranks import delete, rank_in, running_in, shared_dir
 from .temporal import asof_join
 
 #: Notes that vote on a shift together; what counts as the same time; cells of the vote; the reach of the first search and of later ones.
@@ -47,7 +47,7 @@ def raw_times(
     whole = notes.where(F.col(t).isNotNull() & F.col(pitch).isNotNull())
     ranked = rank_in(whole, keys, order, "__n").withColumn("__round", F.floor((F.col("__n") - 1) / size).cast("int"))
     ranked.write.partitionBy("__round").parquet(f"{root}/in")
-    last = spark.read.parquet(f"{root}/in").agg(F.max("__round")).first()[0]
+    last = spark.read.schema(ranked.schema).parquet(f"{root}/in").agg(F.max("__round")).first()[0]
     tid = [f.name for f in notes.schema]
     shape = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in notes.schema), "`__n` bigint, raw_t double, shift double, `__held` double"])
 
@@ -85,7 +85,7 @@ def raw_times(
     other = raw.where(F.col(t).isNotNull()).select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col(t).cast("double").alias("__t"), F.col(pitch).alias("__p"))
     out = None
     for r in range((last if last is not None else -1) + 1):
-        part = spark.read.parquet(f"{root}/in").where(F.col("__round") == r).drop("__round")
+        part = spark.read.schema(ranked.schema).parquet(f"{root}/in").where(F.col("__round") == r).drop("__round")
         if r:
             before = spark.read.parquet(f"{root}/out/{r - 1}").where(F.col("__n") == r * size).select(*keys, F.col("__held").alias("__shift"))
             part = part.join(before, keys)
@@ -96,8 +96,9 @@ def raw_times(
         hit = F.col("__t").between(F.col("__low"), F.col("__high"))
         for i, k in enumerate(keys):
             hit = hit & (F.col(k) == F.col(f"__k{i}"))
-        near = spans.join(other, hit).select(*keys, "__t", "__p")
-        part.groupBy(*keys).cogroup(near.groupBy(*keys)).applyInPandas(recover, shape).write.parquet(f"{root}/out/{r}")
+        theirs = [f"__k{i}" for i in range(len(keys))]
+        near = spans.join(other, hit).select(*theirs, "__t", "__p")
+        part.groupBy(*keys).cogroup(near.groupBy(*theirs)).applyInPandas(recover, shape).write.parquet(f"{root}/out/{r}")
         done = spark.read.parquet(f"{root}/out/{r}").select(*tid, F.nanvl("raw_t", F.lit(None)).alias("raw_t"), F.nanvl("shift", F.lit(None)).alias("shift"))
         out = done if out is None else out.unionByName(done)
     delete(spark, f"{root}/in")
@@ -150,8 +151,6 @@ def uncovered(bounds: DataFrame, covered: DataFrame, keys: list[str], at: str, s
     `covered` are intervals without overlap. Their lengths are summed up once, and read at every bound by an as-of
     join; the time between two bounds is the difference of two readings.
     """
-    from .ranks import running_in
-
     lengths = covered.where(F.col(stop) > F.col(start)).select(*keys, start, stop)
     upto = running_in(lengths, keys, [start, stop], F.col(stop) - F.col(start), "__upto")
     state = upto.select(*keys, F.col(start).alias("__at"), F.col(start).alias("__start"), F.col(stop).alias("__stop"), "__upto")

@@ -115,7 +115,7 @@ def handed_on(
     root = f"{shared_dir(spark)}/scan-{uuid.uuid4().hex}"
     ranked = rank_in(rows, keys, order, "__n").withColumn("__round", F.floor((F.col("__n") - 1) / size).cast("int"))
     ranked.write.partitionBy("__round").parquet(f"{root}/in")
-    last = spark.read.parquet(f"{root}/in").agg(F.max("__round")).first()[0]
+    last = spark.read.schema(ranked.schema).parquet(f"{root}/in").agg(F.max("__round")).first()[0]
     names = [*rows.columns, "__n"]
     shape = spark.createDataFrame([], added).schema
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), "`__n` bigint", *(f"`{f.name}` {f.dataType.simpleString()}" for f in shape)])
@@ -137,7 +137,7 @@ def handed_on(
 
     out = None
     for r in range((last if last is not None else -1) + 1):
-        part = spark.read.parquet(f"{root}/in").where(F.col("__round") == r).drop("__round").select(*names, F.to_json(F.struct(F.lit(1).alias("one"), *keys)).alias("__key"))
+        part = spark.read.schema(ranked.schema).parquet(f"{root}/in").where(F.col("__round") == r).drop("__round").select(*names, F.to_json(F.struct(F.lit(1).alias("one"), *keys)).alias("__key"))
         before = spark.read.parquet(f"{root}/out/{r - 1}").where(F.col("__n") == r * size) if r else None
         if before is not None:
             carried = before.select(F.to_json(F.struct(F.lit(1).alias("one"), *keys)).alias("__key"), *[F.col(s).alias(f"__{s}") for s in state])

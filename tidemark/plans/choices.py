@@ -70,6 +70,30 @@ def decoded_starts(spark, sf_dir):
     return scans.decode_steps(e, ["user_id"], ["t", "event_id"], F.col("bin"), STEPS, "start").select("event_id", F.bround("start", 6).alias("start"))
 
 
+@query("raw_times", _sql("""WITH RECURSIVE """ + """{EV}""" + """,
+n AS (SELECT user_id, event_id, t / 3600.0::DOUBLE AS t, event_id % 5 AS p, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) - 1 AS n FROM ev),
+raw AS (SELECT user_id, p, t + (user_id % 9 - 4) + 0.5::DOUBLE * (n // 40) + (event_id % 5 - 2) / 1000.0::DOUBLE AS x FROM n WHERE event_id % 11 <> 0),
+r AS (SELECT user_id, -1::BIGINT AS w, NULL::DOUBLE AS held, false AS voted FROM n GROUP BY user_id
+  UNION ALL SELECT user_id, w, CASE WHEN n_close >= greatest(3, 0.3::DOUBLE * size) THEN mid ELSE held END, n_close >= greatest(3, 0.3::DOUBLE * size) FROM (
+    SELECT user_id, w, held, size, count(*) FILTER (abs(d - mode * 0.01::DOUBLE) < 0.03::DOUBLE) AS n_close, median(d) FILTER (abs(d - mode * 0.01::DOUBLE) < 0.03::DOUBLE) AS mid FROM (
+      SELECT *, first_value(cell) OVER (PARTITION BY user_id ORDER BY votes DESC, cell) AS mode FROM (
+        SELECT *, count(d) OVER (PARTITION BY user_id ORDER BY cell RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS votes FROM (
+          SELECT r.user_id, r.w + 1 AS w, r.held, z.size, raw.x - n.t AS d, round_even((raw.x - n.t) / 0.01::DOUBLE, 0) AS cell
+          FROM r JOIN n ON n.user_id = r.user_id AND n.n // 48 = r.w + 1 JOIN (SELECT user_id, n // 48 AS w, count(*) AS size FROM n GROUP BY ALL) z ON z.user_id = r.user_id AND z.w = r.w + 1
+          LEFT JOIN raw ON raw.user_id = n.user_id AND raw.p = n.p AND raw.x > n.t + coalesce(r.held, 0) - CASE WHEN r.held IS NULL THEN 30 ELSE 4 END AND raw.x < n.t + coalesce(r.held, 0) + CASE WHEN r.held IS NULL THEN 30 ELSE 4 END)))
+    GROUP BY user_id, w, held, size)),
+f AS (SELECT n.event_id, arg_min(raw.x, abs(raw.x - n.t - r.held)) AS x, min(abs(raw.x - n.t - r.held)) AS off FROM n JOIN r ON r.user_id = n.user_id AND r.w = n.n // 48 AND r.voted JOIN raw ON raw.user_id = n.user_id AND raw.p = n.p GROUP BY n.event_id)
+SELECT n.event_id, round_even(CASE WHEN f.off < 0.03::DOUBLE THEN f.x END, 6) AS raw_t, round_even(CASE WHEN r.voted THEN r.held END, 6) AS shift
+FROM n JOIN r ON r.user_id = n.user_id AND r.w = n.n // 48 LEFT JOIN f ON f.event_id = n.event_id""").replace("RECURSIVE WITH ", "RECURSIVE "))
+def raw_times(spark, sf_dir):
+    """A user's events, an hour as a second, found again among themselves: most of them, moved by a shift that grows, and a little off."""
+    e = events(spark, sf_dir).select("user_id", "event_id", (F.col("t") / 3600.0).alias("t"), (F.col("event_id") % 5).alias("p"))
+    e = e.withColumn("n", F.row_number().over(Window.partitionBy("user_id").orderBy("t", "event_id")) - 1)
+    moved = F.col("t") + (F.col("user_id") % 9 - 4) + 0.5 * F.floor(F.col("n") / 40) + (F.col("event_id") % 5 - 2) / 1000.0
+    found = align.raw_times(e, e.where("event_id % 11 <> 0").select("user_id", moved.alias("t"), "p"), ["user_id"], ["t", "event_id"], "t", "p")
+    return found.select("event_id", F.bround("raw_t", 6).alias("raw_t"), F.bround("shift", 6).alias("shift"))
+
+
 # ---- levels of beats, pedal-safe lengths ---------------------------------------------------------------------
 
 #: A user's events as beats; seven at a time they are 1/2, 1, 2 or 1.5 source beats, each a few 64ths off, and views of a high value are unusable.
