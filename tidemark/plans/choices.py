@@ -7,9 +7,10 @@ import math
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import scalar
-from ..operators import align, grids, notes, scans
-from .catalogue import _kind, _sql, events, query, table
+from ..functions import names, scalar
+from ..operators import align, arrangement, bars, grids, notes, scans, sequences
+from ..streaming import feeds, timers
+from .catalogue import SQL, _kind, _notes, _sql, events, query, table
 
 
 # ---- anchors, ramps, feedback --------------------------------------------------------------------------------
@@ -209,3 +210,116 @@ def uncovered_time(spark, sf_dir):
     whole = e.groupBy("user_id").agg(F.min("h").alias("low"), (F.max("h") + 1).alias("high"))
     bounds = e.where("event_type = 'view'").select("user_id", F.col("h").alias("at")).distinct().join(whole, "user_id")
     return align.uncovered(bounds, merge_intervals(spans, ["user_id"], "a", "b"), ["user_id"], "at", "a", "b", "low", "high").select("user_id", "at", "gap")
+
+
+@query("arrangement_features", _sql("""{EV}, c AS (SELECT user_id, t // 7200 AS onset, 48 + event_id % 36 AS pitch, t // 3600 AS m FROM ev WHERE event_type IN ('view', 'click', 'purchase')),
+w AS (SELECT user_id, min(m) AS f, max(m) AS l FROM c GROUP BY user_id HAVING count(*) >= 10),
+mel AS (SELECT event_id, user_id, t // 3600 AS start, event_id % 40 AS dur, 40 + event_id % 40 AS pitch FROM ev WHERE event_type = 'error'),
+s AS (SELECT DISTINCT user_id, unnest(range(start, start + greatest(dur, 2))) AS h FROM mel),
+g0 AS (SELECT user_id, unnest(range(f, l + 1)) AS h FROM w), g AS (SELECT g0.* FROM g0 LEFT JOIN s ON s.user_id = g0.user_id AND s.h = g0.h WHERE s.h IS NULL),
+b0 AS (SELECT DISTINCT user_id, t // 3600 AS low FROM ev WHERE event_type = 'signup'), b AS (SELECT * FROM (SELECT user_id, low, lead(low) OVER (PARTITION BY user_id ORDER BY low) AS high FROM b0) WHERE high IS NOT NULL),
+p AS (SELECT b.user_id, b.low, count(*) AS pause FROM b JOIN g ON g.user_id = b.user_id AND g.h >= b.low AND g.h < b.high GROUP BY ALL),
+ch AS (SELECT c.user_id, c.onset, min(c.m) AS m FROM c JOIN g ON g.user_id = c.user_id AND g.h = c.m WHERE c.pitch >= 60 GROUP BY ALL),
+fi AS (SELECT b.user_id, b.low, count(*) AS n FROM b JOIN ch ON ch.user_id = b.user_id AND ch.m >= b.low AND ch.m < b.high GROUP BY ALL),
+ne AS (SELECT mel.event_id, mel.user_id, mel.start, max(c.pitch) AS top, max(c.pitch) FILTER (c.pitch % 12 = mel.pitch % 12) AS same FROM mel JOIN w ON w.user_id = mel.user_id AND mel.start BETWEEN f AND l JOIN c ON c.user_id = mel.user_id AND abs(c.m - mel.start) <= 24 GROUP BY ALL),
+ab AS (SELECT b.user_id, b.low, count(*) AS n, count(*) FILTER (top > same) AS above FROM b JOIN ne ON ne.user_id = b.user_id AND ne.start >= b.low AND ne.start < b.high WHERE same IS NOT NULL GROUP BY ALL),
+re AS (SELECT b.user_id, b.low, count(*) AS n, max(pitch) - min(pitch) AS span FROM b JOIN c ON c.user_id = b.user_id AND c.m >= b.low AND c.m < b.high GROUP BY ALL)
+SELECT b.user_id, b.low, b.high, round_even(CASE WHEN w.f IS NOT NULL AND p.pause >= 6 THEN ln(1 + coalesce(fi.n, 0) / (p.pause / 2.0::DOUBLE)) END, 9) AS fill,
+  round_even(CASE WHEN w.f IS NOT NULL AND ab.n >= 2 THEN sqrt(ab.above / ab.n::DOUBLE) END, 9) AS above, CASE WHEN w.f IS NOT NULL AND re.n >= 2 THEN (re.span - 38.0::DOUBLE) / 4.0::DOUBLE END AS span
+FROM b LEFT JOIN w ON w.user_id = b.user_id LEFT JOIN p ON p.user_id = b.user_id AND p.low = b.low LEFT JOIN fi ON fi.user_id = b.user_id AND fi.low = b.low
+LEFT JOIN ab ON ab.user_id = b.user_id AND ab.low = b.low LEFT JOIN re ON re.user_id = b.user_id AND re.low = b.low"""))
+def arrangement_features(spark, sf_dir):
+    e = events(spark, sf_dir).withColumn("h", F.floor(F.col("t") / 3600))
+    cover = e.where("event_type in ('view', 'click', 'purchase')").select("user_id", F.floor(F.col("t") / 7200).alias("onset"), (48 + F.col("event_id") % 36).alias("pitch"), F.col("h").alias("mapped"))
+    melody = e.where("event_type = 'error'").select("user_id", F.col("h").alias("start"), (F.col("event_id") % 40).alias("duration"), (40 + F.col("event_id") % 40).alias("pitch"))
+    ends = e.where("event_type = 'signup'").select("user_id", F.col("h").alias("low")).distinct()
+    spans = ends.withColumn("high", F.lead("low").over(Window.partitionBy("user_id").orderBy("low"))).where("high is not null")
+    r = arrangement.arrangement(cover, melody, spans, ["user_id"], 24, shortest=2, least_gap=3.0, least_melody=2, least_notes=2, unit=2.0, scores={"span": (38.0, 4.0)})
+    return r.select("user_id", "low", "high", F.bround("fill", 9).alias("fill"), F.bround("above", 9).alias("above"), "span")
+
+
+# ---- the grid of bars ----------------------------------------------------------------------------------------
+
+def _bars(spark, sf_dir):
+    """Bars of 154, 154 and 124 ticks in turn, for each user."""
+    users = events(spark, sf_dir).select("user_id").distinct()
+    return users.withColumn("bar", F.explode(F.sequence(F.lit(0), F.lit(40)))).withColumn("start", 144 * F.col("bar") + 10 * (F.col("bar") % 3))
+
+
+def _ticks(spark, sf_dir):
+    """Events as rows on ticks: signups and errors press and release a pedal, the others are notes, one at a tick and pitch."""
+    kind = F.when(F.col("event_type") == "signup", 0).when(F.col("event_type") == "error", 1).otherwise(2)
+    rows = events(spark, sf_dir).select("user_id", F.floor(F.col("t") / 600).alias("onset"), kind.alias("kind"), "event_id")
+    note = F.col("kind") == 2
+    return rows.select("user_id", "onset", "kind", *[F.when(note, c).otherwise(0).alias(n) for n, c in (("pitch", 21 + F.col("event_id") % 88), ("duration", 1 + F.col("event_id") % 300), ("velocity", 1 + F.col("event_id") % 127))]).distinct()
+
+
+@query("bar_round_trip", _sql("""{EV} SELECT DISTINCT user_id, t // 600 AS onset, CASE event_type WHEN 'signup' THEN 0 WHEN 'error' THEN 1 ELSE 2 END AS kind,
+  CASE WHEN event_type IN ('signup', 'error') THEN 0 ELSE 21 + event_id % 88 END AS pitch, CASE WHEN event_type IN ('signup', 'error') THEN 0 ELSE 1 + event_id % 300 END AS duration, CASE WHEN event_type IN ('signup', 'error') THEN 0 ELSE 1 + event_id % 127 END AS velocity FROM ev"""))
+def bar_round_trip(spark, sf_dir):
+    b = _bars(spark, sf_dir)
+    return bars.bar_detokenise(bars.bar_tokenise(_ticks(spark, sf_dir), b, ["user_id"], 160), b, ["user_id"], 160)
+
+
+@query("bar_tokens", _sql("""{EV}, b AS (SELECT user_id, bar, 144 * bar + 10 * (bar % 3) AS start FROM (SELECT DISTINCT user_id FROM ev), (SELECT unnest(range(0, 41)) AS bar)),
+r AS (SELECT DISTINCT user_id, t // 600 AS onset, CASE event_type WHEN 'signup' THEN 0 WHEN 'error' THEN 1 ELSE 2 END AS kind, CASE WHEN event_type IN ('signup', 'error') THEN NULL ELSE event_id END AS e FROM ev),
+p AS (SELECT r.*, max(b.bar) AS bar, max(b.start) AS start FROM r JOIN b ON b.user_id = r.user_id AND b.start <= r.onset GROUP BY ALL),
+k AS (SELECT user_id, bar, count(*) AS n, count(DISTINCT onset) AS times, count(*) FILTER (kind = 2) AS notes FROM p GROUP BY ALL)
+SELECT k.user_id, k.bar, (times + notes * 3 + n + 1)::BIGINT AS size, coalesce((SELECT arg_max(kind = 0, onset * 2 + kind) FROM r WHERE r.user_id = k.user_id AND kind < 2 AND onset < b.start), false) AS pedal FROM k JOIN b ON b.user_id = k.user_id AND b.bar = k.bar"""))
+def bar_tokens(spark, sf_dir):
+    found = bars.bar_tokenise(_ticks(spark, sf_dir), _bars(spark, sf_dir), ["user_id"], 160)
+    return found.select("user_id", "bar", F.size("tokens").cast("long").alias("size"), "pedal")
+
+
+@query("ticks_of_beats", _sql("""{EV}, b0 AS (SELECT DISTINCT user_id, t FROM ev WHERE event_type IN ('click', 'view')), b AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t) - 1 AS n, lead(t) OVER (PARTITION BY user_id ORDER BY t) AS nt, lag(t) OVER (PARTITION BY user_id ORDER BY t) AS pt FROM b0),
+x AS (SELECT e.event_id, e.user_id, e.t, (SELECT max(n) FROM b WHERE b.user_id = e.user_id AND b.t <= e.t) AS n FROM ev e WHERE event_type = 'purchase'),
+y AS (SELECT x.*, coalesce(x.n, 0) AS k FROM x)
+SELECT event_id, CASE WHEN c.user_id IS NULL THEN NULL ELSE round_even((b.n + (y.t - b.t) * coalesce(1.0::DOUBLE / (b.nt - b.t), 1.0::DOUBLE / (b.t - b.pt), 0)) * 12, 0)::BIGINT END AS tick FROM y LEFT JOIN b ON b.user_id = y.user_id AND b.n = y.k LEFT JOIN (SELECT DISTINCT user_id FROM b) c ON c.user_id = y.user_id"""))
+def ticks_of_beats(spark, sf_dir):
+    beats = _kind(spark, sf_dir, "click", "view").withColumn("beat", F.row_number().over(Window.partitionBy("user_id").orderBy("t")) - 1)
+    rows = events(spark, sf_dir, "purchase").withColumn("t", F.col("t").cast("double"))
+    return bars.to_ticks(rows, beats, ["user_id"], "t", 12, "tick").select("event_id", "tick")
+
+
+# ---- names in SQL, timers ------------------------------------------------------------------------------------
+
+@query("sql_scalars", SQL["score_scalars"])
+def sql_scalars(spark, sf_dir):
+    """The query score_scalars as SQL text."""
+    names.register(spark)
+    return spark.sql("""SELECT l_orderkey, l_linenumber, tide_velocity_bin(l_quantity * 3) AS velocity, tide_clock(l_quantity) AS clock, bround(tide_time_bias(l_discount, 0.1D), 9) AS bias,
+      bround(tide_meter_length(l_linenumber, 8), 9) AS measure, tide_ledger_lines(l_quantity, 10, 40) AS ledger FROM {lineitem}""", lineitem=table(spark, sf_dir, "lineitem"))
+
+
+@query("sql_token_events", SQL["token_round_trip"])
+def sql_token_events(spark, sf_dir):
+    """Tokens decoded by a table function."""
+    names.register(spark)
+    patches = sequences.tokenise(_notes(spark, sf_dir), ["user_id"], 1440)
+    return spark.sql("SELECT p.user_id, e.onset, e.kind, e.pitch, e.duration, e.velocity FROM {patches} p, LATERAL tide_token_events(p.tokens, p.patch, 1440) e", patches=patches)
+
+
+@query("sql_lcs", _sql("""WITH RECURSIVE """ + """{EV}""" + """,
+s AS (SELECT user_id, CASE WHEN event_type = 'click' THEN 0 ELSE 1 END AS side, event_id % 5 AS x, row_number() OVER (PARTITION BY user_id, event_type ORDER BY t, event_id) AS n FROM ev WHERE event_type IN ('click', 'view')),
+a AS (SELECT user_id, n AS i, x, count(*) OVER (PARTITION BY user_id) AS na FROM s WHERE side = 0), b AS (SELECT user_id, list(x ORDER BY n) AS ys FROM s WHERE side = 1 GROUP BY user_id),
+u AS (SELECT DISTINCT user_id FROM s),
+r AS (SELECT u.user_id, 0::BIGINT AS i, list_transform(range(0, coalesce(len(b.ys), 0) + 1), lambda k: 0) AS line, coalesce(b.ys, []) AS ys FROM u LEFT JOIN b ON b.user_id = u.user_id
+  UNION ALL SELECT r.user_id, a.i, list_reduce(list_transform(range(1, len(r.ys) + 1), lambda j: [CASE WHEN r.ys[j] = a.x THEN r.line[j] + 1 ELSE r.line[j + 1] END]), lambda p, q: list_append(p, greatest(p[len(p)], q[1])), [0::BIGINT]), r.ys
+  FROM r JOIN a ON a.user_id = r.user_id AND a.i = r.i + 1)
+SELECT user_id, round_even(2.0::DOUBLE * arg_max(line[len(line)], i) / (max(i) + len(any_value(ys))), 9) AS f1 FROM r GROUP BY user_id""").replace("RECURSIVE WITH ", "RECURSIVE "))
+def sql_lcs(spark, sf_dir):
+    """A user's clicks against their views, as sequences of one of five values."""
+    names.register(spark)
+    e = events(spark, sf_dir, "click", "view")
+    return spark.sql("SELECT user_id, bround(tide_lcs_f1(IF(event_type = 'click', 0, 1), t * 1000000 + event_id, event_id % 5), 9) AS f1 FROM {e} GROUP BY user_id", e=e)
+
+
+@query("stream_timed", """WITH n AS (SELECT event_id % 197 AS id, event_id AS seq, event_type AS payload, coalesce(value > 90, false) AS final, ts, max(ts) OVER () - INTERVAL 1 HOUR AS e FROM events),
+g AS (SELECT id, min(seq) FILTER (final) AS f, max(seq) AS l, max(ts) AS newest, any_value(e) AS e FROM n GROUP BY id)
+SELECT g.id, n.seq, n.payload, CASE WHEN f IS NOT NULL THEN 'final' ELSE 'stalled' END AS status FROM g JOIN n ON n.seq = coalesce(f, l) WHERE f IS NOT NULL OR newest + INTERVAL 5 DAY < g.e""")
+def stream_timed(spark, sf_dir):
+    """Events as revisions of 197 notes, some of which are final; the others have stalled after five days."""
+    timers.prepare(spark)
+    source = feeds.read_events(spark, f"{sf_dir}/events*.parquet")
+    notes_ = source.select((F.col("event_id") % 197).alias("id"), F.col("event_id").alias("seq"), F.col("event_type").alias("payload"), F.coalesce(F.col("value") > 90, F.lit(False)).alias("final"), F.col("ts").cast("timestamp").alias("at"))
+    return feeds.table_of(timers.timed_revisions(notes_, 5 * 86_400_000, 30 * 86_400_000), "append")
