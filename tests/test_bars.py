@@ -26,7 +26,7 @@ def test_ticks_there_and_back(spark):
 
 def test_bar_tokens_and_pedal(spark):
     grid = spark.createDataFrame([("s", 0, 0), ("s", 1, 48), ("s", 2, 84), ("s", 3, 132)], "k string, bar int, start long")
-    rows = [("s", 0, 2, 60, 12, 80), ("s", 0, 2, 64, 12, 80), ("s", 40, 0, 0, 0, 0), ("s", 48, 2, 62, 300, 1), ("s", 84, 1, 0, 0, 0), ("s", 90, 2, 65, 1, 127), ("s", 132, 0, 0, 0, 0), ("s", 140, 1, 0, 0, 0)]
+    rows = [("s", 0, 2, 60, 12, 80), ("s", 0, 2, 64, 12, 80), ("s", 40, 1, 0, 0, 0), ("s", 48, 2, 62, 300, 1), ("s", 84, 0, 0, 0, 0), ("s", 90, 2, 65, 1, 127), ("s", 132, 1, 0, 0, 0), ("s", 140, 0, 0, 0, 0)]
     frame = spark.createDataFrame(rows, "k string, onset long, kind int, pitch long, duration long, velocity long")
     coded = bars.bar_tokenise(frame, grid, ["k"], 48)
     got = {r.bar: (len(r.tokens), r.pedal) for r in coded.collect()}

@@ -183,6 +183,53 @@ def log_bin(x: Column, low: float, high: float, bins: int) -> Column:
     return F.when(x > 0, clip(F.rint((F.ln(x) - F.ln(F.lit(low))) / (F.ln(F.lit(high)) - F.ln(F.lit(low))) * (bins - 1)).cast("int"), 0, bins - 1))
 
 
+def log_step_bin(x: Column, values: list[float]) -> Column:
+    """Index of the value nearest in logarithm, the smaller in a tie; 0, whose value is 0, where x is below half the least value above it; null stays null."""
+    import math
+
+    ways = F.array(*[F.struct(F.abs(math.log(v) - F.ln(x)).alias("far"), F.lit(i).alias("bin")) for i, v in enumerate(values) if i])
+    return F.when(x < values[1] / 2, 0).when(x.isNotNull(), F.array_min(ways)["bin"])
+
+
+#: Denominators of places within a beat that can be written.
+WRITTEN = (1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 12, 14, 16, 20, 24, 32)
+
+
+def written_fraction(place: Column, divisions: Column, denominators: tuple[int, ...] = WRITTEN) -> Column:
+    """struct<num, den>: place / divisions in lowest terms, or the fraction that rounding to divisions has blurred.
+
+    A place whose denominator can be written stays. Others go to the first denominator that doesn't divide the
+    divisions and has a multiple within 3 divisions or a 32nd, whichever is less; without one they stay. Whole
+    numbers throughout; halves round to even.
+    """
+    p, d = place.cast("long"), divisions.cast("long")
+    pair = F.struct(F.abs(p).alias("a"), d.alias("b"))
+    g = F.aggregate(F.sequence(F.lit(1), F.lit(91)), pair, lambda s, _: F.when(s["b"] == 0, s).otherwise(F.struct(s["b"].alias("a"), F.pmod(s["a"], F.when(s["b"] == 0, 1).otherwise(s["b"])).alias("b"))))["a"]
+
+    def lowest(num: Column, den: int) -> Column:
+        """num / den with den fixed: the largest common divisor among den's divisors."""
+        best = F.array_max(F.array(*[F.when(F.pmod(num, F.lit(k)) == 0, k).otherwise(1) for k in range(1, den + 1) if den % k == 0]))
+        return F.struct((num / best).cast("long").alias("num"), (F.lit(den) / best).cast("long").alias("den"))
+
+    kept = F.struct((p / g).cast("long").alias("num"), (d / g).cast("long").alias("den"))
+    ways = []
+    for q in denominators:
+        r = F.rint(p * q / d).cast("long")
+        near = 32 * F.abs(r * d - p * q) <= F.least(F.lit(96 * q), q * d)
+        ways.append(F.when((F.pmod(d, F.lit(q)) != 0) & near, lowest(r, q)))
+    return F.when((d / g).cast("long").isin(*denominators), kept).otherwise(F.coalesce(*ways, kept))
+
+
+def error_key(message: Column, prefix: str, longer: list[str] = ()) -> Column:
+    """The prefix and a message's first word; its first two where it begins as one of `longer` does."""
+    words = F.split(message, " ")
+    two = F.concat_ws(" ", F.slice(words, 1, 2))
+    begins = F.lit(False)
+    for text in longer:
+        begins = begins | F.startswith(message, F.lit(text))
+    return F.concat(F.lit(prefix), F.when(begins, two).otherwise(F.get(words, F.lit(0))))
+
+
 def error_reason(message: Column) -> Column:
     """A message without what is particular to one case: quoted parts, paths and numbers."""
     text = F.regexp_replace(message, r"'[^']*'|\"[^\"]*\"", "''")

@@ -11,9 +11,9 @@ from .temporal import asof_join, nearest_join
 def beats_of_segments(segments: DataFrame, keys: list[str], start: str, stop: str, period: str, meter: str) -> DataFrame:
     """(keys, start, beat, t, position, bar): the beats of each segment of steady meter; a bar begins where position is 0.
 
-    A last bar that is not filled counts as a bar.
+    A last bar that is not filled counts as a bar; a beat that only rounding would bring to the end isn't one.
     """
-    n = F.ceil((F.col(stop) - F.col(start)) / F.col(period)).cast("int")
+    n = F.ceil((F.col(stop) - F.col(start)) / F.col(period) - 1e-6).cast("int")
     rows = segments.where(F.col(stop) > F.col(start)).select(*keys, start, period, meter, F.explode(F.sequence(F.lit(0), n - 1)).alias("beat"))
     return rows.select(*keys, start, "beat", (F.col(start) + F.col("beat") * F.col(period)).alias("t"), F.pmod("beat", F.col(meter).cast("int")).alias("position"), F.floor(F.col("beat") / F.col(meter)).cast("int").alias("bar"))
 
@@ -25,20 +25,68 @@ def flag_downbeats(beats: DataFrame, downbeats: DataFrame, keys: list[str], t: s
     return beats.join(hit, [*keys, t], "left").withColumn("downbeat", F.coalesce("downbeat", F.lit(False)))
 
 
-def timeline(tempos: DataFrame, keys: list[str], tick: str, per_tick: str) -> DataFrame:
-    """Tempo changes with `at`: the time of each, integrating the time per tick from tick 0 on; the first tempo holds before it too."""
+def beats_of_measures(measures: DataFrame, keys: list[str], measure: str, start: str, length: str, nominal: str, unit: str) -> DataFrame:
+    """(keys, measure, beat, position): the beats of each measure, `unit` apart from its start; those of one shorter than nominal (a pickup) are counted back from its end.
+
+    A 64th is the slack at either end.
+    """
+    short = F.col(length) < F.col(nominal)
+    n = F.when(short, F.floor((F.col(length) + 1 / 64) / F.col(unit))).otherwise(F.ceil((F.col(length) - 1 / 64) / F.col(unit))).cast("int")
+    rows = measures.withColumn("__n", n).where("__n > 0").withColumn("beat", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
+    at = F.when(short, F.col(start) + F.col(length) - (F.col("__n") - F.col("beat")) * F.col(unit)).otherwise(F.col(start) + F.col("beat") * F.col(unit))
+    return rows.select(*keys, measure, "beat", at.alias("position"))
+
+
+def measure_tempo(measures: DataFrame, keys: list[str], measure: str, seconds: str, length: str) -> DataFrame:
+    """measures with `qpm`, quarters to the minute up to the next measure's time, within 20 and 400; 120 where time stands still, the tempo before for the last one."""
+    own = Window.partitionBy(*keys).orderBy(measure)
+    span = F.lead(seconds).over(own) - F.col(seconds)
+    r = measures.withColumn("__s", span).withColumn("__q", F.when(F.col("__s") > 0, F.col(length) * 60.0 / F.greatest("__s", F.lit(1e-6))).when(F.col("__s").isNotNull(), 120.0))
+    qpm = F.coalesce("__q", F.lag("__q").over(own), F.lit(120.0))
+    return r.withColumn("qpm", F.greatest(F.lit(20.0), F.least(F.lit(400.0), qpm))).drop("__s", "__q")
+
+
+def match_by_measure(score: DataFrame, measures: DataFrame, played: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, measure, found, total): how many of a measure's written notes were played near their time.
+
+    score: keys, measure, onset (quarters within it) and pitch; measures: keys, measure, start (seconds) and length
+    (quarters); played: keys, t and pitch. A note's time lies in proportion between its measure's start and the next
+    one's (the last measure is as fast as the one before); it is found if the nearest note of its pitch is within a
+    tenth of a second or 0.12 of the measure's time, whichever is more. Keys with fewer than two measures have no row.
+    """
+    own = Window.partitionBy(*keys).orderBy("measure")
+    m = measures.withColumns({"__d": F.lead("start").over(own) - F.col("start"), "__n": F.count("*").over(Window.partitionBy(*keys))}).where("__n > 1")
+    held = F.lag("__d").over(own) * F.col("length") / F.greatest(F.lag("length").over(own), F.lit(1e-3))
+    m = m.withColumn("__d", F.coalesce("__d", held)).select(*keys, "measure", "start", "length", "__d")
+    at = F.col("start") + F.col("onset") / F.greatest("length", F.lit(1e-3)) * F.col("__d")
+    notes = score.join(m, [*keys, "measure"]).select(*keys, "measure", F.col("pitch").alias("__p"), at.alias("__t"), F.greatest(F.lit(0.1), 0.12 * F.col("__d")).alias("__near"))
+    near = nearest_join(notes, played.select(*keys, F.col("pitch").alias("__p"), F.col("t").cast("double").alias("__t")), [*keys, "__p"], "__t", [])
+    got = near.groupBy(*keys, "measure").agg(F.count(F.when(F.col("distance") <= F.col("__near"), 1)).alias("found"), F.count("*").alias("total"))
+    return m.select(*keys, "measure").join(got, [*keys, "measure"], "left").fillna(0, ["found", "total"])
+
+
+def timeline(tempos: DataFrame, keys: list[str], tick: str, per_tick: str, default: float | None = None) -> DataFrame:
+    """Tempo changes with `at`: the time of each, integrating the time per tick from tick 0 on.
+
+    Before the first change of a key `default` holds, from a row of its own at tick 0; without one the first tempo does.
+    """
+    if default is not None:
+        late = tempos.groupBy(*keys).agg(F.min(tick).alias(tick)).where(F.col(tick) > 0)
+        kinds = dict(tempos.dtypes)
+        tempos = tempos.select(*keys, tick, per_tick).unionByName(late.select(*keys, F.lit(0).cast(kinds[tick]).alias(tick), F.lit(default).cast(kinds[per_tick]).alias(per_tick)))
     own = Window.partitionBy(*keys).orderBy(tick)
     last, was = F.lag(tick).over(own), F.lag(per_tick).over(own)
     step = F.when(last.isNull(), F.col(tick) * F.col(per_tick)).otherwise((F.col(tick) - last) * was)
     return tempos.withColumn("__step", step).withColumn("at", F.sum("__step").over(own.rowsBetween(Window.unboundedPreceding, 0))).drop("__step")
 
 
-def time_of(rows: DataFrame, tempos: DataFrame, keys: list[str], tick: str, per_tick: str, out: str) -> DataFrame:
-    """The time of each row's tick on the timeline of its key; null where the key has no tempo."""
-    line = timeline(tempos, keys, tick, per_tick).withColumn("__tick", F.col(tick))
+def time_of(rows: DataFrame, tempos: DataFrame, keys: list[str], tick: str, per_tick: str, out: str, default: float | None = None) -> DataFrame:
+    """The time of each row's tick on the timeline of its key; where the key has no tempo, at the default one, or null without one."""
+    line = timeline(tempos, keys, tick, per_tick, default).withColumn("__tick", F.col(tick))
     first = line.groupBy(*keys).agg(F.min_by(per_tick, tick).alias("__first"))
     r = asof_join(rows, line, keys, tick, ["at", per_tick, "__tick"], strict=False).join(first, keys, "left")
-    at = F.when(F.col("at_asof").isNull(), F.col(tick) * F.col("__first")).otherwise(F.col("at_asof") + (F.col(tick) - F.col("__tick_asof")) * F.col(f"{per_tick}_asof"))
+    first_tempo = F.col("__first") if default is None else F.coalesce(F.col("__first"), F.lit(default))
+    at = F.when(F.col("at_asof").isNull(), F.col(tick) * first_tempo).otherwise(F.col("at_asof") + (F.col(tick) - F.col("__tick_asof")) * F.col(f"{per_tick}_asof"))
     return r.select(*rows.columns, at.alias(out))
 
 
@@ -61,6 +109,13 @@ def steady_share(beats: DataFrame, keys: list[str], t: str, tolerance: float) ->
     return r.groupBy(*keys).agg(F.count("__step").alias("n"), F.avg(F.col("__ok").cast("double")).alias("steady"))
 
 
+def consecutive(beats: DataFrame, keys: list[str], order: list[str], ok: str) -> DataFrame:
+    """(keys, n, ok, consecutive): beats of a series, the share that are ok, and how many ok ones follow an ok one at once."""
+    own = Window.partitionBy(*keys).orderBy(*order)
+    r = beats.withColumn("__ok", F.coalesce(F.col(ok), F.lit(False))).withColumn("__both", F.col("__ok") & F.coalesce(F.lag("__ok").over(own), F.lit(False)))
+    return r.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(F.col("__ok").cast("double")).alias("ok"), F.count_if("__both").alias("consecutive"))
+
+
 def windows_with_memory(rows: DataFrame, keys: list[str], order: list[str], size: int, memory: int) -> DataFrame:
     """Each row in the window of `size` rows that it belongs to (`loss` true), and in those after it that remember it (the last `memory` rows before a window; `loss` false).
 

@@ -27,15 +27,15 @@ def from_ticks(rows: DataFrame, beats: DataFrame, keys: list[str], tick: str, pe
 def bar_tokenise(rows: DataFrame, bars: DataFrame, keys: list[str], longest: int, limit: int | None = None) -> DataFrame:
     """(keys, bar, tokens, pedal): events by bar, their times counted from the bar's start.
 
-    rows: keys, onset (a tick), kind (0 pedal down, 1 up, 2 note), pitch, duration, velocity; bars: keys, bar and
+    rows: keys, onset (a tick), kind (0 pedal up, 1 down, 2 note), pitch, duration, velocity; bars: keys, bar and
     start, none longer than `longest`. Rows before the first bar are left out. `pedal` says whether the pedal is down
     where the bar begins: pressed before it and not let go before it. Bars without events have no row.
     """
     placed = asof_join(rows, bars.select(*keys, F.col("start").alias("onset"), "bar", F.col("start").alias("__start")), keys, "onset", ["bar", "__start"], strict=False)
     even = placed.where("bar_asof is not null").withColumn("onset", F.col("bar_asof") * longest + F.col("onset") - F.col("__start_asof"))
     tokens = tokenise(even.select(*keys, *[F.col(c).cast("long").alias(c) for c in ("onset", "kind", "pitch", "duration", "velocity")]), keys, longest, limit).withColumnRenamed("patch", "bar")
-    # of several changes at one tick the release counts
-    pedal = rows.where("kind < 2").groupBy(*keys, F.col("onset").alias("start")).agg((F.max("kind") == 0).alias("__down"))
+    # of several changes at one tick the press counts, as it comes after the release
+    pedal = rows.where("kind < 2").groupBy(*keys, F.col("onset").alias("start")).agg((F.max("kind") == 1).alias("__down"))
     # a release where a bar begins comes after the bar's beginning, a press does, too
     down = asof_join(bars.select(*keys, "bar", "start"), pedal, keys, "start", ["__down"], strict=True)
     state = down.select(*keys, "bar", F.coalesce("__down_asof", F.lit(False)).alias("pedal"))

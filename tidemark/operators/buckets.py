@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import quantise_score
-from .temporal import nearest_join
+from .temporal import band_join, nearest_join
 
 
 def spine(counts: DataFrame, keys: list[str], bucket: str) -> DataFrame:
@@ -60,6 +60,28 @@ def sync_metrics(reference: DataFrame, generated: DataFrame, keys: list[str], t:
     return base.join(drift, keys, "left")
 
 
+def pedal_share(pedals: DataFrame, ends: DataFrame, keys: list[str], start: str, stop: str, end: str) -> DataFrame:
+    """(keys, pedal_ratio): the share of a song, up to its end (1 at least), with the pedal down; intervals don't overlap."""
+    held = pedals.groupBy(*keys).agg(F.sum(F.col(stop) - F.col(start)).alias("__held"))
+    return ends.join(held, keys, "left").select(*keys, (F.coalesce("__held", F.lit(0)) / F.greatest(F.col(end), F.lit(1))).alias("pedal_ratio"))
+
+
+def melody_metrics(melody: DataFrame, generated: DataFrame, keys: list[str], t: str, pitch: str, near: int, reach: int) -> DataFrame:
+    """(keys, n, melody_top, melody_late) over melody notes up to the last generated one.
+
+    melody_top: the share with the highest generated pitch within `near` of the same class; melody_late: the share
+    whose class has no generated note within `near`, looked for within `reach`.
+    """
+    last = generated.groupBy(*keys).agg(F.max(t).alias("__last"))
+    mine = melody.join(last, keys).where(F.col(t) <= F.col("__last")).select(*keys, t, F.col(pitch).alias("__p")).withColumn("__id", F.monotonically_increasing_id())
+    both = band_join(mine, generated.select(*keys, t, F.col(pitch).alias("__q")), keys, t, reach, ["__q"])
+    off, same = F.abs(F.col("t_band") - F.col(t)), F.pmod("__p", F.lit(12)) == F.pmod("__q", F.lit(12))
+    each = both.groupBy(*keys, "__id", "__p").agg(F.max(F.when(off <= near, F.col("__q"))).alias("__top"), F.min(F.when(same, off)).alias("__off"))
+    top = F.coalesce(F.pmod("__top", F.lit(12)) == F.pmod("__p", F.lit(12)), F.lit(False))
+    late = F.coalesce(F.col("__off") > near, F.lit(True))
+    return each.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(top.cast("double")).alias("melody_top"), F.avg(late.cast("double")).alias("melody_late"))
+
+
 def set_f1(a: DataFrame, b: DataFrame, keys: list[str], item: list[str]) -> DataFrame:
     """(keys, n_a, n_b, hit, f1) of two sets of items."""
     both = a.select(*keys, *item, F.lit(1).alias("__a")).distinct().join(b.select(*keys, *item, F.lit(1).alias("__b")).distinct(), [*keys, *item], "full")

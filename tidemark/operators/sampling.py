@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranks import running
+from .ranks import running, running_in
 
 
 def unit_hash(seed: int, *cols: Column) -> Column:
@@ -36,10 +36,9 @@ def weighted_sample(rows: DataFrame, weight: str, order: list[str], n: int, seed
 
 def top_p(rows: DataFrame, keys: list[str], weight: str, tie: list[str], p: float) -> DataFrame:
     """Rows kept while the share of those before them is at most p, largest first; the largest always stays."""
-    w = Window.partitionBy(*keys).orderBy(F.col(weight).desc(), *tie)
-    before = F.coalesce(F.sum(weight).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    total = F.sum(weight).over(Window.partitionBy(*keys))
-    return rows.withColumn("__b", before / total).where(F.col("__b") <= p).drop("__b")
+    total = rows.groupBy(*keys).agg(F.sum(weight).alias("__all"))
+    upto = running_in(rows.withColumn("__down", -F.col(weight)), keys, ["__down", *tie], F.col(weight), "__upto").drop("__down")
+    return upto.join(total, keys).where((F.col("__upto") - F.col(weight)) / F.col("__all") <= p).drop("__upto", "__all")
 
 
 def window_starts(rows: DataFrame, id_col: str, length: str, size: int, seed: int) -> DataFrame:

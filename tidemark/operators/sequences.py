@@ -54,10 +54,12 @@ def detokenise(patches: DataFrame, keys: list[str], width: int) -> DataFrame:
     return e.select(*keys, "onset", "kind", *[F.when(note, F.col(c)).otherwise(0).cast("long").alias(c) for c in ("pitch", "duration", "velocity")])
 
 
-def first_violation(patches: DataFrame, keys: list[str], width: int) -> DataFrame:
+def first_violation(patches: DataFrame, keys: list[str], width: int, room: int | None = None) -> DataFrame:
     """(keys, patch, violation): the first rule of the token grammar that a patch breaks, or null.
 
-    Times rise within a patch, and a note has its three values.
+    Times rise within a patch, and a note has its three values. At one time kinds don't go down (a pedal up is 0, down
+    1, a note 2), each pedal kind comes once, and pitches of notes rise. The first token is a time or the end. An
+    event begins where five tokens fit into `room`. The last token is an end mark, and nothing follows one.
     """
     o = offsets(width)
     t = patches.select(*keys, "patch", F.posexplode("tokens").alias("i", "token"))
@@ -67,7 +69,17 @@ def first_violation(patches: DataFrame, keys: list[str], width: int) -> DataFram
     note = F.col("token") == o["kind"] + 2
     family = lambda c, a, b: c.between(o[a], o[b] - 1) if b else c >= o[a]
     whole = family(F.lead("token", 1).over(w), "pitch", "duration") & family(F.lead("token", 2).over(w), "duration", "velocity") & family(F.lead("token", 3).over(w), "velocity", None)
-    wrong = F.when(time.isNotNull() & (time <= earlier), "time does not rise").when(note & ~F.coalesce(whole, F.lit(False)), "note without its values").when((F.lead("token").over(w).isNull()) & ~F.col("token").isin(END_OF_PATCH, END_OF_SONG), "no end")
+    kind = F.when(F.col("token").between(o["kind"], o["pitch"] - 1), F.col("token") - o["kind"])
+    now = F.last(time, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    t = t.withColumns({"__kind": kind, "__now": now, "__pitch": F.when(note, F.lead("token", 1).over(w))})
+    same = Window.partitionBy(*keys, "patch", "__now").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    t = t.withColumns({"__was": F.max("__kind").over(same), "__below": F.max("__pitch").over(same)})
+    ended = F.max(F.when(F.col("token").isin(END_OF_PATCH, END_OF_SONG), 1)).over(w.rowsBetween(Window.unboundedPreceding, -1)).isNotNull()
+    begins = (F.col("__kind").isNotNull() & (F.coalesce(F.lag(time).over(w).isNull(), F.lit(True)))) | time.isNotNull()
+    full = F.lit(False) if room is None else begins & (F.col("i") + 5 > room)
+    wrong = F.when(ended, "tokens after the end").when(F.col("__kind").isNotNull() & F.col("__now").isNull(), "no time").when(full, "no room")
+    wrong = wrong.when((F.col("__kind") < F.col("__was")) | ((F.col("__kind") < 2) & (F.col("__kind") == F.col("__was"))), "kinds out of order").when(note & (F.col("__pitch") <= F.col("__below")), "pitch does not rise")
+    wrong = wrong.when(time.isNotNull() & (time <= earlier), "time does not rise").when(note & ~F.coalesce(whole, F.lit(False)), "note without its values").when((F.lead("token").over(w).isNull()) & ~F.col("token").isin(END_OF_PATCH, END_OF_SONG), "no end")
     return t.withColumn("__v", wrong).groupBy(*keys, "patch").agg(F.min_by("__v", F.when(F.col("__v").isNotNull(), F.col("i"))).alias("violation"))
 
 

@@ -362,11 +362,6 @@ def hash_split(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", corpus.md5_split_of(F.col("doc_id"), 5.0, 5.0).alias("split"))
 
 
-@query("crc_split")
-def crc_split(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", corpus.split_of(F.col("doc_id"), 5.0, 5.0).alias("split"))
-
-
 @query("anti_leak", "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def anti_leak(spark, sf_dir):
     return corpus.exclude(table(spark, sf_dir, "documents").select("doc_id", "source"), table(spark, sf_dir, "labels"), ["doc_id"])
@@ -452,12 +447,6 @@ def length_damped_weights(spark, sf_dir):
     return sampling.damped_weights(d, "n_chars", "source", 100_000.0, 0.5).select("doc_id", "source", F.bround("weight", 6).alias("weight"))
 
 
-@query("weighted_sample")
-def weighted_sample(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
-    return sampling.weighted_sample(d, "n_chars", ["doc_id"], 200, 7)
-
-
 @query("top_p", """WITH w AS (SELECT p_brand, p_partkey, p_retailprice, coalesce(sum(p_retailprice::DECIMAL(18,2)) OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b, sum(p_retailprice::DECIMAL(18,2)) OVER (PARTITION BY p_brand) AS s FROM part) SELECT p_brand, p_partkey FROM w WHERE b::DOUBLE / s::DOUBLE <= 0.5""")
 def top_p(spark, sf_dir):
     p = table(spark, sf_dir, "part").select("p_brand", "p_partkey", F.col("p_retailprice").cast("decimal(18,2)").cast("double").alias("w"))
@@ -748,12 +737,11 @@ def flag_downbeats(spark, sf_dir):
 
 @query("tempo_timeline", _sql("""{EV}, p AS (SELECT user_id, t, max(event_id % 7 + 1) AS k FROM ev WHERE event_type = 'purchase' GROUP BY ALL),
 l AS (SELECT *, lag(t) OVER w AS lt, lag(k) OVER w AS lk FROM p WINDOW w AS (PARTITION BY user_id ORDER BY t)),
-a AS (SELECT *, sum(CASE WHEN lt IS NULL THEN t * k ELSE (t - lt) * lk END) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING)::BIGINT AS at FROM l),
-f AS (SELECT user_id, arg_min(k, t) AS k FROM p GROUP BY ALL)
-SELECT c.event_id, CASE WHEN a.at IS NULL THEN c.t * f.k ELSE a.at + (c.t - a.t) * a.k END AS at FROM (SELECT * FROM ev WHERE event_type = 'click') c ASOF LEFT JOIN a ON c.user_id = a.user_id AND c.t >= a.t LEFT JOIN f ON f.user_id = c.user_id"""))
+a AS (SELECT *, sum(CASE WHEN lt IS NULL THEN t * 5 ELSE (t - lt) * lk END) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING)::BIGINT AS at FROM l)
+SELECT c.event_id, CASE WHEN a.at IS NULL THEN c.t * 5 ELSE a.at + (c.t - a.t) * a.k END AS at FROM (SELECT * FROM ev WHERE event_type = 'click') c ASOF LEFT JOIN a ON c.user_id = a.user_id AND c.t >= a.t"""))
 def tempo_timeline(spark, sf_dir):
     tempos = events(spark, sf_dir, "purchase").groupBy("user_id", "t").agg(F.max(F.pmod("event_id", F.lit(7)) + 1).alias("k"))
-    return axis.time_of(events(spark, sf_dir, "click").select("event_id", "user_id", "t"), tempos, ["user_id"], "t", "k", "at").select("event_id", "at")
+    return axis.time_of(events(spark, sf_dir, "click").select("event_id", "user_id", "t"), tempos, ["user_id"], "t", "k", "at", default=5).select("event_id", "at")
 
 
 @query("beat_levels", _sql("""{EV}, b AS (SELECT DISTINCT user_id, t FROM ev WHERE event_type = 'click'), s AS (SELECT *, lead(t) OVER (PARTITION BY user_id ORDER BY t) - t AS step FROM b),
@@ -938,4 +926,4 @@ def score_scalars(spark, sf_dir):
         F.bround(scalar.meter_length(F.col("l_linenumber"), F.lit(8)), 9).alias("measure"), scalar.ledger_lines(q, 10, 40).alias("ledger"))
 
 
-from . import choices  # noqa: E402, F401  registers its queries
+from . import choices, rules  # noqa: E402, F401  register their queries

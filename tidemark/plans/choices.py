@@ -248,13 +248,13 @@ def _bars(spark, sf_dir):
 
 def _ticks(spark, sf_dir):
     """Events as rows on ticks: signups and errors press and release a pedal, the others are notes, one at a tick and pitch."""
-    kind = F.when(F.col("event_type") == "signup", 0).when(F.col("event_type") == "error", 1).otherwise(2)
+    kind = F.when(F.col("event_type") == "signup", 1).when(F.col("event_type") == "error", 0).otherwise(2)
     rows = events(spark, sf_dir).select("user_id", F.floor(F.col("t") / 600).alias("onset"), kind.alias("kind"), "event_id")
     note = F.col("kind") == 2
     return rows.select("user_id", "onset", "kind", *[F.when(note, c).otherwise(0).alias(n) for n, c in (("pitch", 21 + F.col("event_id") % 88), ("duration", 1 + F.col("event_id") % 300), ("velocity", 1 + F.col("event_id") % 127))]).distinct()
 
 
-@query("bar_round_trip", _sql("""{EV} SELECT DISTINCT user_id, t // 600 AS onset, CASE event_type WHEN 'signup' THEN 0 WHEN 'error' THEN 1 ELSE 2 END AS kind,
+@query("bar_round_trip", _sql("""{EV} SELECT DISTINCT user_id, t // 600 AS onset, CASE event_type WHEN 'signup' THEN 1 WHEN 'error' THEN 0 ELSE 2 END AS kind,
   CASE WHEN event_type IN ('signup', 'error') THEN 0 ELSE 21 + event_id % 88 END AS pitch, CASE WHEN event_type IN ('signup', 'error') THEN 0 ELSE 1 + event_id % 300 END AS duration, CASE WHEN event_type IN ('signup', 'error') THEN 0 ELSE 1 + event_id % 127 END AS velocity FROM ev"""))
 def bar_round_trip(spark, sf_dir):
     b = _bars(spark, sf_dir)
@@ -262,10 +262,10 @@ def bar_round_trip(spark, sf_dir):
 
 
 @query("bar_tokens", _sql("""{EV}, b AS (SELECT user_id, bar, 144 * bar + 10 * (bar % 3) AS start FROM (SELECT DISTINCT user_id FROM ev), (SELECT unnest(range(0, 41)) AS bar)),
-r AS (SELECT DISTINCT user_id, t // 600 AS onset, CASE event_type WHEN 'signup' THEN 0 WHEN 'error' THEN 1 ELSE 2 END AS kind, CASE WHEN event_type IN ('signup', 'error') THEN NULL ELSE event_id END AS e FROM ev),
+r AS (SELECT DISTINCT user_id, t // 600 AS onset, CASE event_type WHEN 'signup' THEN 1 WHEN 'error' THEN 0 ELSE 2 END AS kind, CASE WHEN event_type IN ('signup', 'error') THEN NULL ELSE event_id END AS e FROM ev),
 p AS (SELECT r.*, max(b.bar) AS bar, max(b.start) AS start FROM r JOIN b ON b.user_id = r.user_id AND b.start <= r.onset GROUP BY ALL),
 k AS (SELECT user_id, bar, count(*) AS n, count(DISTINCT onset) AS times, count(*) FILTER (kind = 2) AS notes FROM p GROUP BY ALL)
-SELECT k.user_id, k.bar, (times + notes * 3 + n + 1)::BIGINT AS size, coalesce((SELECT arg_max(kind = 0, onset * 2 + kind) FROM r WHERE r.user_id = k.user_id AND kind < 2 AND onset < b.start), false) AS pedal FROM k JOIN b ON b.user_id = k.user_id AND b.bar = k.bar"""))
+SELECT k.user_id, k.bar, (times + notes * 3 + n + 1)::BIGINT AS size, coalesce((SELECT arg_max(kind = 1, onset * 2 + kind) FROM r WHERE r.user_id = k.user_id AND kind < 2 AND onset < b.start), false) AS pedal FROM k JOIN b ON b.user_id = k.user_id AND b.bar = k.bar"""))
 def bar_tokens(spark, sf_dir):
     found = bars.bar_tokenise(_ticks(spark, sf_dir), _bars(spark, sf_dir), ["user_id"], 160)
     return found.select("user_id", "bar", F.size("tokens").cast("long").alias("size"), "pedal")

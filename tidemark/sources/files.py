@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,10 +50,30 @@ def content_key(*columns: str) -> Column:
 
 
 def write_cache(rows: DataFrame, folder: str, key: str, buckets: int = 64, partition: str | None = None) -> None:
-    """Parquet for reads by key: files hold key ranges in order, so a read of one key touches a row group or two."""
+    """Parquet for reads by key: files hold key ranges in order, so a read of one key touches a row group or two.
+
+    All is written beside the folder first and then takes its name, so that a write that fails leaves the cache as it was.
+    """
     out = rows.repartitionByRange(buckets, *([partition] if partition else []), key).sortWithinPartitions(*([partition] if partition else []), key)
-    writer = out.write.mode("overwrite")
-    (writer.partitionBy(partition) if partition else writer).parquet(folder)
+    aside = f"{folder.rstrip('/')}.new-{uuid.uuid4().hex}"
+    (out.write.partitionBy(partition) if partition else out.write).parquet(aside)
+    replace(rows.sparkSession, aside, folder)
+
+
+def replace(spark: SparkSession, new: str, folder: str) -> None:
+    """Gives a written folder another one's name: two renames, and only then the older contents go."""
+    jvm = spark.sparkContext._jvm
+    at, to, old = (jvm.org.apache.hadoop.fs.Path(p) for p in (new, folder, f"{folder.rstrip('/')}.old-{uuid.uuid4().hex}"))
+    files = to.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    had = files.exists(to)
+    if had and not files.rename(to, old):
+        raise OSError(f"{folder} can't be moved aside")
+    if not files.rename(at, to):
+        if had:
+            files.rename(old, to)
+        raise OSError(f"{new} can't take the name {folder}")
+    if had:
+        files.delete(old, True)
 
 
 def read_cache(spark: SparkSession, folder: str, key: str, *values) -> DataFrame:
