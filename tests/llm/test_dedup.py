@@ -29,15 +29,15 @@ def _components(n, linked):
 
 
 @pytest.mark.parametrize("keep", ["largest", "smallest"])
-@pytest.mark.parametrize("fan_in", [2, 8])
-def test_exact(spark, keep, fan_in):
+@pytest.mark.parametrize("fan_in,range_rows", [(2, 1 << 20), (8, 1 << 20), (2, 3)])
+def test_exact(spark, keep, fan_in, range_rows):
     rows = texts()
     groups = defaultdict(list)
     for i, t, *_ in rows:
         groups[t or ""].append(i)
     best = {t: (max if keep == "largest" else min)([i for i in ids if i is not None], default=None) for t, ids in groups.items()}
     want = Counter((i, best[t or ""], len(groups[t or ""]), hashlib.sha256((t or "").encode()).hexdigest()) for i, t, *_ in rows)
-    got = exact_dedup(docs(spark).repartition(7), keep=keep, fan_in=fan_in).collect()
+    got = exact_dedup(docs(spark).repartition(7), keep=keep, fan_in=fan_in, range_rows=range_rows).collect()
     assert Counter((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in got) == want
     assert Counter(r.text_sha256 for r in got if r.kept) == Counter({hashlib.sha256(t.encode()).hexdigest(): 1 for t in groups})
     assert all(r.doc_id == r.keep_id for r in got if r.kept)
@@ -103,16 +103,37 @@ def test_links_of_a_crowded_chain(spark, monkeypatch):
         assert [got.get(f, f) for f in fps] == [fps[c] for c in comp]
 
 
-def test_chains_prune_no_pair_within_the_budget(spark):
-    from pyspark.sql import functions as F
-    from tidemark.llm.simhash import in_a_chain
+def test_chains_prune_no_similar_pair():
+    """Pairs of all similarities about 0.8, small sets and such as fill the cells: none that is similar goes, and far ones do."""
+    from fractions import Fraction
+
+    from tidemark.llm.simhash import LEAST, cells_of, in_a_chain
 
     rng = np.random.default_rng(6)
-    xs = [sum(1 << int(b) for b in rng.choice(64, n, replace=False)) for n in range(65) for _ in range(20)]
-    frame = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x,) for x in xs], "x long")
-    got = {r.x & (2**64 - 1): r.c for r in frame.select("x", in_a_chain(F.col("x"), 13).alias("c")).collect()}
-    assert all(got[x] for x in xs if x.bit_count() <= 13)
-    assert not any(got[x] for x in xs if x.bit_count() > 40)
+    a, b, like = [], [], []
+    for size in (1, 2, 9, 10, 45, 200, 900, 5000, 100_000):
+        for share in np.linspace(0.55, 1.0, 30 if size < 10_000 else 6):
+            common = round(size * share)
+            h = rng.integers(-(2**63), 2**63 - 1, 2 * size - common)
+            p, q = np.unique(h[:size]), np.unique(np.concatenate([h[:common], h[size:]]))
+            a.append(p)
+            b.append(q)
+            like.append(Fraction(len(np.intersect1d(p, q)), len(np.union1d(p, q))))
+    got = in_a_chain(np.array([cells_of(x) for x in a]), np.array([len(x) for x in a]), np.array([cells_of(x) for x in b]), np.array([len(x) for x in b]), LEAST)
+    assert all(g for g, x in zip(got, like) if x >= LEAST) and sum(x >= LEAST for x in like) > 80
+    far = [g for g, x, p in zip(got, like, a) if x < 0.5 and 45 <= len(p) < 5000]
+    assert len(far) > 10 and sum(far) < 0.2 * len(far)
+
+
+def test_names_that_texts_share(spark):
+    """With names of two bits nearly all texts share one, and are told apart all the same."""
+    from tidemark.llm.simhash import near_texts
+
+    rows = texts()
+    want = sorted(map(repr, near_texts(docs(spark, rows)).collect()))
+    assert sorted(map(repr, near_texts(docs(spark, rows), bits=2).collect())) == want
+    whole = {r.doc_id for r in near_texts(docs(spark, rows)).collect()}
+    assert whole == {r[0] for r in rows}
 
 
 def test_vectors(spark):

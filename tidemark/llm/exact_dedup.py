@@ -6,8 +6,9 @@ runs of two neighbours are brought together by a shuffle and merged, and of
 equal digests one entry is retained, with the best identifier and the number of
 rows behind it (``fan_in`` neighbours, where more than two are wanted). A run is
 an array of entries, so a merge finds the places of one run in the other and
-sorts nothing anew. No merge holds more than one range, and a group of copies
-arrives as one entry per run, never as its rows. The answers return along the
+sorts nothing anew. Ranges number as the rows ask for, so that one has about
+``RANGE_ROWS`` digests at most, and no merge holds more than one range; a group of
+copies arrives as one entry per run, never as its rows. The answers return along the
 lowest level: a join on (run, digest), whose keys are as even as the partitions.
 
 A key is the digest with the byte length and a second, unrelated hash: only
@@ -33,6 +34,8 @@ from .base import cut
 WIDTH = 48
 #: Entries of a run before it is closed and another one begun.
 ENTRIES = 1 << 20
+#: Rows for each range of the digest space, where the partitions of a shuffle are fewer; digests are even, so a range's run has no more entries, of 73 bytes.
+RANGE_ROWS = 1 << 20
 #: An entry: its key, whether there is an id, the id (its complement, where the smallest stays), the row, and how many rows.
 ENTRY = np.dtype([("key", f"S{WIDTH}"), ("has", "i1"), ("id", "<i8"), ("row", "<i8"), ("rows", "<i8")])
 
@@ -80,7 +83,7 @@ def _batch(columns: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in columns.values()], names=list(columns))
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest", fan_in: int = 2) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest", fan_in: int = 2, range_rows: int = RANGE_ROWS) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256.
 
     keep: "smallest" or "largest" identifier of a group stays.
@@ -97,8 +100,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             F.monotonically_increasing_id().alias("row"),
         )
     )
-    runs = 1 + (rows.agg(F.max("run")).first()[0] or 0)
-    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    last, total = rows.agg(F.max("run"), F.count("*")).first()
+    runs, ranges = 1 + (last or 0), max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // range_rows))
 
     def lowest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sorted runs of a partition, cut at the limits of the ranges."""

@@ -16,16 +16,21 @@ is compared pair by pair, and no link is lost. Rows with the same fingerprint
 are one entry.
 
 ``near_texts`` links texts that have `least` of all their shingles in common
-(0.8). Two such texts differ in some 10 of 64 bits, by chance in up to
-``budget(0.8)``, and no index over so short a fingerprint finds that many. So its
-candidates are texts that share a shingle among the rarest n - ceil(least * n) + 1
-of each (n: its distinct shingles), as any two such texts do. The order, rarest
-first, comes from a bounded sample and changes what is compared, never what is
-found. Candidates are pruned by the chains of their fingerprints, then by all 64
-bits, and those left are decided by their whole sets. Every text is first
-compared with a few texts (``HUBS``) that stand for its shingles, which joins
-most of a large group in a linear number of comparisons; then all candidates
-that are not joined yet are compared.
+(0.8). Two such texts differ in some 10 of 64 bits, and no index over so short a
+fingerprint finds that many. So its candidates are texts that share a shingle
+among the rarest n - ceil(least * n) + 1 of each (n: its distinct shingles), as
+any two such texts do. The order, rarest first, comes from a bounded sample and
+changes what is compared, never what is found. Candidates are pruned by
+pigeonring, too, over counts instead of bits: a set's hashes are counted by
+``CELLS`` cells, the cells are cut into a ring of segments, and what two sets
+differ by in the cells is at most what they differ by at all, (1 - least) / (1 +
+least) of both their sizes. So from some segment on every chain around the ring
+stays within its share of that; no pair of the similarity is lost. Only texts of
+pairs that are left travel, to be decided by their whole sets. Every text is
+first compared with a few texts (``HUBS``) that stand for its shingles, which
+joins most of a large group in a linear number of comparisons; then all
+candidates that are not joined yet are compared. A text is named by 64 bits of
+hash; names that two texts share (told apart by 128 bits more) are given anew.
 
 Defined cases: null text counts as empty; no words give fingerprint zero, linked
 like any other; fewer words than a shingle are one shingle; a null id can link
@@ -57,6 +62,8 @@ SEED = 42
 #: Of near_texts: texts of the sample, shingles it is asked for, stand-ins a text is compared with, and what is broadcast at most: shared shingles, ids of texts.
 SAMPLE, COMMON, HUBS, SENT, SENT_IDS = 5_000, 200_000, 4, 100_000, 1_000_000
 LEAST = Fraction(4, 5)
+#: Cells by which a set's hashes are counted, and the segments of their ring.
+CELLS, SEGMENTS = 256, 8
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
@@ -189,44 +196,49 @@ def shingles(text: str | None, words: int = 5) -> np.ndarray:
     return np.unique(h.view(np.int64))
 
 
-def budget(least: Fraction) -> int:
-    """Bits that texts of this similarity differ in, at most but for about one pair in 10,000."""
-    cosine = 2 * float(least) / (1 + float(least))
-    share = math.acos(cosine) / math.pi
-    return min(64, math.ceil(64 * share + 4 * math.sqrt(64 * share * (1 - share))))
-
-
-def in_a_chain(x, differ: int, segments: int = 8, upto: int = 4):
-    """Whether some chain of `upto` segments of the ring stays within its budgets. x: the bits that differ."""
-    width = 64 // segments
-    d = F.array(*[F.bit_count(x.bitwiseAND(_long(_bits(i * width, width)))) for i in range(segments)])
-    found = F.lit(False)
-    for i in range(segments):
-        held, chain = F.lit(0), F.lit(True)
-        for n in range(1, upto + 1):
-            held = held + F.get(d, F.lit((i + n - 1) % segments))
-            chain = chain & (held * segments <= n * differ)
-        found = found | chain
+def cells_of(h: np.ndarray) -> np.ndarray:
+    """How many of a set's hashes fall into each cell; 255 stands for as many or more, too."""
+    return np.minimum(np.bincount((h.view(np.uint64) >> np.uint64(56)).astype(np.int64), minlength=CELLS), 255).astype(np.uint8)
+
+
+def in_a_chain(a: np.ndarray, n: np.ndarray, b: np.ndarray, m: np.ndarray, least: Fraction) -> np.ndarray:
+    """Whether two sets, by their counts and sizes, may have this similarity: from some segment on, all chains around the ring are within their budgets.
+
+    Counts that stop at 255 differ by no more than the whole ones.
+    """
+    differ = np.abs(a.astype(np.int16) - b).reshape(len(a), SEGMENTS, -1).sum(2, dtype=np.int64)
+    up, down = least.denominator - least.numerator, least.denominator + least.numerator
+    budget = (n + m)[:, None] * up * np.arange(1, SEGMENTS + 1)
+    ring, found = np.concatenate([differ, differ], 1) * SEGMENTS * down, np.zeros(len(a), bool)
+    for i in range(SEGMENTS):
+        found |= (ring[:, i : i + SEGMENTS].cumsum(1) <= budget).all(1)
     return found
 
 
 def _similar(pairs: DataFrame, texts: DataFrame, words: int, least: Fraction) -> DataFrame:
     """Of pairs (a, b), those of similarity `least` or more. texts: (e, text)."""
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("e")).distinct()
-    asked = F.broadcast(asked) if 2 * pairs.count() <= SENT_IDS else asked
 
-    @F.pandas_udf("long")
-    def of(found: pd.Series) -> pd.Series:
-        sets = (shingles(t, words).view(np.uint64) for t in found)
-        return pd.Series([_fingerprint(iter([s]), len(s)) for s in sets], dtype="int64")
-
-    some = texts.join(asked, "e", "left_semi").groupBy("e").agg(F.first("text").alias("text"))
-    some = cut(some.withColumn("fp", of("text")))
-    side = lambda name, *more: some.select(F.col("e").alias(name), *more)
-    x = F.col("x").bitwiseXOR(F.col("y"))
-    near = pairs.join(side("a", F.col("fp").alias("x")), "a").join(side("b", F.col("fp").alias("y")), "b")
-    near = near.where(in_a_chain(x, budget(least))).where(F.bit_count(x) <= budget(least)).select("a", "b")
-    both = near.join(side("a", F.col("text").alias("s")), "a").join(side("b", F.col("text").alias("t")), "b")
+    def of(some: DataFrame) -> DataFrame:
+        asked = some.select(F.explode(F.array("a", "b")).alias("e")).distinct()
+        return texts.join(F.broadcast(asked) if 2 * some.count() <= SENT_IDS else asked, "e", "left_semi")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingles(t.as_py(), words) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("e"), pa.array([len(h) for h in sets], pa.int64()), pa.array([cells_of(h).tobytes() for h in sets], pa.binary())], names=["e", "n", "cells"])
+
+    def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matrix = lambda c: np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, CELLS)
+        for batch in batches:
+            if batch.num_rows:
+                held = in_a_chain(matrix(batch.column("s")), batch.column("n").to_numpy(), matrix(batch.column("t")), batch.column("m").to_numpy(), least)
+                yield batch.select(["a", "b"]).filter(pa.array(held))
+
+    counts = cut(of(pairs).mapInArrow(count, "e long, n long, cells binary").dropDuplicates(["e"]))
+    both = pairs.join(counts.select(F.col("e").alias("a"), "n", F.col("cells").alias("s")), "a").join(counts.select(F.col("e").alias("b"), F.col("n").alias("m"), F.col("cells").alias("t")), "b")
+    near = cut(both.select("a", "b", "n", "m", "s", "t").mapInArrow(prune, "a long, b long"))
+    some = of(near).groupBy("e").agg(F.first("text").alias("text"))
+    both = near.join(some.select(F.col("e").alias("a"), F.col("text").alias("s")), "a").join(some.select(F.col("e").alias("b"), F.col("text").alias("t")), "b")
 
     def decide(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept: dict[int, np.ndarray] = {}
@@ -249,11 +261,26 @@ def _similar(pairs: DataFrame, texts: DataFrame, words: int, least: Fraction) ->
     return cut(both.mapInPandas(decide, "a long, b long"))
 
 
-def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: Fraction = LEAST) -> DataFrame:
-    """One row per row of docs: doc_id, component_id."""
-    spark = docs.sparkSession
+def _named(docs: DataFrame, id_col: str, text_col: str, bits: int) -> DataFrame:
+    """(doc_id, e, text): rows with a number e of each different text."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("e"), text.alias("text"))
+    e = F.xxhash64(text) if bits == 64 else F.pmod(F.xxhash64(text), F.lit(1 << bits))
+    rows, n = docs.select(F.col(id_col).cast("long").alias("doc_id"), e.alias("e"), text.alias("text")), 0
+    while True:
+        told = rows.select("e", F.md5(F.col("text").cast("binary")).alias("m")).distinct()
+        twice = cut(told.groupBy("e").agg(F.count("*").alias("n")).where("n > 1").select("e"))
+        many, n = twice.count(), n + 1
+        if not many:
+            return rows
+        marked = F.broadcast(twice) if many <= SENT else twice
+        again = F.xxhash64("e", F.md5(F.col("text").cast("binary")), F.lit(n))
+        rows = rows.join(marked.withColumn("twice", F.lit(True)), "e", "left").select("doc_id", F.when(F.col("twice"), again).otherwise(F.col("e")).alias("e"), "text")
+
+
+def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: Fraction = LEAST, bits: int = 64) -> DataFrame:
+    """One row per row of docs: doc_id, component_id. bits: width of the names that texts get at first."""
+    spark = docs.sparkSession
+    rows = _named(docs, id_col, text_col, bits)
     texts = rows.select("e", "text")
 
     @F.pandas_udf("array<long>")
