@@ -47,6 +47,32 @@ def ngrams(rows: DataFrame, keys: list[str], text: str, n: int) -> DataFrame:
     )
 
 
+def _gram_hashes(rows: DataFrame, key: str, text: str, n: int) -> DataFrame:
+    """(key, hash): the distinct hashes of the n-grams of words of each text."""
+    words = F.filter(F.split(F.lower(text), r"[^a-z0-9à-ÿß]+"), lambda w: w != "")
+    words = F.transform(words, lambda w: F.xxhash64(w))
+    hashes = F.transform(F.sequence(F.lit(0), F.size("__w") - n), lambda i: F.xxhash64(*[F.get("__w", i + k) for k in range(n)]))
+    return rows.select(key, words.alias("__w")).where(F.size("__w") >= n).select(key, F.explode(F.array_distinct(hashes)).alias("hash"))
+
+
+def containment_of(queries: DataFrame, corpus: DataFrame, query_id: str, corpus_id: str, text: str, n: int, threshold: float) -> DataFrame:
+    """(query_id, corpus_id, shared, containment): shares of the distinct n-grams of queries found in texts of a corpus.
+
+    Grams are first compared by their hashes, which can only find too much: a text whose hashes are too few for every
+    query is left out. Grams of the others are then spelt and counted.
+    """
+    asked = _gram_hashes(queries, query_id, text, n)
+    spelt = ngrams(queries, [query_id], text, n)
+    size = asked.groupBy(query_id).agg(F.count("*").alias("__hashes")).join(spelt.groupBy(query_id).agg(F.count("*").alias("__size")), query_id)
+    few = asked.limit(BROADCAST_GRAMS + 1).count() <= BROADCAST_GRAMS
+    found = _gram_hashes(corpus, corpus_id, text, n).join(F.broadcast(asked) if few else asked, "hash").groupBy(query_id, corpus_id).agg(F.count("*").alias("__n"))
+    # grams of a query that share a hash count once, so as many may be missing
+    enough = F.col("__n") + F.col("__size") - F.col("__hashes") >= threshold * F.col("__size")
+    maybe = found.join(size, query_id).where(enough).select(corpus_id).distinct()
+    some = corpus.join(maybe, corpus_id, "left_semi")
+    return containment(spelt, ngrams(some, [corpus_id], text, n), query_id, corpus_id, threshold)
+
+
 #: Grams of queries that may be broadcast.
 BROADCAST_GRAMS = 200_000
 

@@ -345,9 +345,8 @@ dg AS (SELECT DISTINCT doc_id, array_to_string(w[i:i+4], ' ') AS gram FROM (SELE
 n AS (SELECT item_id, count(*) AS size FROM qg GROUP BY ALL)
 SELECT item_id, doc_id, count(*) AS shared, round_even(count(*) / any_value(size), 9) AS containment FROM qg JOIN dg USING (gram) JOIN n USING (item_id) GROUP BY ALL HAVING count(*) / any_value(size) >= 0.2::DOUBLE""")
 def ngram_containment(spark, sf_dir):
-    q = corpus.ngrams(table(spark, sf_dir, "benchmark"), ["item_id"], "text", 5)
-    d = corpus.ngrams(table(spark, sf_dir, "documents"), ["doc_id"], "text", 5)
-    return corpus.containment(q, d, "item_id", "doc_id", 0.2).select("item_id", "doc_id", "shared", F.bround("containment", 9).alias("containment"))
+    found = corpus.containment_of(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"), "item_id", "doc_id", "text", 5, 0.2)
+    return found.select("item_id", "doc_id", "shared", F.bround("containment", 9).alias("containment"))
 
 
 @query("quality_lint", r"""WITH n AS (SELECT doc_id, greatest(length(text), 1) AS n, text FROM documents),
