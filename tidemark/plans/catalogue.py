@@ -925,4 +925,4 @@ def score_scalars(spark, sf_dir):
         F.bround(scalar.meter_length(F.col("l_linenumber"), F.lit(8)), 9).alias("measure"), scalar.ledger_lines(q, 10, 40).alias("ledger"))
 
 
-from . import choices, rules  # noqa: E402, F401  register their queries
+from . import choices, origins, rules  # noqa: E402, F401  register their queries
