@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import names
-from tidemark.operators import arrangement, bars
+from tidemark.operators import arrangement, bars, sequences
 from tidemark.streaming import feeds, timers
 
 
@@ -149,7 +149,7 @@ def test_lcs_length():
     r = random.Random(1)
     for _ in range(200):
         a, b = ([r.randint(0, 4) for _ in range(r.randint(0, 90))] for _ in range(2))
-        assert names.lcs_length(a, b) == _lcs(a, b)
+        assert sequences.lcs_length(a, b) == _lcs(a, b)
 
 
 def test_names(spark, sf_dir):

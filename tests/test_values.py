@@ -57,6 +57,18 @@ def test_viterbi_is_the_cheapest_path(spark):
         assert price(got[k], costs) == pytest.approx(min(price(p, costs) for p in itertools.product(range(3), repeat=k + 1)))
 
 
+def test_viterbi_over_stretches(spark):
+    """A path handed on from stretch to stretch, both ways, is the one of a single stretch."""
+    import random
+
+    r = random.Random(5)
+    rows = [(k, i, [float(r.randint(0, 5)) for _ in range(3)]) for k in ("a", "b", None) for i in range(23)]
+    frame = spark.createDataFrame(rows, "k string, i int, costs array<double>")
+    switch = [[0, 1, 3], [1, 0, 1], [3, 1, 0]]
+    one, many = (sorted(map(repr, sequences.viterbi(frame, ["k"], "i", "costs", switch, size=n).collect())) for n in (1 << 16, 4))
+    assert one == many and len(one) == 69
+
+
 def test_lcs(spark):
     rows = [(1, ["C", "G", "Am", "F"], ["C", "Am", "F", "G"]), (2, ["C"], ["D"]), (3, [], []), (4, None, ["C"])]
     got = {r.k: r.f1 for r in sequences.lcs_f1(spark.createDataFrame(rows, "k int, a array<string>, b array<string>"), "a", "b").collect()}

@@ -14,7 +14,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from ..operators.sequences import FIRST, offsets
+from ..operators.sequences import FIRST, lcs_length, offsets
 
 PREFIX = "tide_"
 
@@ -65,19 +65,6 @@ class TokenEvents:
                 yield (patch * width + time, kind, *values)
 
 
-def lcs_length(a: list, b: list) -> int:
-    """Length of the longest common subsequence, a whole row of the table at once in the bits of an integer."""
-    where: dict = {}
-    for i, x in enumerate(a):
-        where[x] = where.get(x, 0) | 1 << i
-    full = (1 << len(a)) - 1
-    row = full
-    for y in b:
-        hit = row & where.get(y, 0)
-        row = ((row + hit) | (row - hit)) & full
-    return len(a) - row.bit_count()
-
-
 @F.arrow_udf(DoubleType())
 def _lcs_f1(side: pa.Array, position: pa.Array, token: pa.Array) -> float:
     """F1 of the longest common subsequence of the rows of side 0 and those of the others, in order of position; null without rows."""

@@ -7,6 +7,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import rank_in
+from .scans import handed_on
+
 # Ids of marks; then times within a patch, kinds, pitches, durations and velocities follow each other.
 PAD, END_OF_PATCH, END_OF_SONG = 0, 1, 2
 FIRST = 3
@@ -93,44 +96,66 @@ def segments(rows: DataFrame, keys: list[str], order: str, usable: Column, at_le
     return r.where(F.col("segment_rows") >= at_least).withColumn("position", F.col("__n") - F.col("segment")).drop("__n", "__run")
 
 
-def viterbi(rows: DataFrame, keys: list[str], order: str, costs: str, switch: list[list[float]]) -> DataFrame:
+def viterbi(rows: DataFrame, keys: list[str], order: str, costs: str, switch: list[list[float]], size: int = 1 << 16) -> DataFrame:
     """(keys, order, mode): the cheapest path of modes; costs is an array per row, `switch` the price of each change.
 
-    The start counts as mode 0; the first minimum wins. A fold in the JVM, whose state is the best path into each
-    mode. A group is one series.
+    The start counts as mode 0; the first minimum wins. Two scans along each key, handed on from stretch to stretch:
+    one forward, whose state is the cost of the best path into each mode and which leaves where each came from, and
+    one back, whose state is the mode that the path came from. Places of a key differ.
     """
-    price = F.array(*[F.array(*[F.lit(float(x)) for x in line]) for line in switch])
-    item = F.struct(F.col(order).alias("at"), F.col(costs).cast("array<double>").alias("costs"))
-    series = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("items"))
-    none = F.array().cast("array<int>")
-    begin = F.array(*[F.struct(F.lit(0.0 if i == 0 else float("inf")).alias("cost"), none.alias("path")) for i in range(len(switch))])
-
-    def step(state: Column, now: Column) -> Column:
-        def into(to: Column) -> Column:
-            ways = F.transform(state, lambda s, i: F.struct((s["cost"] + F.get(F.get(price, i), to)).alias("cost"), i.alias("from"), s["path"].alias("path")))
-            best = F.array_min(ways)
-            return F.struct((best["cost"] + F.get(now["costs"], to)).alias("cost"), F.concat(best["path"], F.array(to)).alias("path"))
-
-        return F.transform(F.sequence(F.lit(0), F.lit(len(switch) - 1)), into)
-
-    best = F.aggregate("items", begin, step, lambda s: F.array_min(F.transform(s, lambda x, i: F.struct(x["cost"].alias("cost"), i.alias("mode"), x["path"].alias("path"))))["path"])
-    return series.select(*keys, F.explode(F.arrays_zip(F.col("items")["at"].alias(order), best.alias("mode"))).alias("row")).select(*keys, "row.*")
+    price, k = np.array(switch, float), len(switch)
+    names = [f"__c{i}" for i in range(k)]
+
+    def forward(part: pd.DataFrame, state: dict | None) -> tuple[pd.DataFrame, dict]:
+        cost = np.where(np.arange(k) == 0, 0.0, np.inf) if state is None else np.array([state[n] for n in names], float)
+        came, sums = [], []
+        for own in part["__costs"]:
+            ways = cost[:, None] + price
+            best = ways.argmin(0)
+            cost = ways[best, np.arange(k)] + np.asarray(own, float)
+            came.append(best.astype(np.int32).tolist())
+            sums.append(cost)
+        out = pd.DataFrame(np.array(sums).reshape(-1, k), columns=names)
+        return out.assign(__came=came), dict(zip(names, cost))
+
+    def back(part: pd.DataFrame, state: dict | None) -> tuple[pd.DataFrame, dict]:
+        now = None if state is None else int(state["__from"])
+        modes, before = [], []
+        for row, last in zip(part["__came"], part[names].to_numpy(float)):
+            now = int(last.argmin()) if now is None else now
+            modes.append(now)
+            now = int(row[now])
+            before.append(now)
+        return pd.DataFrame({"mode": modes, "__from": before}), {"__from": now}
+
+    series = rows.select(*keys, order, F.col(costs).cast("array<double>").alias("__costs"))
+    there = handed_on(series, keys, [order], forward, names, ", ".join([*(f"{n} double" for n in names), "__came array<int>"]), size).drop("__costs")
+    there = rank_in(there, keys, [order], "__back").withColumn("__back", -F.col("__back"))
+    return handed_on(there, keys, ["__back"], back, ["__from"], "mode int, __from int", size).select(*keys, order, "mode")
+
+
+def lcs_length(a: list, b: list) -> int:
+    """Length of the longest common subsequence, a whole row of the table at once in the bits of an integer."""
+    where: dict = {}
+    for i, x in enumerate(a):
+        where[x] = where.get(x, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    row = full
+    for y in b:
+        hit = row & where.get(y, 0)
+        row = ((row + hit) | (row - hit)) & full
+    return len(a) - row.bit_count()
 
 
 def lcs_f1(pairs: DataFrame, a: str, b: str, out: str = "f1") -> DataFrame:
-    """F1 of the longest common subsequence of two arrays."""
+    """F1 of the longest common subsequence of two arrays; null where either is null or both are empty."""
 
     @F.pandas_udf("double")
     def f1(x: pd.Series, y: pd.Series) -> pd.Series:
         def one(p, q):
             if p is None or q is None or len(p) + len(q) == 0:
                 return None
-            row = [0] * (len(q) + 1)
-            for u in p:
-                last = 0
-                for j, v in enumerate(q, 1):
-                    last, row[j] = row[j], last + 1 if u == v else max(row[j], row[j - 1])
-            return 2.0 * row[-1] / (len(p) + len(q))
+            return 2.0 * lcs_length(list(p), list(q)) / (len(p) + len(q))
 
         return pd.Series([one(p, q) for p, q in zip(x, y)], dtype=float)
 

@@ -470,11 +470,6 @@ def _notes(spark, sf_dir):
     )
 
 
-@query("tokenise_patches")
-def tokenise_patches(spark, sf_dir):
-    return sequences.tokenise(_notes(spark, sf_dir), ["user_id"], 1440, 384)
-
-
 @query("token_round_trip", _sql("""{EV}, n AS (SELECT user_id, t // 60 AS onset, CASE event_type WHEN 'error' THEN 0 WHEN 'signup' THEN 1 ELSE 2 END AS kind, event_type, value, event_id FROM ev)
 SELECT user_id, onset, kind, CASE WHEN kind = 2 THEN length(event_type) + 60 ELSE 0 END::BIGINT AS pitch, CASE WHEN kind = 2 THEN least(1024, greatest(1, round_even(value, 0))) ELSE 0 END::BIGINT AS duration, CASE WHEN kind = 2 THEN event_id % 127 + 1 ELSE 0 END::BIGINT AS velocity FROM n"""))
 def token_round_trip(spark, sf_dir):
@@ -490,20 +485,6 @@ def pair_segments(spark, sf_dir):
     return sequences.segments(c, ["conv_id"], "turn", F.length("text") >= 60, 2).select("conv_id", "turn", F.col("segment").cast("long").alias("segment"), "segment_rows", F.col("position").cast("long").alias("position"))
 
 
-@query("viterbi_modes")
-def viterbi_modes(spark, sf_dir):
-    h = events(spark, sf_dir).groupBy("user_id", F.floor(F.col("t") / (6 * HOUR)).cast("long").alias("slot")).agg(F.count("*").cast("double").alias("n"))
-    costs = F.array(F.abs(F.col("n") - 1), F.abs(F.col("n") - 3), F.abs(F.col("n") - 6))
-    return sequences.viterbi(h.withColumn("costs", costs), ["user_id"], "slot", "costs", [[0, 2, 4], [2, 0, 2], [4, 2, 0]])
-
-
-@query("lcs_f1")
-def lcs_f1(spark, sf_dir):
-    e = events(spark, sf_dir).groupBy("user_id", F.pmod(F.floor(F.col("t") / 86400), F.lit(2)).alias("odd")).agg(F.array_sort(F.collect_list(F.struct("t", "event_id", "event_type")))["event_type"].alias("kinds"))
-    a, b = e.where("odd = 0").select("user_id", F.col("kinds").alias("a")), e.where("odd = 1").select("user_id", F.col("kinds").alias("b"))
-    return sequences.lcs_f1(a.join(b, "user_id"), "a", "b").select("user_id", F.bround("f1", 9).alias("f1"))
-
-
 # ---- streams ------------------------------------------------------------------------------------------------
 
 def _stream(spark, sf_dir):

@@ -189,3 +189,45 @@ def grammar_faults(spark, sf_dir):
     """The tokeniser's own patches: only a pedal pressed twice at once or a pitch struck twice breaks the grammar."""
     found = sequences.first_violation(sequences.tokenise(_notes(spark, sf_dir), ["user_id"], 1440), ["user_id"], 1440)
     return found.select("user_id", "patch", F.when(F.col("violation").isin("kinds out of order", "pitch does not rise"), "fault").otherwise(F.col("violation")).alias("fault"))
+
+
+# ---- sequences -----------------------------------------------------------------------------------------------
+
+@query("viterbi_modes", _sql("""WITH RECURSIVE """ + """{EV}""" + """,
+h AS (SELECT user_id, t // 21600 AS slot, count(*)::DOUBLE AS n FROM ev GROUP BY ALL), s AS (SELECT user_id, slot, row_number() OVER (PARTITION BY user_id ORDER BY slot) AS i, count(*) OVER (PARTITION BY user_id) AS m, [abs(n - 1), abs(n - 3), abs(n - 6)] AS costs FROM h),
+p AS (SELECT [[0.0::DOUBLE, 2, 4], [2.0::DOUBLE, 0, 2], [4.0::DOUBLE, 2, 0]] AS p),
+f AS (SELECT user_id, i, slot, m, [costs[1], costs[2] + 2, costs[3] + 4] AS cost, [1, 1, 1]::BIGINT[] AS came FROM s WHERE i = 1
+  UNION ALL SELECT s.user_id, s.i, s.slot, s.m, list_transform([1, 2, 3], lambda j: s.costs[j] + list_min([f.cost[1] + p[1][j], f.cost[2] + p[2][j], f.cost[3] + p[3][j]])),
+    list_transform([1, 2, 3], lambda j: list_position([f.cost[1] + p[1][j], f.cost[2] + p[2][j], f.cost[3] + p[3][j]], list_min([f.cost[1] + p[1][j], f.cost[2] + p[2][j], f.cost[3] + p[3][j]])))
+  FROM f JOIN s ON s.user_id = f.user_id AND s.i = f.i + 1, p),
+b AS (SELECT user_id, i, slot, list_position(cost, list_min(cost))::BIGINT AS mode, came[list_position(cost, list_min(cost))]::BIGINT AS was FROM f WHERE i = m
+  UNION ALL SELECT f.user_id, f.i, f.slot, b.was, f.came[b.was]::BIGINT FROM b JOIN f ON f.user_id = b.user_id AND f.i = b.i - 1)
+SELECT user_id, slot, (mode - 1)::INTEGER AS mode FROM b""").replace("RECURSIVE WITH ", "RECURSIVE "))
+def viterbi_modes(spark, sf_dir):
+    h = events(spark, sf_dir).groupBy("user_id", F.floor(F.col("t") / 21_600).cast("long").alias("slot")).agg(F.count("*").cast("double").alias("n"))
+    costs = F.array(F.abs(F.col("n") - 1), F.abs(F.col("n") - 3), F.abs(F.col("n") - 6))
+    return sequences.viterbi(h.withColumn("costs", costs), ["user_id"], "slot", "costs", [[0, 2, 4], [2, 0, 2], [4, 2, 0]])
+
+
+@query("lcs_f1", _sql("""WITH RECURSIVE """ + """{EV}""" + """,
+s AS (SELECT user_id, t // 86400 % 2 AS odd, event_type AS x, row_number() OVER (PARTITION BY user_id, t // 86400 % 2 ORDER BY t, event_id) AS n FROM ev),
+b AS (SELECT user_id, list(x ORDER BY n) AS ys FROM s WHERE odd = 1 GROUP BY user_id), u AS (SELECT DISTINCT user_id FROM s WHERE odd = 0),
+r AS (SELECT u.user_id, 0::BIGINT AS i, list_transform(range(0, len(b.ys) + 1), lambda k: 0) AS line, b.ys FROM u JOIN b ON b.user_id = u.user_id
+  UNION ALL SELECT r.user_id, s.n, list_reduce(list_transform(range(1, len(r.ys) + 1), lambda j: [CASE WHEN r.ys[j] = s.x THEN r.line[j] + 1 ELSE r.line[j + 1] END]), lambda p, q: list_append(p, greatest(p[len(p)], q[1])), [0::BIGINT]), r.ys
+  FROM r JOIN s ON s.user_id = r.user_id AND s.odd = 0 AND s.n = r.i + 1)
+SELECT user_id, round_even(2.0::DOUBLE * arg_max(line[len(line)], i) / (max(i) + len(any_value(ys))), 9) AS f1 FROM r GROUP BY user_id""").replace("RECURSIVE WITH ", "RECURSIVE "))
+def lcs_f1(spark, sf_dir):
+    e = events(spark, sf_dir).groupBy("user_id", F.pmod(F.floor(F.col("t") / 86400), F.lit(2)).alias("odd")).agg(F.array_sort(F.collect_list(F.struct("t", "event_id", "event_type")))["event_type"].alias("kinds"))
+    a, b = e.where("odd = 0").select("user_id", F.col("kinds").alias("a")), e.where("odd = 1").select("user_id", F.col("kinds").alias("b"))
+    return sequences.lcs_f1(a.join(b, "user_id"), "a", "b").select("user_id", F.bround("f1", 9).alias("f1"))
+
+
+@query("tokenise_patches", _sql("""{EV}, n AS (SELECT user_id, t // 60 AS onset, CASE event_type WHEN 'error' THEN 0 WHEN 'signup' THEN 1 ELSE 2 END AS kind, event_type, value, event_id FROM ev),
+e AS (SELECT user_id, onset // 1440 AS patch, onset, kind, CASE WHEN kind = 2 THEN length(event_type) + 60 ELSE 0 END AS p, CASE WHEN kind = 2 THEN least(1024, CASE WHEN value IS NULL THEN 1 ELSE greatest(1, round_even(value, 0)) END)::BIGINT ELSE 0 END AS d, CASE WHEN kind = 2 THEN event_id % 127 + 1 ELSE 0 END AS v FROM n),
+o AS (SELECT *, row_number() OVER w AS i, coalesce(onset <> lag(onset) OVER w, true) AS fresh FROM e WINDOW w AS (PARTITION BY user_id, patch ORDER BY onset, kind, p, d, v)),
+k AS (SELECT *, list_concat(CASE WHEN fresh THEN [3 + onset - patch * 1440] ELSE [] END, CASE WHEN kind = 2 THEN [1443 + kind, 1446 + p, 1574 + d, 2599 + v] ELSE [1443 + kind] END) AS x FROM o),
+c AS (SELECT *, sum(len(x)) OVER (PARTITION BY user_id, patch ORDER BY i) AS upto FROM k)
+SELECT user_id, patch, array_to_string(list_append(flatten(list(x ORDER BY i)), 1), ',') AS tokens FROM c WHERE upto <= 383 GROUP BY user_id, patch"""))
+def tokenise_patches(spark, sf_dir):
+    found = sequences.tokenise(_notes(spark, sf_dir), ["user_id"], 1440, 384)
+    return found.select("user_id", "patch", F.array_join(F.col("tokens").cast("array<string>"), ",").alias("tokens"))
