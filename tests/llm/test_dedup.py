@@ -173,3 +173,37 @@ def test_vectors_where_the_sample_runs_out(spark):
     got = embedding_dedup.near_vectors(frame, sample=24, leaf=20).select("vec_id", "n_links").collect()
     assert sum(r.n_links for r in got) >= 0.99 * want.sum()
     assert all(r.n_links <= want[r.vec_id] for r in got)
+
+
+def test_texts_about_a_large_group(spark, monkeypatch):
+    """A large group of near copies, outliers that a few of them only or none are like, and a second group that some bridge, at limits so low that all ways are taken."""
+    import random
+    from fractions import Fraction
+
+    from tidemark.llm import simhash as m
+
+    r = random.Random(9)
+    word = lambda: f"w{r.randrange(4000)}"
+    base = [word() for _ in range(120)]
+    lines = []
+    for changes in [*(r.randrange(1, 4) for _ in range(70)), *(r.randrange(4, 9) for _ in range(40))]:
+        copy = list(base)
+        for _ in range(changes):
+            copy[r.randrange(len(copy))] = word()
+        lines.append(copy)
+    other = base[:70] + [word() for _ in range(50)]
+    for _ in range(40):
+        copy = list(other)
+        copy[r.randrange(len(copy))] = word()
+        lines.append(copy)
+    lines += [[word() for _ in range(60)] + base[:20] for _ in range(10)]
+    r.shuffle(lines)
+    grams = [{tuple(x[i : i + 5]) for i in range(len(x) - 4)} for x in lines]
+    want = _components(len(lines), lambda i, j: Fraction(len(grams[i] & grams[j]), len(grams[i] | grams[j])) >= Fraction(4, 5))
+    assert 12 < len(set(want)) < 100
+    frame = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(lines)], "doc_id long, text string").repartition(4)
+    for large, block in ((64, 2000), (5, 7), (1, 3)):
+        monkeypatch.setattr(m, "LARGE", large)
+        monkeypatch.setattr(m, "BLOCK", block)
+        got = {x.doc_id: x.component_id for x in m.near_texts(frame).collect()}
+        assert [got[i] for i in range(len(lines))] == want

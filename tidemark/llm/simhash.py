@@ -29,7 +29,11 @@ stays within its share of that; no pair of the similarity is lost. Only texts of
 pairs that are left travel, to be decided by their whole sets. Every text is
 first compared with a few texts (``HUBS``) that stand for its shingles, which
 joins most of a large group in a linear number of comparisons; then all
-candidates that are not joined yet are compared. A text is named by 64 bits of
+candidates that are not joined yet are compared. Those of a group that is large
+by then are not paired off: its counts are dealt in blocks, every text that has a
+shingle in common with it and is no part of it is shown to each block, and what
+leaves a block is first the nearest of it, and then, for texts that this did not
+join, all that the budgets allow. A text is named by 64 bits of
 hash; names that two texts share (told apart by 128 bits more) are given anew.
 
 Defined cases: null text counts as empty; no words give fingerprint zero, linked
@@ -62,6 +66,8 @@ SEED = 42
 #: Of near_texts: texts of the sample, shingles it is asked for, stand-ins a text is compared with, and what is broadcast at most: shared shingles, ids of texts.
 SAMPLE, COMMON, HUBS, SENT, SENT_IDS = 5_000, 200_000, 4, 100_000, 1_000_000
 LEAST = Fraction(4, 5)
+#: Texts of a group from which on it is dealt in blocks, and of a block.
+LARGE, BLOCK = 64, 2000
 #: Cells by which a set's hashes are counted, and the segments of their ring.
 CELLS, SEGMENTS = 256, 8
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -215,29 +221,69 @@ def in_a_chain(a: np.ndarray, n: np.ndarray, b: np.ndarray, m: np.ndarray, least
     return found
 
 
-def _similar(pairs: DataFrame, texts: DataFrame, words: int, least: Fraction) -> DataFrame:
-    """Of pairs (a, b), those of similarity `least` or more. texts: (e, text)."""
+def _matrix(cells) -> np.ndarray:
+    return np.frombuffer(b"".join(cells.to_pylist()), np.uint8).reshape(-1, CELLS)
 
-    def of(some: DataFrame) -> DataFrame:
-        asked = some.select(F.explode(F.array("a", "b")).alias("e")).distinct()
-        return texts.join(F.broadcast(asked) if 2 * some.count() <= SENT_IDS else asked, "e", "left_semi")
+
+def _counts(asked: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """(e, n, cells): sizes and counts of the sets of these texts. asked: e."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(t.as_py(), words) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("e"), pa.array([len(h) for h in sets], pa.int64()), pa.array([cells_of(h).tobytes() for h in sets], pa.binary())], names=["e", "n", "cells"])
+            for at in range(0, batch.num_rows, 1000):
+                some = batch.slice(at, 1000)
+                sets = [shingles(t.as_py(), words) for t in some.column("text")]
+                yield pa.RecordBatch.from_arrays([some.column("e"), pa.array([len(h) for h in sets], pa.int64()), pa.array([cells_of(h).tobytes() for h in sets], pa.binary())], names=["e", "n", "cells"])
+
+    return cut(texts.join(asked, "e", "left_semi").mapInArrow(count, "e long, n long, cells binary").dropDuplicates(["e"]))
+
+
+def _against_large(shown: DataFrame, members: DataFrame, counts: DataFrame, least: Fraction, nearest: bool) -> DataFrame:
+    """(a, b): shown texts with the members of a group that they may be similar to; of each block only the nearest, if asked.
+
+    shown: (e, large); members: (e, large). Both sides are dealt in blocks, so a task holds two.
+    """
+    many = lambda rows, name: rows.groupBy("large").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
+    dealt = many(members, "blocks").join(many(shown, "parts"), "large")
+    own = lambda c: F.pmod(F.xxhash64("e"), F.col(c)).cast("int")
+    each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    theirs = members.join(dealt, "large").select("e", "large", own("blocks").alias("block"), each("parts").alias("part"), F.lit(False).alias("asks"))
+    mine = shown.join(dealt, "large").select("e", "large", each("blocks").alias("block"), own("parts").alias("part"), F.lit(True).alias("asks"))
+    rows = mine.unionByName(theirs).join(counts, "e")
+
+    def compare(table: pa.Table) -> pa.Table:
+        asks, e, n = (table.column(k).to_numpy() for k in ("asks", "e", "n"))
+        cells, out = _matrix(table.column("cells")), []
+        other = np.flatnonzero(~asks)
+        for i in np.flatnonzero(asks) if len(other) else ():
+            near = other[in_a_chain(np.broadcast_to(cells[i], (len(other), CELLS)), np.broadcast_to(n[i], len(other)), cells[other], n[other], least)]
+            if nearest and len(near):
+                differ = np.abs(cells[near].astype(np.int16) - cells[i]).sum(1, dtype=np.int64)
+                near = near[[int((differ / (n[near] + n[i])).argmin())]]
+            out.append(np.stack([np.full(len(near), e[i]), e[near]]))
+        a, b = np.concatenate(out, 1) if out else np.zeros((2, 0), np.int64)
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    return cut(rows.groupBy("large", "block", "part").applyInArrow(compare, "a long, b long").distinct())
+
+
+def _similar(pairs: DataFrame, texts: DataFrame, words: int, least: Fraction) -> DataFrame:
+    """Of pairs (a, b), those of similarity `least` or more. texts: (e, text)."""
+
+    def ends(some: DataFrame) -> DataFrame:
+        asked = some.select(F.explode(F.array("a", "b")).alias("e")).distinct()
+        return F.broadcast(asked) if 2 * some.count() <= SENT_IDS else asked
 
     def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matrix = lambda c: np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, CELLS)
         for batch in batches:
             if batch.num_rows:
-                held = in_a_chain(matrix(batch.column("s")), batch.column("n").to_numpy(), matrix(batch.column("t")), batch.column("m").to_numpy(), least)
+                held = in_a_chain(_matrix(batch.column("s")), batch.column("n").to_numpy(), _matrix(batch.column("t")), batch.column("m").to_numpy(), least)
                 yield batch.select(["a", "b"]).filter(pa.array(held))
 
-    counts = cut(of(pairs).mapInArrow(count, "e long, n long, cells binary").dropDuplicates(["e"]))
+    counts = _counts(ends(pairs), texts, words)
     both = pairs.join(counts.select(F.col("e").alias("a"), "n", F.col("cells").alias("s")), "a").join(counts.select(F.col("e").alias("b"), F.col("n").alias("m"), F.col("cells").alias("t")), "b")
     near = cut(both.select("a", "b", "n", "m", "s", "t").mapInArrow(prune, "a long, b long"))
-    some = of(near).groupBy("e").agg(F.first("text").alias("text"))
+    some = texts.join(ends(near), "e", "left_semi").groupBy("e").agg(F.first("text").alias("text"))
     both = near.join(some.select(F.col("e").alias("a"), F.col("text").alias("s")), "a").join(some.select(F.col("e").alias("b"), F.col("text").alias("t")), "b")
 
     def decide(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -335,10 +381,37 @@ def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     near = _similar(stars, texts, words, least)
     joined = components(near).select(F.col("node").alias("e"), "component")
 
-    left = shared.drop("hub").join(joined, "e", "left").withColumn("c", F.coalesce("component", "e")).drop("component")
-    apart = left.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
-    left = cut(left.join(apart, "key", "left_semi").distinct())
+    def apart(joined: DataFrame) -> DataFrame:
+        """The shingles' texts (key, e, at, c) where they are of several groups."""
+        left = shared.drop("hub").join(joined, "e", "left").withColumn("c", F.coalesce("component", "e")).drop("component")
+        several = left.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
+        return cut(left.join(several, "key", "left_semi").distinct())
+
+    def shown(left: DataFrame, joined: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(e, large): texts that share a shingle with a large group that is not theirs, nor smaller than theirs; and all large groups' members."""
+        sizes = cut(joined.groupBy("component").agg(F.count("*").alias("size")).where(F.col("size") > LARGE))
+        own = left.join(sizes.withColumnRenamed("component", "c"), "c", "left").withColumn("size", F.coalesce("size", F.lit(1)))
+        large = own.where(F.col("size") > LARGE).select("key", F.col("c").alias("large"), F.col("size").alias("of")).distinct()
+        ask = own.join(large, "key").where((F.col("c") != F.col("large")) & (F.struct("size", "c") < F.struct(F.col("of").alias("size"), F.col("large").alias("c"))))
+        ask = cut(ask.select("e", "large").distinct())
+        members = joined.join(sizes.select("component"), "component", "left_semi").select("e", F.col("component").alias("large"))
+        return ask, cut(members)
+
+    left = apart(joined)
     free(spark)
+    for nearest in (True, False):
+        ask, inside = shown(left, joined)
+        if ask.isEmpty():
+            break
+        members = inside.join(ask.select("large").distinct(), "large", "left_semi")
+        counts = _counts(ask.select("e").unionByName(members.select("e")).distinct(), texts, words)
+        found = _similar(_against_large(ask, members, counts, least, nearest), texts, words, least)
+        near = cut(near.unionByName(found).distinct())
+        joined = components(near).select(F.col("node").alias("e"), "component")
+        left = apart(joined)
+        free(spark)
+    # the groups that were large when texts were last shown to them have been compared as a whole
+    left = cut(left.join(inside.select("e"), "e", "left_anti"))
     a = left.select("key", F.col("e").alias("a"), F.col("at").alias("ap"), F.col("c").alias("ac"))
     b = left.select("key", F.col("e").alias("b"), F.col("at").alias("bp"), F.col("c").alias("bc"))
     fits = possible(F.col("ap"), F.col("bp"))
