@@ -609,7 +609,12 @@ def extend_beats(spark, sf_dir):
     return harmony.extend_beats(beats, spans, ["user_id"], "t")
 
 
-@query("chord_symbols")
+@query("chord_symbols", """WITH o AS (SELECT o_orderkey, ['C', 'C#', 'Db', 'D', 'Eb', 'E', 'F', 'F#', 'Gb', 'G', 'Ab', 'A', 'Bb', 'B', 'Cb'][(o_orderkey % 15 + 1)::INTEGER] AS root, [':maj', ':m7', ':7', ''][(o_custkey % 4 + 1)::INTEGER] AS kind, (o_custkey % 15 - 7)::INTEGER AS key FROM orders),
+n AS (SELECT DISTINCT root, key, strpos('FCGDAEB', substr(root, 1, 1)) - 2 + 7 * CASE WHEN root LIKE '%#' THEN 1 WHEN root LIKE '_b' THEN -1 ELSE 0 END AS q, CASE WHEN root LIKE '%#' THEN 1 WHEN root LIKE '_b' THEN -1 ELSE 0 END AS sign FROM o),
+p AS (SELECT p, floor((p + 1) / 7.0)::INTEGER AS alter_, substr('FCGDAEB', ((p + 1) % 7 + 7) % 7 + 1, 1) || CASE floor((p + 1) / 7.0)::INTEGER WHEN -1 THEN 'b' WHEN 1 THEN '#' ELSE '' END AS name FROM (SELECT unnest(range(-8, 13)) AS p)),
+w AS (SELECT n.*, p.*, p BETWEEN key - 1 AND key + 5 AS own FROM n, p WHERE (p - q) % 12 = 0 AND (alter_ = 0 OR ((q * 7) % 12 + 12) % 12 NOT IN (0, 2, 4, 5, 7, 9, 11) OR p BETWEEN key - 1 AND key + 5)),
+s AS (SELECT root, key, name, row_number() OVER (PARTITION BY root, key ORDER BY CASE WHEN own THEN 0 WHEN alter_ = sign THEN 1 ELSE 2 END, CASE WHEN own OR alter_ = sign THEN p ELSE 0 END, abs(p - key - 2), -alter_, p) AS nth FROM w)
+SELECT o_orderkey, o.root || kind AS chord, o.key, s.name || CASE WHEN kind IN (':maj', '') THEN '' ELSE substr(kind, 2) END AS symbol FROM o LEFT JOIN s ON s.root = o.root AND s.key = o.key AND s.nth = 1""")
 def chord_symbols(spark, sf_dir):
     """Chords named by orders, spelt in the key of their status and priority."""
     root = F.element_at(F.array(*[F.lit(x) for x in ("C", "C#", "Db", "D", "Eb", "E", "F", "F#", "Gb", "G", "Ab", "A", "Bb", "B", "Cb")]), (F.pmod("o_orderkey", F.lit(15)) + 1).cast("int"))
