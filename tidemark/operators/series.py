@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import bisect
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ranks import running_in
+from .scans import handed_on
 
 
 def smooth(rows: DataFrame, keys: list[str], order: list[str], x: str, half: int, out: str) -> DataFrame:
@@ -91,25 +95,33 @@ def fold(rows: DataFrame, keys: list[str], order: list[str], columns: list[str],
     return g.select(*keys, F.aggregate(*args).alias(out))
 
 
-def tempo_segments(rows: DataFrame, keys: list[str], order: str, x: str, tolerance: float = 0.05) -> DataFrame:
-    """(keys, segment, first, n, value): stretches whose values stay within tolerance of the running median."""
-    def median(a: Column) -> Column:
-        s, n = F.array_sort(a), F.size(a)
-        return (F.get(s, F.floor((n - 1) / 2).cast("int")) + F.get(s, F.floor(n / 2).cast("int"))) / 2
-
-    empty = F.array().cast("array<array<double>>")
+def tempo_segments(rows: DataFrame, keys: list[str], order: str, x: str, tolerance: float = 0.05, size: int = 1 << 16) -> DataFrame:
+    """(keys, segment, first, n, value): stretches whose values stay within tolerance of the running median; values are above zero, places of a key differ.
 
-    def step(acc: Column, item: Column) -> Column:
-        now = F.element_at(acc, -1)
-        stays = F.abs(item[x] / median(now) - 1) <= tolerance
-        grown = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.concat(now, F.array(item[x]))))
-        return F.when(F.size(acc) == 0, F.array(F.array(item[x]))).when(stays, grown).otherwise(F.concat(acc, F.array(F.array(item[x]))))
+    A scan handed on along each key, whose state is the sorted values of the segment at hand.
+    """
 
-    cast = rows.withColumn(x, F.col(x).cast("double"))
-    g = fold(cast, keys, [order], [x], empty, step)
-    parts = g.select(*keys, F.posexplode("state").alias("segment", "xs"), "state")
-    first = F.aggregate(F.slice("state", 1, F.col("segment")), F.lit(0), lambda s, a: s + F.size(a))
-    return parts.select(*keys, "segment", first.alias("first"), F.size("xs").alias("n"), median(F.col("xs")).alias("value"))
+    def middle(held: list[float]) -> float:
+        return (held[(len(held) - 1) // 2] + held[len(held) // 2]) / 2
+
+    def step(part: pd.DataFrame, state: dict | None) -> tuple[pd.DataFrame, dict]:
+        segment, held = (-1, []) if state is None else (int(state["__segment"]), list(state["__held"]))
+        segments, medians = [], []
+        for v in part[x].astype(float):
+            if held and abs(v / middle(held) - 1) <= tolerance:
+                bisect.insort(held, v)
+            else:
+                segment, held = segment + 1, [v]
+            segments.append(segment)
+            medians.append(middle(held))
+        state = {"__segment": segment, "__held": held}
+        return pd.DataFrame({"__segment": segments, "__median": medians, "__held": [None] * (len(part) - 1) + [held]}), state
+
+    cast = rows.select(*keys, order, F.col(x).cast("double").alias(x))
+    each = handed_on(cast, keys, [order], step, ["__segment", "__held"], "__segment int, __median double, __held array<double>", size)
+    g = each.groupBy(*keys, F.col("__segment").alias("segment")).agg(F.count("*").cast("int").alias("n"), F.max_by("__median", order).alias("value"))
+    before = Window.partitionBy(*keys).orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
+    return g.select(*keys, "segment", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("int").alias("first"), "n", "value")
 
 
 def repedal(rows: DataFrame, keys: list[str], on: str, off: str) -> DataFrame:

@@ -317,7 +317,12 @@ def thin_evenly(spark, sf_dir):
     return series.thin(events(spark, sf_dir), ["user_id"], ["t", "event_id"], 20).select("event_id", "user_id")
 
 
-@query("tempo_segments")
+@query("tempo_segments", DAILY.replace("WITH ", "WITH RECURSIVE ", 1) + """,
+s AS (SELECT event_type, day, m, row_number() OVER (PARTITION BY event_type ORDER BY day) AS i FROM daily),
+r AS (SELECT event_type, i, 0 AS segment, [m] AS xs FROM s WHERE i = 1
+  UNION ALL SELECT s.event_type, s.i, CASE WHEN abs(s.m / list_aggregate(r.xs, 'median') - 1) <= 0.05::DOUBLE THEN r.segment ELSE r.segment + 1 END, CASE WHEN abs(s.m / list_aggregate(r.xs, 'median') - 1) <= 0.05::DOUBLE THEN list_append(r.xs, s.m) ELSE [s.m] END
+  FROM r JOIN s ON s.event_type = r.event_type AND s.i = r.i + 1)
+SELECT event_type, segment, (min(i) - 1)::INTEGER AS first, count(*)::INTEGER AS n, list_aggregate(arg_max(xs, i), 'median') AS value FROM r GROUP BY event_type, segment""")
 def tempo_segments(spark, sf_dir):
     return series.tempo_segments(_daily(spark, sf_dir).select("event_type", "day", "m"), ["event_type"], "day", "m")
 
