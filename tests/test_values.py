@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
@@ -31,13 +32,31 @@ def test_meter_and_ledgers(spark):
 
 
 def test_tempo_segments(spark):
-    def of(xs):
-        rows = spark.createDataFrame([("k", i, x) for i, x in enumerate(xs)], "k string, i int, x double")
-        got = series.tempo_segments(rows, ["k"], "i", "x").orderBy("segment").collect()
-        return [(r.first, r.first + r.n) for r in got]
-
-    assert of([135.0, 135.4, 134.7, 135.2, 133.9, 135.0]) == [(0, 6)]
-    assert of([100.0, 101.0, 99.0, 100.5, 150.0, 151.0, 149.0, 150.0, 300.0, 150.0]) == [(0, 4), (4, 8), (8, 9), (9, 10)]
+    """Against the rule, step by step, over random walks with jumps; whole keys and stretches of three rows give the same."""
+    r = random.Random(12)
+    walks = {}
+    for k in range(5):
+        x, walks[k] = 90.0, []
+        for _ in range(40):
+            x *= r.choice([0.7, 1.4]) if r.random() < 0.1 else r.uniform(0.975, 1.03)
+            walks[k].append(round(x, 3))
+
+    def rule(xs):
+        out = []
+        for x in xs:
+            if out and abs(x / statistics.median(out[-1]) - 1) <= 0.05:
+                out[-1].append(x)
+            else:
+                out.append([x])
+        return [(sum(map(len, out[:i])), len(s), statistics.median(s)) for i, s in enumerate(out)]
+
+    rows = spark.createDataFrame([(k, i, x) for k, xs in walks.items() for i, x in enumerate(xs)], "k int, i int, x double").repartition(3)
+    for size in (1 << 16, 3):
+        got = {k: [] for k in walks}
+        for x in series.tempo_segments(rows, ["k"], "i", "x", size=size).orderBy("k", "segment").collect():
+            got[x.k].append((x.first, x.n, x.value))
+        assert got == {k: rule(xs) for k, xs in walks.items()}
+    assert all(3 < len(g) < 40 for g in got.values())
 
 
 def test_viterbi_is_the_cheapest_path(spark):
