@@ -379,6 +379,7 @@ def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     stars = stars.withColumn("k", F.row_number().over(order)).where(F.col("k") <= HUBS)
     stars = cut(stars.select(F.least("e", "hub").alias("a"), F.greatest("e", "hub").alias("b")).distinct())
     near = _similar(stars, texts, words, least)
+    free(spark)
     joined = components(near).select(F.col("node").alias("e"), "component")
 
     def apart(joined: DataFrame) -> DataFrame:
@@ -407,6 +408,8 @@ def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         counts = _counts(ask.select("e").unionByName(members.select("e")).distinct(), texts, words)
         found = _similar(_against_large(ask, members, counts, least, nearest), texts, words, least)
         near = cut(near.unionByName(found).distinct())
+        del counts, found, left
+        free(spark)
         joined = components(near).select(F.col("node").alias("e"), "component")
         left = apart(joined)
         free(spark)
