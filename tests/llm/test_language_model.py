@@ -81,6 +81,33 @@ def test_seating_follows_the_posterior(others, parent, d):
         assert abs(walked[t] / 4000 - p) < 4 * math.sqrt(p / 4000) + 1e-3
 
 
+@pytest.mark.parametrize("c, others, parent, d", [(65, 0, 1e-9, 0.8), (100, 5, 0.1, 0.3), (300, 400, 0.3, 0.95), (700, 50_000, 1e-3, 0.6), (700, 10**6, 0.5, 0.5)])
+def test_crowds_follow_the_posterior(c, others, parent, d):
+    t, n = np.arange(1, c + 1), 4000
+    log = m.stirling(d, c)[c, 1:]
+    whole = m.log_stirling(np.full(c, float(c)), t.astype(float), d) - m._lgamma(t.astype(float)) + math.lgamma(c + 1)
+    assert np.abs(whole - log).max() < 1e-6
+    w = log + np.cumsum(np.log(m.STRENGTH + d * (others + t - 1))) + t * np.log(parent)
+    w = np.exp(w - w.max()) / np.exp(w - w.max()).sum()
+    same = lambda x: np.full(n, x)
+    drawn = np.bincount(m.at_once(same(c), same(others), same(parent), d, np.random.default_rng(8)), minlength=c + 1)[1:] / n
+    assert np.abs(np.cumsum(drawn) - np.cumsum(w)).max() < 2 / math.sqrt(n)
+
+
+def test_a_sweep_seats_everyone():
+    """5,000 customers at few tables sit at as many as their new parent asks for after one sweep, however they sat before."""
+    n, c, d = 200, 5000, 0.5
+    same = lambda x: np.full(n, x)
+    rng = np.random.default_rng(4)
+    level = m.Level(same(1)).sample(same(c), same(1001), same(1e-9), d, rng)
+    assert level.tables.max() == 1
+    level = level.sample(same(c), level.tables + 1000, same(0.5), d, rng)
+    t = np.arange(1, c + 1)
+    w = m.log_stirling(np.full(c, float(c)), t.astype(float), d) - m._lgamma(t.astype(float)) + np.cumsum(np.log(m.STRENGTH + d * (999 + t))) + t * np.log(0.5)
+    w = np.exp(w - w.max()) / np.exp(w - w.max()).sum()
+    assert level.tables.mean() == pytest.approx((w * t).sum(), rel=0.01)
+
+
 def test_customers_come_and_go():
     rng = np.random.default_rng(9)
     want = np.array([300, 80, 100])

@@ -8,14 +8,12 @@ without context, over uniform bytes. Tables of a restaurant are customers of its
 parent, but for spelling, which is fitted to the vocabulary and stays.
 
 Seating is sampled by Gibbs sweeps, dish by dish, each given the tables of all
-other dishes. Up to ``BLOCK`` customers of a dish get up together, and their number
-of tables is drawn from its exact distribution given all others (generalised
-Stirling numbers). Where more sit, their tables are kept one by one, and
-``MOVES`` of them, chosen at random, get up and sit down again one at a time: an
-existing table in proportion to its customers less the discount, or a new one. (A
-dish begins, and begins again where over ``CHANGE`` have come or gone since the
-last sweep, with tables opened at the process's rates in growing parties.) A
-sweep sees the other buckets' tables, and each level's parent, as they stood
+other dishes. In every sweep all customers of a dish get up together, however
+many they are, and their number of tables is drawn from its distribution given
+all others, over generalised Stirling numbers: from a table of those for up to
+``BLOCK`` customers (``together``), and beyond from their integral along a contour
+(``at_once``). How many sit at which table follows from the number and is needed
+nowhere. A sweep sees the other buckets' tables, and each level's parent, as they stood
 before it, which is what lets restaurants run in parallel. After ``BURN_IN``
 sweeps, the predictive probabilities of ``SAMPLES`` sweeps are averaged.
 
@@ -28,7 +26,7 @@ commonest word grows with the contexts that the word has in all blocks. After a
 their tables by context to that context's range, where they are summed, and get
 the totals back; the totals of 65,536 endings and of spellings, bounded by the
 alphabet, go by way of the driver. Every sweep's seating is checkpointed and its
-randomness seeded; what earlier sweeps left on disk is freed. Contexts are told
+randomness seeded; what earlier sweeps and the sums left on disk is freed. Contexts are told
 apart by 48 bits of hash and their ending. Answers go back to the blocks.
 
 Defined cases: null text counts as empty and is the end token alone; a null id is
@@ -59,7 +57,9 @@ FOLDS = 10
 BURN_IN, SAMPLES = 1, 2
 STRENGTH = 1.0
 SPELL_DISCOUNT = 0.5
-BLOCK, MOVES, CHANGE = 64, 32, 1024
+BLOCK = 64
+#: Of at_once: places along a contour, and numbers of tables to which the rest of a dish's are interpolated.
+PLACES, NODES = 48, 12
 #: Text of a block of documents, in characters; a longer document is a block of its own.
 BLOCK_CHARS = 12_000_000
 #: Text for each bucket of words, in characters, where the partitions of a shuffle are fewer.
@@ -201,6 +201,115 @@ def together(customers: np.ndarray, others: np.ndarray, parent: np.ndarray, disc
     return out
 
 
+def _lgamma(x: np.ndarray) -> np.ndarray:
+    """log Gamma of numbers above 0."""
+    y, low = np.where(x < 10, x + 10, x), np.minimum(x, 10)
+    below = np.where(x < 10, sum(np.log(low + k) for k in range(10)), 0.0)
+    return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + (1 / 12 - (1 / 360 - 1 / (1260 * y * y)) / (y * y)) / y - below
+
+
+def _saddle(x: np.ndarray, c: np.ndarray, d: float) -> np.ndarray:
+    """The logarithm of the number of tables for which exp(x) = 1 - z is the saddle of log_stirling's integrand."""
+    return np.log(c / d) + np.log(-np.expm1(d * x)) + (1 - d) * x - np.log(-np.expm1(x))
+
+
+def _halved(below, shape: tuple, times: int) -> np.ndarray:
+    """Where on (-700, 0) `below` of a point ceases to hold."""
+    low, high = np.full(shape, -700.0), np.full(shape, -1e-12)
+    for _ in range(times):
+        middle = (low + high) / 2
+        under = below(middle)
+        low, high = np.where(under, middle, low), np.where(under, high, middle)
+    return (low + high) / 2
+
+
+def log_stirling(c: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
+    """log(S(c, t) * Gamma(t) / c!) of generalised Stirling numbers S of discount d, for real t from 1 to c.
+
+    S(c, t) is c! / t! times the coefficient of z**c in ((1 - (1 - z)**d) / d)**t: an integral over w = log z, along a
+    parabola about the cut from w = 0 on, which passes near the saddle; along a line where that lies far from the cut.
+    """
+    with np.errstate(all="ignore"):
+        e = np.exp(_halved(lambda x: _saddle(x, c, d) < np.log(t), c.shape, 36))
+        mu = np.maximum(-np.log1p(-np.minimum(e, 1 - 1e-15)), 4 / c)
+        z, q = np.exp(-mu), -np.expm1(-mu)
+        g = -np.expm1(d * np.log(q))
+        mean = d * z * q ** (d - 1) / g
+        width = np.sqrt(np.maximum(t * (mean * (1 + z * (1 - d) / q) - mean * mean), 1e-3))
+        k = (np.arange(PLACES) + 0.5) / PLACES
+        upright, up = (mu > 1)[:, None], np.minimum(np.pi, 11 / width)[:, None]
+        out = np.minimum(6.5 / np.sqrt((c - d * t) * mu), 11 / (2 * mu * width))[:, None]
+        turn = 1 - 1j * out * k
+        w = np.where(upright, -mu[:, None] + 1j * up * k, -mu[:, None] * turn**2)
+        step = np.where(upright, 1j * up, 2j * mu[:, None] * out * turn) / PLACES
+        base = t * np.log(g / d) + c * mu
+        rest = t[:, None] * np.log(-np.expm1(d * np.log(-np.expm1(w))) / d) - c[:, None] * w - base[:, None]
+        total = base + np.log((np.exp(rest) * step).imag.sum(1) / np.pi) - np.log(t)
+    return np.where(t >= c, -np.log(c), total)
+
+
+def _stretch(customers: np.ndarray, others: np.ndarray, parent: np.ndarray, d: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(low, high, log_stirling at NODES numbers of tables from low to high) of each dish; what lies outside has no weight that a double shows."""
+    c, more, p = customers.astype(float), STRENGTH / d + others, np.log(parent)
+
+    def slope(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(tables, what the log weight rises by with one more)"""
+        t = _saddle(x, c, d)
+        return np.exp(t), np.log(-np.expm1(d * x)) + p + np.log(more + np.exp(t)) - t
+
+    with np.errstate(all="ignore"):
+        x = _halved(lambda x: slope(x)[1] > 0, c.shape, 48)
+        (t, a), (u, b) = slope(x), slope(x * (1 + 1e-4))
+        spread = np.nan_to_num(np.sqrt(np.abs((u - t) / (b - a))), nan=1.0)
+        reach = 10 * spread + 12
+    low, high = np.maximum(1, np.floor(t - reach)), np.minimum(c, np.ceil(t + reach))
+    at = low[:, None] + (high - low)[:, None] * (1 - np.cos(np.pi * np.arange(NODES) / (NODES - 1))) / 2
+    return low, high, log_stirling(np.repeat(c, NODES), at.ravel(), d).reshape(at.shape)
+
+
+def at_once(customers: np.ndarray, others: np.ndarray, parent: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
+    """Numbers of tables, as `together` draws them, of dishes with more customers.
+
+    The Stirling numbers' logarithms, without what bends them at the ends, are a smooth function of the tables,
+    interpolated between NODES of them.
+    """
+    out, d = np.ones(len(customers), np.int64), discount
+    node = -np.cos(np.pi * np.arange(NODES) / (NODES - 1))
+    share = (-1.0) ** np.arange(NODES)
+    share[[0, -1]] /= 2
+    for rows in np.split(np.arange(len(customers)), np.arange(256, len(customers), 256)) if len(customers) else ():
+        low, high, log = _stretch(customers[rows], others[rows], parent[rows], d)
+        near = (4 * high > customers[rows]).astype(float)  # the other end, where as many tables as customers are
+        ends = lambda c, t, near: near * _lgamma(np.where(near > 0, np.maximum(c - t, 0), 0.0) + 1)
+        # only whole numbers of tables mean anything where almost everyone sits alone
+        single = (high > customers[rows] - 20) & (high - low <= 400)
+        log = log + ends(customers[rows][:, None], low[:, None] + (high - low)[:, None] * (1 + node) / 2, near[:, None])
+        many = (high - low).astype(np.int64) + 1
+        order = np.argsort(many, kind="stable")
+        for part in np.split(order, np.flatnonzero(np.diff(np.cumsum(many[order]) // 100_000)) + 1):
+            t = low[part, None] + np.arange(many[part].max())
+            x = 2 * (t - low[part, None]) / np.maximum(high - low, 1)[part, None] - 1
+            up, down = np.zeros(t.shape), np.zeros(t.shape)
+            hit = np.full(t.shape, -1)
+            for k in range(NODES):
+                away = x - node[k]
+                hit = np.where(np.abs(away) < 1e-13, k, hit)
+                away = share[k] / np.where(away == 0, 1.0, away)
+                up, down = up + away * log[part, k, None], down + away
+            weight = np.where(hit >= 0, np.take_along_axis(log[part], np.maximum(hit, 0), 1), up / np.where((hit >= 0) | (t > high[part, None]), 1.0, down))
+            if len(each := np.flatnonzero(single[part])):
+                own = np.minimum(t[each], customers[rows][part[each], None]).astype(float)
+                own_c = np.broadcast_to(customers[rows][part[each], None].astype(float), own.shape)
+                weight[each] = log_stirling(own_c.ravel(), own.ravel(), d).reshape(own.shape) + ends(own_c, own, near[part[each], None])
+            more = STRENGTH / d + others[rows][part, None]
+            weight = weight - ends(customers[rows][part, None], t, near[part, None]) - _lgamma(t) + _lgamma(more + t) + t * (np.log(d) + np.log(parent[rows][part, None]))
+            weight = np.where(t <= high[part, None], weight, -np.inf)
+            weight = np.cumsum(np.exp(weight - weight.max(1, keepdims=True)), axis=1)
+            found = (weight < rng.random(len(part))[:, None] * weight[:, -1:]).sum(1)
+            out[rows[part]] = low[part].astype(np.int64) + found
+    return out
+
+
 def first_tables(customers: np.ndarray, others: np.ndarray, parent: np.ndarray, discount: float, rng: np.random.Generator) -> list[np.ndarray]:
     """A seating to begin with for each dish of more than BLOCK customers: tables open as they would, in parties that grow; the sizes are even."""
     tables, seated = np.ones(len(customers)), np.ones(len(customers))
@@ -212,10 +321,11 @@ def first_tables(customers: np.ndarray, others: np.ndarray, parent: np.ndarray,
     return [c // t + (np.arange(t) < c % t) for c, t in zip(customers.tolist(), tables.astype(np.int64).tolist())]
 
 
-def one_by_one(sizes: list[np.ndarray], customers: np.ndarray, others: np.ndarray, parent: np.ndarray, discount: float, rng: np.random.Generator, moves: int = MOVES) -> list[np.ndarray]:
-    """Sizes of the tables of each dish after some customers have come or gone, so that there are `customers` of them, and `moves` have sat down anew."""
+def one_by_one(sizes: list[np.ndarray], customers: np.ndarray, others: np.ndarray, parent: np.ndarray, discount: float, rng: np.random.Generator, moves: int | None = None) -> list[np.ndarray]:
+    """The same walk as at_once and together draw the end of, customer by customer: sizes of the tables of each dish after some have come or gone, so that there are `customers` of them, and `moves` have sat down anew, as many as sit at the fullest dish unless told. Tests compare."""
     if not sizes:
         return []
+    moves = int(customers.max()) if moves is None else moves
     change = customers - np.array([s.sum() for s in sizes])
     spare = moves + np.maximum(change, 0)
     width = np.array([len(s) for s in sizes]) + spare
@@ -266,36 +376,20 @@ def one_by_one(sizes: list[np.ndarray], customers: np.ndarray, others: np.ndarra
 
 
 class Level:
-    """The dishes of one level of restaurants: their numbers of tables, and for crowded ones the tables themselves."""
+    """The dishes of one level of restaurants: their numbers of tables."""
 
-    def __init__(self, tables: np.ndarray, crowded: dict[int, np.ndarray] | None = None):
-        self.tables, self.crowded = tables, crowded or {}
+    def __init__(self, tables: np.ndarray):
+        self.tables = tables
 
     def sample(self, customers: np.ndarray, total: np.ndarray, parent: np.ndarray, discount: float, rng: np.random.Generator) -> Level:
-        """A new seating. total: tables of each dish's restaurant before the sweep, its own included."""
+        """A new seating of all customers. total: tables of each dish's restaurant before the sweep, its own included."""
         others = np.maximum(total - self.tables, 0)
         out = np.zeros(len(customers), np.int64)
         few = np.flatnonzero((customers > 0) & (customers <= BLOCK))
         out[few] = together(customers[few], others[few], parent[few], discount, rng)
         many = np.flatnonzero(customers > BLOCK)
-        stay = [k in self.crowded and abs(int(self.crowded[k].sum()) - n) <= CHANGE for k, n in zip(many.tolist(), customers[many].tolist())]
-        new = many[~np.array(stay, bool)]
-        begun = dict(zip(new.tolist(), first_tables(customers[new], others[new], parent[new], discount, rng)))
-        sizes = one_by_one([begun[k] if k in begun else self.crowded[k] for k in many.tolist()], customers[many], others[many], parent[many], discount, rng)
-        out[many] = [len(s) for s in sizes]
-        return Level(out, dict(zip(many.tolist(), sizes)))
-
-    def parts(self) -> list:
-        rows = sorted(self.crowded)
-        sizes = [self.crowded[k] for k in rows]
-        return [self.tables.astype(np.uint32), np.array(rows, np.uint32), np.array([len(s) for s in sizes], np.uint32), np.concatenate([*sizes, np.zeros(0, np.int64)]).astype(np.uint32)]
-
-    KINDS = (np.uint32,) * 4
-
-    @staticmethod
-    def of(tables, rows, width, sizes) -> Level:
-        each = np.split(sizes.astype(np.int64), np.cumsum(width.astype(np.int64))[:-1]) if len(rows) else []
-        return Level(tables.astype(np.int64), dict(zip(rows.tolist(), each)))
+        out[many] = at_once(customers[many], others[many], parent[many], discount, rng)
+        return Level(out)
 
 
 # ---- spelling -----------------------------------------------------------------------------------------------
@@ -384,12 +478,12 @@ class Bucket:
         return Bucket(words.split(b"\n") if len(count) else [], contexts, pair // len(contexts), pair % len(contexts), count.astype(np.int64))
 
     def take(self, state: bytes) -> None:
-        seated, *parts = _unpack(state, np.uint32, *Level.KINDS * 3)
+        seated, *tables = _unpack(state, *(np.uint32,) * 4)
         self.seated = seated.astype(np.int64)
-        self.levels = [Level.of(*parts[k : k + 4]) for k in (0, 4, 8)]
+        self.levels = [Level(t.astype(np.int64)) for t in tables]
 
     def state(self) -> bytes:
-        return _pack(self.seated.astype(np.uint32), *[x for level in self.levels for x in level.parts()])
+        return _pack(self.seated.astype(np.uint32), *[level.tables.astype(np.uint32) for level in self.levels])
 
     def customers(self) -> tuple[np.ndarray, np.ndarray]:
         """Of the endings' restaurants and of the word restaurant, by dish."""
@@ -514,12 +608,15 @@ class Sampler:
         rows = cut(requests.groupBy("bucket").applyInPandas(begin, _ROWS))
         free(self.spark)
         # dealt once; a lost part comes back from the checkpoint
-        self.fixed = rows.where("kind = 'fixed'").repartition(buckets, "bucket").persist()
+        self.fixed = cut(rows.where("kind = 'fixed'")).repartition(buckets, "bucket").persist()
         self.totals: dict = {}
         self._after(rows, 2)
+        del rows
+        free(self.spark)
 
     def _after(self, rows: DataFrame, kinds: int) -> None:
-        self.state, self.kinds = rows.where("kind = 'state'"), kinds
+        # each is written by itself, so that the parts of the sums can go
+        self.state, self.kinds = cut(rows.where("kind = 'state'")), kinds
         self.tables = cut(rows.where("kind = 'tables'").groupBy("part").applyInPandas(_total(kinds), _ROWS))
         add = lambda frame: _frame([(0, "sums", 0, _pack(*_added(frame["data"])))])
         some = rows.where("kind = 'sums'").groupBy(F.pmod("bucket", F.lit(32)).alias("some")).applyInPandas(add, _ROWS)
@@ -544,28 +641,29 @@ class Sampler:
         rows = cut(self.fixed.groupBy("bucket").cogroup(self.state.unionByName(self.tables).groupBy("bucket")).applyInPandas(run, _ROWS))
         self.sweeps += 1
         self._after(rows, 1)
+        del rows
         free(self.spark)
 
 
-def _answers(fixed: bytes, samples: list[tuple], requests: list) -> list[bytes]:
-    """For each request: the training count of its words, and the averaged log10 P(word | context) of its pairs. samples: (state, tables, totals)."""
+def _answers(fixed: bytes, samples: list[tuple], requests: Iterator[bytes]) -> Iterator[bytes]:
+    """For each request, one after the other: the training count of its words, and the averaged log10 P(word | context) of its pairs. samples: (state, tables, totals)."""
     bucket = Bucket.of(fixed)
     place = {w: i for i, w in enumerate(bucket.words)}
     count_of = np.append(np.bincount(bucket.word, bucket.count, len(bucket.words)), 0).astype(np.uint32)
-    asked, sums = [], []
-    spelling = samples[0][2]["spelling"]
-    for words, of_word, own, context, _ in requests:
-        at = np.array([place.get(w, -1) for w in words], np.int64)
-        of, context = np.repeat(np.arange(len(words)), of_word), np.searchsorted(bucket.contexts, own)[context]
-        name = bucket.contexts[context]
-        asked.append((at, at[of], context, bucket.places(at[of], name, context), spelling.of(*_codes(words))[of]))
-        sums.append(np.zeros(len(of)))
+    spelling, chains = samples[0][2]["spelling"], []
     for state, tables, totals in samples:
         bucket.take(state)
-        parents = bucket.parents(totals)
-        for total, (_, word, context, places, spelt) in zip(sums, asked):
-            total += bucket.predict(word, context, places, tables, totals, parents, spelt)
-    return [_pack(count_of[at], np.log10(total / len(samples))) for total, (at, *_) in zip(sums, asked)]
+        chains.append((bucket.levels, bucket.seated, tables, totals, bucket.parents(totals)))
+    for request in requests:
+        words, of_word, own, context, _ = _request(request)
+        at = np.array([place.get(w, -1) for w in words], np.int64)
+        of, context = np.repeat(np.arange(len(words)), of_word), np.searchsorted(bucket.contexts, own)[context]
+        places, spelt = bucket.places(at[of], bucket.contexts[context], context), spelling.of(*_codes(words))[of]
+        total = np.zeros(len(of))
+        for levels, seated, tables, totals, parents in chains:
+            bucket.levels, bucket.seated = levels, seated
+            total += bucket.predict(at[of], context, places, tables, totals, parents, spelt)
+        yield _pack(count_of[at], np.log10(total / len(samples)))
 
 
 def hpy_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = FOLDS, burn_in: int = BURN_IN, samples: int = SAMPLES, seed: int = 3) -> DataFrame:
@@ -592,7 +690,7 @@ def hpy_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         kind = frame["kind"]
         one = lambda name: frame["data"][kind == name].iloc[0]
         chains = [(one(f"state{k}"), _totals_of(frame[kind == f"total{k}"], 1)[0], t) for k, t in enumerate(told.value)]
-        return pd.DataFrame({"block": own["block"], "bucket": own["bucket"], "data": _answers(one("fixed"), chains, [_request(d) for d in own["data"]])})
+        return pd.DataFrame({"block": own["block"], "bucket": own["bucket"], "data": list(_answers(one("fixed"), chains, own["data"]))})
 
     def combine(own: pd.DataFrame, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("bucket")
