@@ -57,7 +57,7 @@ FOLDS = 10
 BURN_IN, SAMPLES = 1, 2
 STRENGTH = 1.0
 SPELL_DISCOUNT = 0.5
-BLOCK = 64
+BLOCK = 512
 #: Of at_once: places along a contour, and numbers of tables to which the rest of a dish's are interpolated.
 PLACES, NODES = 48, 12
 #: Text of a block of documents, in characters; a longer document is a block of its own.
@@ -190,9 +190,10 @@ def together(customers: np.ndarray, others: np.ndarray, parent: np.ndarray, disc
     """
     out = np.ones(len(customers), np.int64)
     log = stirling(discount)
-    for c in np.unique(customers[customers > 1]).tolist():
-        rows = np.flatnonzero(customers == c)
-        for part in np.array_split(rows, 1 + len(rows) * c // 4_000_000):
+    order = np.argsort(customers, kind="stable")
+    for rows in np.split(order, np.flatnonzero(np.diff(customers[order])) + 1):
+        c = int(customers[rows[0]]) if len(rows) else 1
+        for part in np.array_split(rows, 1 + len(rows) * c // 1_000_000) if c > 1 else ():
             t = np.arange(c)
             opened = np.cumsum(np.log(STRENGTH + discount * (others[part, None] + t)), axis=1) + (t + 1) * np.log(parent[part, None])
             weight = log[c, 1 : c + 1] + opened
