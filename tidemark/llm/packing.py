@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import cut
+from .base import cut, small_batches
 
 END = 0
 BLOCKS = 512
@@ -163,7 +163,8 @@ def plan(hist: dict[int, int], window: int) -> list[tuple[int, tuple[int, ...]]]
 def pack(docs: DataFrame, window: int = 1024, id_col: str = "doc_id", text_col: str = "text", ranks_path: str | None = None, json_path: str | None = None) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     spark = docs.sparkSession
-    pieces = cut(cut_documents(docs, window, id_col, text_col, ranks_path, json_path))
+    with small_batches(spark):
+        pieces = cut(cut_documents(docs, window, id_col, text_col, ranks_path, json_path))
     pieces = pieces.withColumn("block", F.pmod(F.xxhash64("doc_id", "start"), F.lit(BLOCKS)).cast("int"))
     cells = cut(pieces.groupBy("length", "block").agg(F.count("*").alias("n")))
     hist = {r.length: r.n for r in cells.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # a row per length

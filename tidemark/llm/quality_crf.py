@@ -188,6 +188,8 @@ def score(docs: DataFrame, model, text_col: str = "text", score_col: str = "scor
     def of(texts: pd.Series) -> pd.Series:
         if weights is None:
             return pd.Series(np.full(len(texts), step))
-        return pd.Series(document_scores(texts.tolist(), weights, step))
+        # features of a part at a time, as those of a whole batch take a worker more than its texts
+        parts = [document_scores(texts.iloc[at : at + 500].tolist(), weights, step) for at in range(0, len(texts), 500)]
+        return pd.Series(np.concatenate(parts) if parts else np.zeros(0))
 
     return docs.withColumn(score_col, of(F.col(text_col)))

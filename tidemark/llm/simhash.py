@@ -325,6 +325,11 @@ def _named(docs: DataFrame, id_col: str, text_col: str, bits: int) -> DataFrame:
 
 def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: Fraction = LEAST, bits: int = 64) -> DataFrame:
     """One row per row of docs: doc_id, component_id. bits: width of the names that texts get at first."""
+    with small_batches(docs.sparkSession, 500):
+        return _near_texts(docs, id_col, text_col, words, least, bits)
+
+
+def _near_texts(docs: DataFrame, id_col: str, text_col: str, words: int, least: Fraction, bits: int) -> DataFrame:
     spark = docs.sparkSession
     rows = _named(docs, id_col, text_col, bits)
     texts = rows.select("e", "text")
