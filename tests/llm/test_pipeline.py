@@ -132,3 +132,14 @@ def test_near_dedup_is_jaccard(spark, sf_dir):
     want = {i for i in range(len(lines)) if find(i) == i}
     assert len(want) < len(lines) - 60
     assert {x.doc_id for x in p.near_dedup(spark, docs(spark, rows).repartition(5), sf_dir).collect()} == want
+
+
+def test_batches_are_small_for_a_while(spark):
+    from tidemark.llm.base import small_batches
+
+    name, d = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.range(0, 5000, 1, 1)
+    sizes = lambda: [r.n for r in d.mapInPandas(lambda frames: (f.iloc[:1].assign(n=len(f))[["n"]] for f in frames), "n long").collect()]
+    before = spark.conf.get(name)
+    with small_batches(spark, 500):
+        assert max(sizes()) == 500
+    assert spark.conf.get(name) == before

@@ -56,7 +56,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import components, cut, free
+from .base import components, cut, free, small_batches
 
 #: (low bit, bits) of each segment of the ring.
 RING = ((0, 21), (21, 21), (42, 22))
