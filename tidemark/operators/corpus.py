@@ -2,8 +2,16 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .ranks import global_rank
 
@@ -47,33 +55,80 @@ def ngrams(rows: DataFrame, keys: list[str], text: str, n: int) -> DataFrame:
     )
 
 
-def _gram_hashes(rows: DataFrame, key: str, text: str, n: int) -> DataFrame:
-    """(key, hash): the distinct hashes of the n-grams of words of each text."""
-    words = F.filter(F.split(F.lower(text), r"[^a-z0-9à-ÿß]+"), lambda w: w != "")
-    words = F.transform(words, lambda w: F.xxhash64(w))
-    hashes = F.transform(F.sequence(F.lit(0), F.size("__w") - n), lambda i: F.xxhash64(*[F.get("__w", i + k) for k in range(n)]))
-    return rows.select(key, words.alias("__w")).where(F.size("__w") >= n).select(key, F.explode(F.array_distinct(hashes)).alias("hash"))
+_WORD = re.compile("[a-z0-9à-ÿß]+")
+_ODD = [int(x) | 1 for x in np.random.default_rng(5).integers(0, 1 << 64, 64, dtype=np.uint64)]
+
+
+def _hashes_of(words: list[str], n: int, known: dict[str, int]) -> np.ndarray:
+    """The sorted distinct hashes of the n-grams of at least n words. known: hashes of words so far."""
+    w = np.fromiter((known.get(x) or known.setdefault(x, xxhash.xxh64_intdigest(x)) for x in words), np.uint64, len(words))
+    h = np.zeros(len(w) - n + 1, np.uint64)
+    for j in range(n):
+        h = (h + w[j : j + len(h)]) * np.uint64(_ODD[j % len(_ODD)])
+        h ^= h >> np.uint64(29)
+    return np.unique(h.view(np.int64))
+
+
+def _gram_hashes(rows: DataFrame, key: str, text: str, n: int, asked: Broadcast | None = None) -> DataFrame:
+    """(key, hash): the distinct hashes of the n-grams of words of each text; of `asked`, a sorted array, only."""
+    kind = StructType([StructField(key, rows.schema[key].dataType), StructField("hash", LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
+        for batch in batches:
+            for start in range(0, batch.num_rows, 500):
+                some, at, found = batch.slice(start, 500), [], []
+                for i, t in enumerate(some.column(1)):
+                    words = _WORD.findall(t.as_py().decode("utf-8", "replace")) if t.is_valid else []
+                    if len(words) < n:
+                        continue
+                    h = _hashes_of(words, n, known)
+                    if asked is not None:
+                        h = h[_among(h, asked.value)]
+                    at.append(np.full(len(h), i, np.int64))
+                    found.append(h)
+                    if len(known) > 100_000:
+                        known.clear()
+                at, found = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (at, found))
+                yield pa.RecordBatch.from_arrays([some.column(0).take(pa.array(at)), pa.array(found)], names=[key, "hash"])
+
+    return rows.select(key, F.lower(text).cast("binary").alias("__text")).mapInArrow(run, kind)
+
+
+def _among(x: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """Whether each of x is in the sorted array."""
+    if not len(ordered):
+        return np.zeros(len(x), bool)
+    return ordered[np.minimum(np.searchsorted(ordered, x), len(ordered) - 1)] == x
 
 
 def containment_of(queries: DataFrame, corpus: DataFrame, query_id: str, corpus_id: str, text: str, n: int, threshold: float) -> DataFrame:
     """(query_id, corpus_id, shared, containment): shares of the distinct n-grams of queries found in texts of a corpus.
 
     Grams are first compared by their hashes, which can only find too much: a text whose hashes are too few for every
-    query is left out. Grams of the others are then spelt and counted.
+    query is left out. Grams of the others are then spelt and counted. Up to ``BROADCAST_GRAMS`` hashes of queries go to
+    the corpus, of whose hashes only those that are asked for leave their task.
     """
     asked = _gram_hashes(queries, query_id, text, n)
     spelt = ngrams(queries, [query_id], text, n)
     size = asked.groupBy(query_id).agg(F.count("*").alias("__hashes")).join(spelt.groupBy(query_id).agg(F.count("*").alias("__size")), query_id)
-    few = asked.limit(BROADCAST_GRAMS + 1).count() <= BROADCAST_GRAMS
-    found = _gram_hashes(corpus, corpus_id, text, n).join(F.broadcast(asked) if few else asked, "hash").groupBy(query_id, corpus_id).agg(F.count("*").alias("__n"))
+    some = asked.select("hash").limit(BROADCAST_GRAMS + 1).toArrow().column("hash").to_numpy()
+    few = len(some) <= BROADCAST_GRAMS
+    sent = queries.sparkSession.sparkContext.broadcast(np.unique(some)) if few else None
+    found = _gram_hashes(corpus, corpus_id, text, n, sent).join(F.broadcast(asked) if few else asked, "hash").groupBy(query_id, corpus_id).agg(F.count("*").alias("__n"))
     # grams of a query that share a hash count once, so as many may be missing
     enough = F.col("__n") + F.col("__size") - F.col("__hashes") >= threshold * F.col("__size")
     maybe = found.join(size, query_id).where(enough).select(corpus_id).distinct()
-    some = corpus.join(maybe, corpus_id, "left_semi")
+    ids = maybe.limit(BROADCAST_GRAMS + 1).toArrow()
+    if ids.num_rows <= BROADCAST_GRAMS:
+        maybe = F.broadcast(queries.sparkSession.createDataFrame(ids, maybe.schema))
+    # as it is: else the condition on a text's words would be pushed below the join, and every text split
+    some = corpus.select(corpus_id, text).join(maybe, corpus_id, "left_semi")
+    some = some.mapInArrow(lambda batches: batches, some.schema)
     return containment(spelt, ngrams(some, [corpus_id], text, n), query_id, corpus_id, threshold)
 
 
-#: Grams of queries that may be broadcast.
+#: Grams of queries, and ids of texts, that may be broadcast.
 BROADCAST_GRAMS = 200_000
 
 
