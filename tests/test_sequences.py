@@ -36,3 +36,15 @@ def test_first_violation(spark):
     df = spark.createDataFrame([("s", p, x) for p, x in rows], "song string, patch long, tokens array<long>")
     got = {r.patch: r.violation for r in sequences.first_violation(df, ["song"], 100).collect()}
     assert got == {0: None, 1: "time does not rise", 2: "note without its values", 3: "no end"}
+
+
+def test_detokenise_reads_odd_patches_and_sorts_nothing(spark):
+    o = sequences.offsets(48)
+    time, up, note = o["time"] + 5, o["kind"], o["kind"] + 2
+    three = [o["pitch"] + 60, o["duration"] + 7, o["velocity"] + 9]
+    rows = [("a", 2, [time, note, *three, up, sequences.END_OF_PATCH]), (None, 0, [time, None, up]), ("b", 1, [note, *three]), ("c", 3, [time, note, three[0]]), ("c", 4, three), ("d", 0, []), ("e", 0, None), ("f", None, [time, up])]
+    found = sequences.detokenise(spark.createDataFrame(rows, "k string, patch int, tokens array<bigint>").coalesce(1), ["k"], 48)
+    want = [("a", 101, 2, 60, 7, 9), ("a", 101, 0, 0, 0, 0), (None, 5, 0, 0, 0, 0), ("b", None, 2, 60, 7, 9), ("c", 149, 2, 60, None, None), ("f", None, 0, 0, 0, 0)]
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(want, key=str)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Sort" not in plan and "Window" not in plan and "Exchange" not in plan

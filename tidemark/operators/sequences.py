@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from .ranks import rank_in
 from .scans import handed_on
@@ -45,16 +50,41 @@ def tokenise(rows: DataFrame, keys: list[str], width: int, limit: int | None = N
 
 
 def detokenise(patches: DataFrame, keys: list[str], width: int) -> DataFrame:
-    """Events from (keys, patch, tokens): what tokenise was given, in order of onset, kind and pitch."""
+    """Events from (keys, patch, tokens): what tokenise was given, in order of onset, kind and pitch.
+
+    A patch is read where it lies, some hundred at once: its tokens never become rows to be sorted.
+    """
     o = offsets(width)
-    t = patches.select(*keys, "patch", F.posexplode("tokens").alias("i", "token")).where(F.col("token") >= FIRST)
-    w = Window.partitionBy(*keys, "patch").orderBy("i")
-    is_time = F.col("token") < o["kind"]
-    t = t.withColumn("onset", F.last(F.when(is_time, F.col("token") - o["time"]), ignorenulls=True).over(w) + F.col("patch") * width)
-    t = t.withColumns({"pitch": F.lead("token", 1).over(w) - o["pitch"], "duration": F.lead("token", 2).over(w) - o["duration"], "velocity": F.lead("token", 3).over(w) - o["velocity"]})
-    e = t.where(F.col("token").between(o["kind"], o["pitch"] - 1)).withColumn("kind", (F.col("token") - o["kind"]).cast("int"))
-    note = F.col("kind") == 2
-    return e.select(*keys, "onset", "kind", *[F.when(note, F.col(c)).otherwise(0).cast("long").alias(c) for c in ("pitch", "duration", "velocity")])
+    values = ("pitch", "duration", "velocity")
+    rows = patches.select(*keys, F.col("patch").cast("long").alias("__patch"), F.col("tokens").cast("array<bigint>").alias("__tokens"))
+    kind_of = [rows.schema[k] for k in keys] + [StructField("onset", LongType()), StructField("kind", IntegerType())] + [StructField(c, LongType()) for c in values]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                some = batch.slice(at, 500)
+                patch, lists = some.column(len(keys)), some.column(len(keys) + 1)
+                token = pc.fill_null(pc.list_flatten(lists), -1).to_numpy(zero_copy_only=False)
+                row = np.repeat(np.arange(len(lists)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+                token, row = token[token >= FIRST], row[token >= FIRST]
+                e = np.flatnonzero((token >= o["kind"]) & (token < o["pitch"]))
+                # the last time before an event, if its patch has one
+                time = np.maximum.accumulate(np.where(token < o["kind"], np.arange(len(token)), -1))[e]
+                timed = (time >= 0) & (row[time] == row[e])
+                base, known = pc.fill_null(patch, 0).to_numpy(zero_copy_only=False), patch.is_valid().to_numpy(zero_copy_only=False)
+                onset = pa.array(token[time] - o["time"] + base[row[e]] * width, mask=~(timed & known[row[e]]))
+                kind = (token[e] - o["kind"]).astype(np.int32)
+
+                def value(k: int, name: str) -> pa.Array:
+                    place = np.minimum(e + k, len(token) - 1)
+                    there = (place == e + k) & (row[place] == row[e])
+                    return pa.array(np.where(kind == 2, token[place] - o[name], 0), pa.int64(), mask=(kind == 2) & ~there)
+
+                own = [some.column(i).take(pa.array(row[e])) for i in range(len(keys))]
+                found = [onset, pa.array(kind), *[value(k + 1, name) for k, name in enumerate(values)]]
+                yield pa.RecordBatch.from_arrays([*own, *found], names=[*keys, "onset", "kind", *values])
+
+    return rows.mapInArrow(read, StructType(kind_of))
 
 
 def first_violation(patches: DataFrame, keys: list[str], width: int, room: int | None = None) -> DataFrame:
