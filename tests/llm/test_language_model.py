@@ -182,3 +182,12 @@ def test_probabilities_sum_to_one_and_scores_are_theirs(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert got[probe] == pytest.approx(sum(math.log10(x) for x in mean.values()), rel=1e-5)
+
+
+def test_blocks_lie_on_disk_once(spark):
+    """What is dealt once is read where its checkpoint lies: nothing is cached beside it, nor dealt again for the answers."""
+    held = spark.sparkContext._jsc.getPersistentRDDs().size()
+    out = m.hpy_scores(docs(spark, texts(200)).repartition(3))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "InMemory" not in plan and spark.sparkContext._jsc.getPersistentRDDs().size() == held
+    assert plan.count("Exchange hashpartitioning") == 1  # of the answers to their blocks

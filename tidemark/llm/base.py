@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -41,6 +42,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def dealt(df: DataFrame, parts: int, by: str) -> DataFrame:
+    """cut() of rows dealt to partitions by a column, so that what groups by it later shuffles nothing: only a plan that isn't adaptive tells how they lie."""
+    spark, name = df.sparkSession, "spark.sql.adaptive.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        return cut(df.repartition(parts, by))
+    finally:
+        spark.conf.set(name, before)
+
+
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
     """What runs meanwhile gives Python workers this many rows at once: texts of a batch are held by the JVM's buffers, the worker's and its strings."""
@@ -53,9 +65,13 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
-def free(spark: SparkSession) -> None:
-    """Lets Spark's cleaner remove shuffles and checkpoints that nothing refers to any more now, instead of at its next half-hourly turn."""
+def free(spark: SparkSession, pause: float = 0) -> None:
+    """Lets Spark's cleaner remove shuffles and checkpoints that nothing refers to any more now, instead of at its next half-hourly turn.
+
+    What Python has just let go of reaches the JVM within a second, from a thread of its own: a pause waits for it.
+    """
     gc.collect()
+    time.sleep(pause)
     spark.sparkContext._jvm.System.gc()
 
 

@@ -50,7 +50,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import cut, free
+from .base import cut, dealt, free
 from .words import words_of
 
 FOLDS = 10
@@ -64,6 +64,8 @@ PLACES, NODES = 48, 12
 BLOCK_CHARS = 12_000_000
 #: Text for each bucket of words, in characters, where the partitions of a shuffle are fewer.
 BUCKET_CHARS = 32_000_000
+#: Seconds until the JVM knows what is no longer wanted.
+PAUSE = 1.5
 ENDINGS = 65536
 SPACES = b" \t\n\x0b\x0c\r"
 _STOP = 10
@@ -607,18 +609,18 @@ class Sampler:
             return _frame([(number, "fixed", 0, _pack(*bucket.parts())), *_told(number, bucket, buckets, True)])
 
         rows = cut(requests.groupBy("bucket").applyInPandas(begin, _ROWS))
-        free(self.spark)
-        # dealt once; a lost part comes back from the checkpoint
-        self.fixed = cut(rows.where("kind = 'fixed'")).repartition(buckets, "bucket").persist()
+        free(self.spark, PAUSE)
+        # dealt once; the checkpoint is the only copy
+        self.fixed = dealt(rows.where("kind = 'fixed'"), buckets, "bucket")
         self.totals: dict = {}
         self._after(rows, 2)
         del rows
         free(self.spark)
 
     def _after(self, rows: DataFrame, kinds: int) -> None:
-        # each is written by itself, so that the parts of the sums can go
-        self.state, self.kinds = cut(rows.where("kind = 'state'")), kinds
-        self.tables = cut(rows.where("kind = 'tables'").groupBy("part").applyInPandas(_total(kinds), _ROWS))
+        # each is written by itself, so that the parts of the sums can go, and as the buckets are dealt, so that none is shuffled again
+        self.state, self.kinds = dealt(rows.where("kind = 'state'"), self.buckets, "bucket"), kinds
+        self.tables = dealt(rows.where("kind = 'tables'").groupBy("part").applyInPandas(_total(kinds), _ROWS), self.buckets, "bucket")
         add = lambda frame: _frame([(0, "sums", 0, _pack(*_added(frame["data"])))])
         some = rows.where("kind = 'sums'").groupBy(F.pmod("bucket", F.lit(32)).alias("some")).applyInPandas(add, _ROWS)
         t1, c1, spell, few = _added(r.data for r in some.toLocalIterator())  # 32 rows at most
@@ -673,8 +675,9 @@ def hpy_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chars // BUCKET_CHARS))
-    # dealt once, to be read for the first seating, for the answers and for the sums; a lost part is made anew
-    made = rows.mapInArrow(_blocks(buckets, folds), "block long, bucket long, data binary").repartition(buckets, "bucket").persist()
+    # dealt once, to be read for the first seating, for the answers and for the sums, of which the checkpoint is the only copy
+    made = dealt(rows.mapInArrow(_blocks(buckets, folds), "block long, bucket long, data binary"), buckets, "bucket")
+    free(spark, PAUSE)
     requests = made.where("bucket >= 0")
     chain = Sampler(requests, buckets, seed)
     kept, totals = [], []
@@ -684,6 +687,7 @@ def hpy_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             of = len(kept)
             kept.append(chain.state.unionByName(chain.tables).select("bucket", F.concat("kind", F.lit(of)).alias("kind"), "part", "data"))
             totals.append(chain.totals)
+    free(spark, PAUSE)  # of the last sweep, before the answers take their room
     told = spark.sparkContext.broadcast(totals)
     n, v = chain.totals["N"], chain.totals["V"]
 
