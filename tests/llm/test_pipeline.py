@@ -143,3 +143,35 @@ def test_batches_are_small_for_a_while(spark):
     with small_batches(spark, 500):
         assert max(sizes()) == 500
     assert spark.conf.get(name) == before
+
+
+def test_shingles_are_gone_over_once(spark, monkeypatch):
+    """Where texts are shown to a large group, the shingles of all other texts aren't written anew."""
+    import random
+
+    from tidemark.llm import simhash
+
+    r = random.Random(5)
+    some = lambda n: [f"w{r.randrange(9000)}" for _ in range(n)]
+    big, lines = some(100), []
+    for _ in range(80):
+        copy = list(big)
+        copy[r.randrange(100)] = some(1)[0]
+        lines.append(copy)
+    lines.append(big[:60] + some(60))
+    for _ in range(100):
+        passage = some(60)
+        lines += [passage + some(40), some(40) + passage]
+    sizes, real = [], simhash.cut
+
+    def cut(df):
+        out = real(df)
+        if {"key", "e", "at"} <= set(out.columns) and "hub" not in out.columns:
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "cut", cut)
+    rows = [(i, " ".join(x), None, None) for i, x in enumerate(lines)]
+    out = simhash.near_texts(docs(spark, rows)).collect()
+    assert {x.component_id for x in out if x.doc_id < 80} == {0} and len({x.component_id for x in out}) == 202
+    assert len(sizes) > 2 and sum(n > max(sizes) / 2 for n in sizes) == 2  # at first, and when pairs are made

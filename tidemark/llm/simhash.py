@@ -387,23 +387,29 @@ def _near_texts(docs: DataFrame, id_col: str, text_col: str, words: int, least:
     free(spark)
     joined = components(near).select(F.col("node").alias("e"), "component")
 
+    def now(some: DataFrame, joined: DataFrame) -> DataFrame:
+        """Rows of shingles with the group (c) that each text is in by now."""
+        return some.join(joined, "e", "left").withColumn("c", F.coalesce("component", "e")).drop("component")
+
     def apart(joined: DataFrame) -> DataFrame:
-        """The shingles' texts (key, e, at, c) where they are of several groups."""
-        left = shared.drop("hub").join(joined, "e", "left").withColumn("c", F.coalesce("component", "e")).drop("component")
+        """The shingles' texts (key, e, at) where they are of several groups."""
+        left = now(shared.drop("hub"), joined)
         several = left.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
-        return cut(left.join(several, "key", "left_semi").distinct())
+        return cut(shared.drop("hub").join(several, "key", "left_semi").distinct())
 
     def shown(left: DataFrame, joined: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(e, large): texts that share a shingle with a large group that is not theirs, nor smaller than theirs; and all large groups' members."""
         sizes = cut(joined.groupBy("component").agg(F.count("*").alias("size")).where(F.col("size") > LARGE))
-        own = left.join(sizes.withColumnRenamed("component", "c"), "c", "left").withColumn("size", F.coalesce("size", F.lit(1)))
+        members = cut(joined.join(sizes.select("component"), "component", "left_semi").select("e", F.col("component").alias("large")))
+        # what stands under no shingle of a large group isn't looked at again
+        near_one = left.join(left.join(members, "e", "left_semi").select("key").distinct(), "key", "left_semi")
+        own = now(cut(near_one), joined).join(sizes.withColumnRenamed("component", "c"), "c", "left").withColumn("size", F.coalesce("size", F.lit(1)))
         large = own.where(F.col("size") > LARGE).select("key", F.col("c").alias("large"), F.col("size").alias("of")).distinct()
         ask = own.join(large, "key").where((F.col("c") != F.col("large")) & (F.struct("size", "c") < F.struct(F.col("of").alias("size"), F.col("large").alias("c"))))
-        ask = cut(ask.select("e", "large").distinct())
-        members = joined.join(sizes.select("component"), "component", "left_semi").select("e", F.col("component").alias("large"))
-        return ask, cut(members)
+        return cut(ask.select("e", "large").distinct()), members
 
     left = apart(joined)
+    del shared, apart
     free(spark)
     for nearest in (True, False):
         ask, inside = shown(left, joined)
@@ -413,13 +419,12 @@ def _near_texts(docs: DataFrame, id_col: str, text_col: str, words: int, least:
         counts = _counts(ask.select("e").unionByName(members.select("e")).distinct(), texts, words)
         found = _similar(_against_large(ask, members, counts, least, nearest), texts, words, least)
         near = cut(near.unionByName(found).distinct())
-        del counts, found, left
+        del counts, found
         free(spark)
         joined = components(near).select(F.col("node").alias("e"), "component")
-        left = apart(joined)
         free(spark)
-    # the groups that were large when texts were last shown to them have been compared as a whole
-    left = cut(left.join(inside.select("e"), "e", "left_anti"))
+    # groups only grow, so what was apart once is all that can be; those that were large when texts were last shown to them have been compared as a whole
+    left = cut(now(left.join(inside.select("e"), "e", "left_anti"), joined))
     a = left.select("key", F.col("e").alias("a"), F.col("at").alias("ap"), F.col("c").alias("ac"))
     b = left.select("key", F.col("e").alias("b"), F.col("at").alias("bp"), F.col("c").alias("bc"))
     fits = possible(F.col("ap"), F.col("bp"))
